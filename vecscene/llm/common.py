@@ -61,6 +61,25 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0] if len(off) else np.zeros(1, np.int64)
 
 
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span; of two different spans of up to eight bytes and one length never the same."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+    size = end - start
+    h = size.astype(np.uint64) * _C1
+    live = np.arange(len(size))
+    done = 0
+    while len(live):
+        left = size[live] - done
+        load = eight[start[live] + done]
+        mask = (np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)
+        h[live] = mix(h[live] ^ np.where(left < 8, load & mask, load))
+        done += 8
+        live = live[left > 8]
+    return h
+
+
 class Words:
     """Words of a chunk of texts: byte spans, 64-bit hashes, and each row's range of words."""
 
@@ -80,26 +99,7 @@ class Words:
         after[1:] = inside[:-1]
         self.end = np.flatnonzero(after & (sep | edge))
         self.ptr = np.searchsorted(self.start, self.off)
-        padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = _FOLD[self.data] if fold else self.data
-        self.hash = self._hash(padded)
-
-    def _hash(self, padded: np.ndarray) -> np.ndarray:
-        n = len(padded) - 7
-        eight = np.ndarray((n,), "<u8", padded.data, strides=(1,))
-        size = self.end - self.start
-        h = size.astype(np.uint64) * _C1
-        live = np.arange(len(size))
-        done = 0
-        while len(live):
-            left = size[live] - done
-            load = eight[self.start[live] + done]
-            short = left < 8
-            load = np.where(short, load & ((np.uint64(1) << (np.minimum(left, 7).astype(np.uint64) * np.uint64(8))) - np.uint64(1)), load)
-            h[live] = mix(h[live] ^ load)
-            done += 8
-            live = live[left > 8]
-        return h
+        self.hash = span_hash(_FOLD[self.data] if fold else self.data, self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.off) - 1
