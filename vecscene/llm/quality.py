@@ -2,7 +2,7 @@
 
 Base figures come from arrays inside each row.  The cross-document rule hashes normalised lines, counts the distinct
 documents of each host that hold a line (equal texts are one document, so exact copies do not make their own lines common),
-takes out lines above the limits, and rejects documents that lose most of their words that way.
+takes out lines above the limits, and rejects documents that lose most of their text that way.
 """
 
 from __future__ import annotations
@@ -13,13 +13,13 @@ from .common import materialize
 
 #: A line goes if more documents of its host hold it than both limits say: a count, and a share of the host's documents.
 MIN_DOCS, MAX_SHARE = 20, 0.2
-#: A document is depleted if less than this share of its words is left.
+#: A document is depleted if less than this share of the characters of its lines is left.
 MIN_LEFT = 0.3
 #: Words of a window, and the base limits.
 WINDOW, MIN_WORDS, MAX_REPEAT = 8, 20, 30
 
 _BLANK = r"[\x20\x09-\x0D]+"
-_WORD = r"[^\x20\x09-\x0D]+"
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def words_of(text: Column) -> Column:
@@ -27,7 +27,7 @@ def words_of(text: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, _BLANK, " ")))
+    return F.lower(F.trim(line))
 
 
 def figures(docs: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def figures(docs: DataFrame) -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         (F.size("split") - F.size(F.array_distinct("split"))).cast("long").alias("n_dup_lines"),
-        F.transform("split", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.regexp_count(x, F.lit(_WORD)).cast("long").alias("n"))).alias("lines"),
+        F.transform("split", lambda x: F.struct(F.xxhash64(_normal(x)).alias("line"), F.length(x).cast("long").alias("n"))).alias("lines"),
         F.when(n > WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("windows"),
     )
     # windows found twice: neighbours in the order of their hashes
@@ -57,7 +57,7 @@ def figures(docs: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """A row for each input row: the figures, n_removed_words, base_failed, kept.
+    """A row for each input row: the figures, n_removed_chars, base_failed, kept.
 
     Null texts have no words and fail; a null source is a host of its own; a null doc_id stays null.
     """
@@ -66,14 +66,14 @@ def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
     hosts = base.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     seen = lines.select("host", "line", "same").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     common = seen.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
-    removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("n").alias("n_removed_words"))
-    out = base.drop("lines").join(removed, "rid", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
+    removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("n").alias("n_removed_chars"))
+    out = base.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + x["n"])).drop("lines").join(removed, "rid", "left").withColumn("n_removed_chars", F.coalesce("n_removed_chars", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    depleted = (F.col("n_words") - F.col("n_removed_words")) < min_left * F.col("n_words")
+    depleted = (F.col("line_chars") - F.col("n_removed_chars")) < min_left * F.col("line_chars")
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words"]
+RESULT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_chars"]
 
 
 def quality_digest(docs: DataFrame) -> DataFrame:
