@@ -159,3 +159,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = docs.mapInArrow(_match(spark.sparkContext.broadcast(rows)), schema)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of documents in which no item was found; rows with a null doc_id or text stay."""
+    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")

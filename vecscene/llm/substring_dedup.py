@@ -199,3 +199,35 @@ def dedup_texts(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     """doc_id and text without the covered words and the blanks before them; other texts stay as they are."""
     base = docs.select("doc_id", "text")
     return base.join(removals(docs, k, m), "doc_id", "left").mapInArrow(_texts(k), "doc_id long, text string")
+
+
+def dedup_documents(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
+    """docs with column text as dedup_texts leaves it (n_chars, where present, follows); all other columns unchanged."""
+    kept = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in kept]).alias("rest"))
+    found = rows.join(removals(docs, k, m).withColumnRenamed("gone", "_gone").withColumnRenamed("gone_edges", "_gone_edges"), "doc_id", "left")
+    new = found.select("doc_id", "text", F.col("_gone").alias("gone"), F.col("_gone_edges").alias("gone_edges"), "rest").mapInArrow(_with_texts(k), _schema(rows))
+    columns = {c: F.col("rest")[c] for c in kept}
+    changed = new.select("doc_id", "text", "changed", "rest").withColumns({f"_{i}": v for i, v in enumerate(columns.values())})
+    named = {c: F.col(f"_{i}") for i, c in enumerate(columns)}
+    if "n_chars" in named:
+        named["n_chars"] = F.when(F.col("changed"), F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(named["n_chars"])
+    return changed.select(*[F.col(c) if c in ("doc_id", "text") else named[c].alias(c) for c in docs.columns])
+
+
+def _schema(rows: DataFrame):
+    return rows.schema.add("changed", "boolean")
+
+
+def _with_texts(k: int):
+    texts = _texts(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                new = pa.Table.from_batches(list(texts(iter([part])))).column("text").combine_chunks()
+                old = part.column("text").cast(new.type)
+                same = np.array([a is None or a == b for a, b in zip(old.to_pylist(), new.to_pylist())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), new, part.column("rest"), pa.array(~same)], ["doc_id", "text", "rest", "changed"])
+
+    return run
