@@ -28,7 +28,10 @@ def materialize(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecscene-ckpt-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # the context cleaner removes shuffle files once the driver's JVM has collected the plans that own them
+    sc._jvm.System.gc()
+    return out
 
 
 def mix(h: np.ndarray) -> np.ndarray:
