@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -29,7 +30,9 @@ def materialize(df: DataFrame) -> DataFrame:
     if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecscene-ckpt-"))
     out = df.checkpoint(eager=True)
-    # the context cleaner removes shuffle files once the driver's JVM has collected the plans that own them
+    # the context cleaner removes shuffle files once the driver has collected the plans that own them
+    del df
+    gc.collect()
     sc._jvm.System.gc()
     return out
 
