@@ -276,7 +276,8 @@ class Vocabulary:
         missing = [x for x, found in zip(slices, out) if found is None]
         if missing:
             short = [x for x in missing if len(x) <= _WIDE]
-            found = dict(zip(short, self.merge_many(short)))
+            # side by side only pays for many
+            found = dict(zip(short, self.merge_many(short) if len(short) >= 64 else map(self.merge, short)))
             cache.update(found)
             found |= {x: self.merge(x) for x in missing if len(x) > _WIDE}
             out = [found[s] if x is None else x for s, x in zip(slices, out)]

@@ -33,21 +33,29 @@ def starts_in(text: str) -> list[int]:
 
 
 class CountTree:
-    def __init__(self, pieces: list[str], tokens: np.ndarray, count):
-        """pieces: the pre-tokens; tokens: how many tokens each gives; count(piece) counts another one's."""
-        self.count = count
-        self.slots: list = [[p] for p in pieces] or [[]]
-        n = 1
-        while n < len(self.slots):
-            n *= 2
+    def __init__(self, text: str, edges: np.ndarray, tokens: np.ndarray, count):
+        """edges: where the pre-tokens of the text start, and its end; tokens: how many tokens each gives; count(piece) counts another one's."""
+        self.count, self.source, self.edges = count, text, edges
+        self.changed: dict[int, list[str]] = {}
+        self.n_slots = max(1, len(edges) - 1)
+        n = 1 << (self.n_slots - 1).bit_length()
         self.n, self.encoded = n, 0
         self.points, self.tokens = np.zeros(2 * n, np.int64), np.zeros(2 * n, np.int64)
-        self.points[n : n + len(pieces)] = [len(p) for p in pieces]
-        self.tokens[n : n + len(pieces)] = tokens
+        self.points[n : n + len(edges) - 1] = np.diff(edges)
+        self.tokens[n : n + len(edges) - 1] = tokens
         while n > 1:
             n //= 2
             for t in (self.points, self.tokens):
-                t[n : 2 * n] = t[2 * n : 4 * n : 2] + t[2 * n + 1 : 4 * n : 2]
+                np.add(t[2 * n : 4 * n : 2], t[2 * n + 1 : 4 * n : 2], out=t[n : 2 * n])
+
+    def slot(self, i: int) -> list[str]:
+        """The pre-tokens of a slot; one that no edit touched is a slice of the first text."""
+        if (found := self.changed.get(i)) is not None:
+            return found
+        return [self.source[self.edges[i] : self.edges[i + 1]]] if i + 1 < len(self.edges) else []
+
+    def pieces(self) -> list[str]:
+        return [p for i in range(self.n_slots) for p in self.slot(i)]
 
     @property
     def total(self) -> int:
@@ -58,7 +66,7 @@ class CountTree:
         return int(self.points[1])
 
     def text(self) -> str:
-        return "".join(p for s in self.slots for p in s)
+        return "".join(self.pieces())
 
     def _find(self, at: int) -> int:
         """The slot that holds code point `at`, or the last."""
@@ -68,7 +76,7 @@ class CountTree:
             if at >= self.points[i]:
                 at -= self.points[i]
                 i += 1
-        return min(i - self.n, len(self.slots) - 1)
+        return min(i - self.n, self.n_slots - 1)
 
     def _before(self, slot: int) -> int:
         """Code points before a slot."""
@@ -80,7 +88,7 @@ class CountTree:
         return out
 
     def _set(self, slot: int, pieces: list[str]) -> None:
-        self.slots[slot] = pieces
+        self.changed[slot] = pieces
         i = slot + self.n
         self.points[i] = sum(map(len, pieces))
         self.tokens[i] = sum(map(self.count, pieces))
@@ -100,18 +108,18 @@ class CountTree:
         have = 0
         while low > 0 and have < BEFORE:
             low -= 1
-            have += len(self.slots[low])
+            have += len(self.slot(low))
         begin = self._before(low)
         high, behind = self._find(start + deleted), BEHIND
         while True:
             have = 0
-            while high + 1 < len(self.slots) and have < behind:
+            while high + 1 < self.n_slots and have < behind:
                 high += 1
-                have += len(self.slots[high])
-            old = "".join(p for s in self.slots[low : high + 1] for p in s)
+                have += len(self.slot(high))
+            old = "".join(p for i in range(low, high + 1) for p in self.slot(i))
             new = old[: start - begin] + inserted + old[start - begin + deleted :]
             starts = starts_in(new)
-            if high + 1 == len(self.slots):
+            if high + 1 == self.n_slots:
                 cut = [*starts, len(new)]
                 self._put(low, high, [new[a:b] for a, b in zip(cut, cut[1:])])
                 return
@@ -119,9 +127,9 @@ class CountTree:
             at, meets = 0, None
             edges = {}
             for slot in range(low, high + 1):
-                if self.slots[slot]:
+                if self.slot(slot):
                     edges.setdefault(at + shift, slot)
-                at += sum(map(len, self.slots[slot]))
+                at += int(self.points[slot + self.n])
             for s in starts[: -BEFORE or None]:
                 if s >= start - begin + len(inserted) and edges.get(s, 0) > low:
                     meets = s
@@ -136,7 +144,7 @@ class CountTree:
         """New content of the slots low to high, dealt out one by one, the last takes the rest."""
         for slot in range(low, high + 1):
             mine = pieces[slot - low : slot - low + 1] if slot < high else pieces[slot - low :]
-            if mine != self.slots[slot]:
+            if mine != self.slot(slot):
                 self._set(slot, mine)
 
 
@@ -150,14 +158,17 @@ def _counts(name: str):
                 start, end = cut[:-1], cut[1:]
                 _, first, which = np.unique(span_hash(np.frombuffer(raw, np.uint8), start, end), return_index=True, return_inverse=True)
                 sizes = np.array([len(x) for x in vocab.ids([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])], np.int64)[which]
+                lead = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+                points = lead[cut]  # the same starts in code points
+                sums = np.append(0, np.cumsum(sizes))
                 rows = []
                 for i, edits in enumerate(part.column("edits").to_pylist()):
                     a, b = int(ptr[i]), int(ptr[i + 1])
-                    edge = cut[a : b + 1].tolist()
                     if not edits:
-                        rows.append((0, int(sizes[a:b].sum()), int(sizes[a:b].sum()), b - a, 0))
+                        total = int(sums[b] - sums[a])
+                        rows.append((0, total, total, b - a, 0))
                         continue
-                    tree = CountTree([raw[x:y].decode() for x, y in zip(edge, edge[1:])], sizes[a:b], one)
+                    tree = CountTree(raw[cut[a] : cut[b]].decode(), points[a : b + 1] - points[a], sizes[a:b], one)
                     before = tree.total
                     for e in sorted(edits, key=lambda e: e["seq"]):
                         tree.edit(e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "")
