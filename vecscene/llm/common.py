@@ -1,9 +1,10 @@
-"""Shared helpers: checkpoint folder, table reading, and vectorised word hashing used inside tasks."""
+"""Shared helpers: tables that cut lineage, table reading, and vectorised word hashing used inside tasks."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,20 +22,23 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the shared folder that spark.checkpoint.dir names.
+    """Cut lineage by a table written in the shared folder that spark.checkpoint.dir names, and read again.
 
+    A checkpoint would run the last stage twice, once to count its rows and once to write them.
     Only when neither that setting nor a folder of the context exists (tests) is a temporary one made.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="vecscene-ckpt-"))
-    out = df.checkpoint(eager=True)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="vecscene-")
+        spark.sparkContext.setCheckpointDir(base)
+    path, schema = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}", df.schema
+    df.write.parquet(path)
     # the context cleaner removes shuffle files once the driver has collected the plans that own them
     del df
     gc.collect()
-    sc._jvm.System.gc()
-    return out
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
