@@ -285,6 +285,15 @@ def test_quality(docs, rows):
     assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_documents_of_common_lines_go(spark):
+    random.seed(8)
+    say = lambda n: " ".join(f"w{random.randint(0, 10**6)}" for _ in range(n))
+    common = say(40)
+    texts = [f"{common}\n{say(2)}" for _ in range(30)] + [say(40) for _ in range(270)]  # 10 % of the host
+    out = quality.keep_good(spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id long, text string, source string"))
+    assert {r["doc_id"] for r in out.collect()} == set(range(30, 300))
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])

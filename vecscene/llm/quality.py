@@ -81,7 +81,10 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that judge keeps, all their columns unchanged."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
+    """The rows that judge keeps, all their columns unchanged.
+
+    Lines go by their count of documents alone: no line reaches MAX_SHARE of a large host, so that a share would keep them all.
+    """
+    good = judge(docs, max_share=0.0).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (key == good["_same"]), "left_semi")
