@@ -81,6 +81,23 @@ def test_near_dedup_finds_all_pairs(docs, rows):
     assert kept == set(got.values())
 
 
+def test_all_components_of_a_bucket_meet(spark):
+    random.seed(6)
+    # A, B, D, E, H in one bucket, with D ~ E; then B ~ D where A is B's component's first; then many buckets by chance
+    buckets = [[1, 2, 3, 4, 5], [11, 12, 13, 14, 15], *(random.sample(range(100, 160), 25) for _ in range(4))]
+    shared = {(a, b) for bucket in buckets for a in bucket for b in bucket if a < b}
+    similar = {(1, 2), (3, 4), (11, 12), (12, 13)} | set(random.sample(sorted(x for x in shared if x[0] >= 100), 40))
+    members = spark.createDataFrame([(0, k, x) for k, bucket in enumerate(buckets) for x in bucket], "band int, key long, x long")
+    truth = spark.createDataFrame([p for a, b in similar for p in ((a, b), (b, a))], "leader long, x long")
+    _, labels = near_dedup.linked(members, lambda pairs: pairs.join(truth, ["leader", "x"]).select(F.col("leader").alias("a"), F.col("x").alias("b")))
+    got = {r["node"]: r["label"] for r in labels.collect()}
+    want = {x: x for bucket in buckets for x in bucket}
+    for _ in want:
+        for a, b in similar:
+            want[a] = want[b] = min(want[a], want[b])
+    assert all(got.get(x, x) == label for x, label in want.items())
+
+
 def test_samples_agree_with_weighted_jaccard():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 1 << 63, 400).astype(np.uint64)

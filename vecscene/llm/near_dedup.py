@@ -5,9 +5,10 @@ its words.  Document frequencies are counted over all documents in a fixed numbe
 table has one size at any scale.  (A shingle's own document frequency would shrink the weight of exactly the shingles that
 a large group of copies shares, and so break up the groups looked for.)
 
-Each document gives K consistent samples, R to a band.  Documents that share a band key are candidates; pairs are only made
-with bucket leaders, never within a whole bucket, and weighted Jaccard over the whole texts verifies them.  Rounds repeat
-with the components found so far: members of a bucket whose components differ meet each other's leaders, until a round adds no link, however many that takes.
+Each document gives K consistent samples, R to a band.  Documents that share a band key are candidates, and weighted
+Jaccard over the whole texts verifies them.  At first members of a bucket whose components differ only meet one document of
+its lowest and highest component, in rounds until one adds no link: that joins large groups by few pairs.  Then every pair
+of a bucket that lies in two components is tested: some members meet all others, retire, and more follow in the next round.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import PUNCT, Words, chunks, grams, materialize, mix, signed
 
@@ -26,6 +27,8 @@ BANDS, ROWS = 16, 3
 BUCKETS = 1 << 15
 #: Candidates that share one copy of their leader's text.
 SHARE = 64
+#: Members of a bucket that meet all others in the first round of the second phase, and the growth from round to round.
+LEADERS, GROWTH = 8, 4
 
 _QUANTILES = 1 << 12
 
@@ -199,6 +202,62 @@ def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     return materialize(moved.select("node", F.coalesce("root", "label").alias("label")))
 
 
+def linked(members: DataFrame, verify) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links a, b and labels (node, label) of the components of members (band, key, x); verify(pairs) gives the similar ones of leader, x.
+
+    Any two members of a bucket end in one component or have been tested, in this bucket or another.
+    """
+    labels = links = tested = None
+
+    def test(pairs):
+        nonlocal labels, links, tested
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        new = materialize(verify(pairs))
+        links = new if links is None else links.unionByName(new)
+        found = not new.isEmpty()
+        if found or labels is None:
+            labels = merged(labels, new)
+        return found
+
+    def labelled(rows):
+        return rows.withColumn("label", F.col("x")) if labels is None else materialize(rows.join(labels, rows.x == labels.node, "left").select("band", "key", "x", F.coalesce("label", "x").alias("label")))
+
+    first = True
+    while True:
+        known = labelled(members)
+        ends = known.groupBy("band", "key").agg(F.min_by("x", F.struct("label", "x")).alias("low"), F.min("label").alias("low_label"), F.max_by("x", F.struct("label", -F.col("x"))).alias("high"), F.max("label").alias("high_label")).where("low_label < high_label")
+        mixed = known.join(ends, ["band", "key"])
+        members = mixed.select("band", "key", "x")  # a bucket of one component has nothing left to link
+        pairs = mixed.select("x", F.when(F.col("label") == F.col("low_label"), F.col("high")).otherwise(F.col("low")).alias("leader"))
+        pairs = pairs.select(F.least("x", "leader").alias("leader"), F.greatest("x", "leader").alias("x")).where("x <> leader") if first else pairs.where("x <> leader").distinct()
+        if first:  # first its best leader only
+            pairs = pairs.groupBy("leader", "x").agg(F.count("*").alias("shared"))
+            pairs = pairs.groupBy("x").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
+        else:
+            pairs = pairs.join(tested, ["leader", "x"], "left_anti")
+        pairs = materialize(pairs.select("leader", "x"))
+        if pairs.isEmpty() or not (test(pairs) or first):  # the first round tests best leaders only
+            break
+        first = False
+
+    n = LEADERS
+    while tested is not None:
+        known = labelled(members)
+        mixed = known.join(known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key"), ["band", "key"])
+        mixed = materialize(mixed.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("x"))))
+        if mixed.isEmpty():
+            break
+        leaders = mixed.where(F.col("rank") <= n).select("band", "key", F.col("x").alias("leader"), F.col("label").alias("own"))
+        pairs = mixed.join(leaders, ["band", "key"]).where("leader < x and own <> label").select("leader", "x").distinct()
+        before = tested.select(F.least("leader", "x").alias("leader"), F.greatest("leader", "x").alias("x"))
+        pairs = materialize(pairs.join(before, ["leader", "x"], "left_anti"))
+        if not pairs.isEmpty():
+            test(pairs)
+        members = mixed.where(F.col("rank") > n).select("band", "key", "x")
+        n *= GROWTH
+    return links, labels
+
+
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its distinct text): a row for each input row.
 
@@ -216,27 +275,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = materialize(own.join(sizes, ["band", "key"]))
 
     texts = docs.where("doc_id is not null")
-    labels = links = tested = None
-    while True:
-        known = members.withColumn("label", F.col("x")) if labels is None else materialize(members.join(labels, members.x == labels.node, "left").select("band", "key", "x", F.coalesce("label", "x").alias("label")))
-        ends = known.groupBy("band", "key").agg(F.min_by("x", F.struct("label", "x")).alias("low"), F.min("label").alias("low_label"), F.max_by("x", F.struct("label", -F.col("x"))).alias("high"), F.max("label").alias("high_label")).where("low_label < high_label")
-        mixed = known.join(ends, ["band", "key"])
-        members = mixed.select("band", "key", "x")  # a bucket of one component has nothing left to link
-        pairs = mixed.select("x", F.when(F.col("label") == F.col("low_label"), F.col("high")).otherwise(F.col("low")).alias("leader"))
-        if labels is None:  # first its best leader only
-            pairs = pairs.select(F.least("x", "leader").alias("leader"), F.greatest("x", "leader").alias("x")).where("x <> leader").groupBy("leader", "x").agg(F.count("*").alias("shared"))
-            pairs = pairs.groupBy("x").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
-        else:
-            pairs = pairs.where("x <> leader").distinct().join(tested, ["leader", "x"], "left_anti")
-        pairs = materialize(pairs.select("leader", "x"))
-        if pairs.isEmpty():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(_verified(pairs, texts, idf, least))
-        links = new if links is None else links.unionByName(new)
-        if labels is not None and new.isEmpty():  # the first round tests best leaders only
-            break
-        labels = merged(labels, new)
+    links, labels = linked(members, lambda pairs: _verified(pairs, texts, idf, least))
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
         labels = spark.createDataFrame([], "node long, label long")
