@@ -171,6 +171,15 @@ def test_licenses(docs, rows):
     assert got[14]["labels"] == "mit" and (got[15]["labels"], got[15]["base_labels"]) == ("cc", "") and got[17]["labels"] == "apache,gpl,mit"
 
 
+def test_wrapped_and_scattered_licenses(spark):
+    bsd, mpl, mit = (licenses.TEMPLATES[x][-1 if x != "mit" else 1] for x in ("bsd", "mpl", "mit"))
+    wrap = lambda t, n, mark="": "\n".join(mark + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    filler = "lorem ipsum dolor sit amet consectetur " * 20
+    texts = [filler + "\n" + wrap(bsd, 10, " * ") + ":\n" + filler, wrap(mpl, 12), wrap(mit, 13, "# "), filler.join(bsd.split()), filler + bsd + " " + filler]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mpl", 1.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("bsd", 1.0)}
+
+
 def test_urls(spark):
     urls = ["http://www.EXAMPLE.com/en/a?x", "https://example.com/en/1", "https://a.b.net/fr/#t", "https://a.b.net/de/", "https://q.org", None, "nothing", "x://h.com/#", "https://netx/es/", "ftp://net/es/?", "https://www.example.com/EN/"]
     html = ["<a href='https://good.org/x'>"] + ["<a href=\"https://a.b.net/\">"] * 3 + ["<p>"] * 7

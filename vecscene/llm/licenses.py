@@ -1,9 +1,10 @@
 """License scans in DataFrame functions only: phrases, and an exact containment join of text blocks with templates.
 
-A block is a line.  A template is found in a block if the block holds at least THRESHOLD of the template's distinct tokens.
-Tokens are ordered by their document frequency over the whole corpus, rare ones first; of a template with n tokens that
-needs a = ceil(THRESHOLD x n) of them, a block must hold one of the n - a + 1 rarest (prefix filter), hold a template
-tokens at all (length filter), and still be able to reach a after its first hit (positional filter).  What passes is counted.
+A block is a window of words, SPAN times as long as the template, wherever lines break.  A template is found in a text if
+one of its blocks holds at least THRESHOLD of the template's distinct tokens.  Tokens are ordered by their document frequency
+over the whole corpus, rare ones first; of a template with n tokens that needs a = ceil(THRESHOLD x n) of them, a text must
+hold one of the n - a + 1 rarest (prefix filter), hold a template tokens at all (length filter), and still be able to reach
+a after its first hit (positional filter).  In what passes, the window from each template token on is counted.
 
 The templates are the bounded side: a fixed list, so their tables and the frequencies of their tokens may be broadcast.
 """
@@ -16,6 +17,8 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 THRESHOLD = 0.8
+#: Words of a block for each word of the template.
+SPAN = 1.5
 
 #: Phrases of the base labels.
 PHRASES = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
@@ -63,6 +66,14 @@ def _tokens(sentence: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[0-9a-z]+", sentence.lower())))
 
 
+def _most(words: Column, tokens: Column, span: Column) -> Column:
+    """The most distinct tokens in a window of `span` words; null where there is none."""
+    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(tokens, x["w"]))
+    held = lambda a, s, k: F.size(F.array_distinct(F.transform(F.filter(F.slice(a, k + 1, span), lambda x: x["i"] < s["i"] + span), lambda x: x["w"])))
+    # the outer array binds `at`, so that it is made once a row
+    return F.array_max(F.flatten(F.transform(F.array(at), lambda a: F.transform(a, lambda s, k: held(a, s, k)))))
+
+
 def _places(label: str, parts: list[str]) -> Column:
     """Structs (at, label) of the places in `words` where the parts stand one after the other."""
 
@@ -101,29 +112,31 @@ def base_figures(docs: DataFrame) -> DataFrame:
 
 
 def contained(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, same, label, score: the best containment of a label's templates in a block, where it meets the threshold."""
+    """doc_id, same, label, score: the best containment of a label's templates in a block of the text, where it meets the threshold."""
     spark = docs.sparkSession
-    sets = [(f"{label}/{k}", label, _tokens(s)) for label, all_ in templates.items() for k, s in enumerate(all_)]
-    vocabulary = sorted({t for *_, tokens in sets for t in tokens})
+    sets = [(f"{label}/{k}", label, _tokens(s), math.ceil(SPAN * len(re.findall(r"[0-9a-z]+", s.lower())))) for label, all_ in templates.items() for k, s in enumerate(all_)]
+    vocabulary = sorted({t for *_, tokens, _ in sets for t in tokens})
     known = F.array(*map(F.lit, vocabulary))
     rows = docs.where("text is not null").select("doc_id", "text")
-    # words of a text or line that some template has; the others change no count
-    held = lambda text: F.array_intersect(F.split(F.lower(text), _SEPARATOR), known)
+    words = lambda text: F.split(F.lower(text), _SEPARATOR)
+    # words of a text that some template has; the others change no count
+    held = lambda text: F.array_intersect(words(text), known)
     frequency = dict(rows.select(F.explode(held(F.col("text"))).alias("token")).groupBy("token").count().collect())  # a row for each template token
     prefixes = []
-    for name, label, tokens in sets:
+    for name, label, tokens, span in sets:
         tokens = sorted(tokens, key=lambda t: (frequency.get(t, 0), t))
         need = math.ceil(threshold * len(tokens) - 1e-9)
-        prefixes += [(t, name, label, at, need, tokens) for at, t in enumerate(tokens[: len(tokens) - need + 1])]
-    table = F.broadcast(spark.createDataFrame(prefixes, "token string, template string, label string, at int, need int, tokens array<string>"))
+        prefixes += [(t, name, label, at, need, span, tokens) for at, t in enumerate(tokens[: len(tokens) - need + 1])]
+    table = F.broadcast(spark.createDataFrame(prefixes, "token string, template string, label string, at int, need int, span int, tokens array<string>"))
     least = min(p[4] for p in prefixes)
     rare = F.array(*[F.lit(t) for t in sorted({p[0] for p in prefixes})])
-    blocks = rows.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    blocks = blocks.select("doc_id", "same", "block", held(F.col("line")).alias("held")).where(F.size("held") >= least)
-    hits = blocks.withColumn("token", F.explode(F.array_intersect("held", rare))).join(table, "token")
-    # length and position: what the block holds at all, and what the template has from this token on
+    texts = rows.select("doc_id", F.xxhash64("text").alias("same"), "text", held(F.col("text")).alias("held")).where(F.size("held") >= least)
+    hits = texts.withColumn("token", F.explode(F.array_intersect("held", rare))).join(table, "token")
+    # length and position: what the text holds at all, and what the template has from this token on; by its rarest token only
     hits = hits.where((F.size("held") >= F.col("need")) & (F.size("tokens") - F.col("at") >= F.col("need")))
-    hits = hits.withColumn("overlap", F.size(F.array_intersect("held", "tokens"))).where("overlap >= need")
+    both = F.array_intersect("tokens", "held")
+    hits = hits.where((F.size(both) >= F.col("need")) & (F.get(both, F.lit(0)) == F.col("token")))
+    hits = hits.withColumn("overlap", _most(words(F.col("text")), F.col("tokens"), F.col("span"))).where("overlap >= need")
     return hits.groupBy("doc_id", "same", "label").agg(F.max(F.col("overlap") / F.size("tokens")).alias("score"))
 
 
