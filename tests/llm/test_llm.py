@@ -291,6 +291,14 @@ def test_html(spark):
     assert got[1]["text"] == "" and all(got[10 + i]["text"] == f"Own {i}" for i in range(8))
 
 
+def test_html_of_copies_and_compound_names(spark):
+    copies = [(i, "http://mirror.a/%d" % i, "<html><body><article><h1>Title %d</h1><p>Text %d of it</p></article></body></html>" % (i % 2, i % 2)) for i in range(20)]
+    names = ("layout has-sidebar", "no-sidebar", "article-header", "related-work")
+    compound = [(100 + i, f"http://b{i}.c/", f"<body><div class='{x}'><article><p>Kept</p><div class='cookie-banner'>no</div><article class='related'>nor this</article></article></div></body>") for i, x in enumerate(names)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(copies + compound, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i % 2}\n\nText {i % 2} of it" for i in range(20)) and all(got[100 + i] == "Kept" for i in range(4))
+
+
 def test_quality(docs, rows):
     got = {r["doc_id"]: r for r in quality.quality_digest(docs).collect()}
     for i, text, *_ in rows:

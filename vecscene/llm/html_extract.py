@@ -2,7 +2,7 @@
 
 The pages of a host are merged into one tree: a node is an element path with its class, and holds the pages that have it
 and the contents found there.  A content in p pages of a node's m has entropy log(p) / log(m): 0 if one page has it, 1 if
-all do.  A node's importance is 1 minus the mean entropy of its contents; a presentation node (empty content) shows as one
+all do.  Pages of equal contents count as one, so copies do not make their own text common.  A node's importance is 1 minus the mean entropy of its contents; a presentation node (empty content) shows as one
 content in all pages.  Branches below a limit are noise, and go from every page of the host, unless the node is seen in
 too few pages to tell.  What HTML itself marks as outside the article (nav, footer, aside, form, script, adverts, comments
 by class or id) goes as well, and where a page has an article element, only that is kept.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialize
 from .url_filter import host_of
 
-#: A node is judged if at least so many pages have it, and is noise below this importance.
+#: A node is judged if at least so many distinct pages have it, and is noise below this importance.
 MIN_PAGES, MIN_IMPORTANCE = 5, 0.2
 
 #: Elements of HTML.
@@ -32,7 +32,9 @@ _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code
 _OUTSIDE = {"head", "title", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "iframe", "object", "svg", "button", "select", "textarea", "menu", "dialog"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_NOISE = re.compile(r"(?i)(^|[\s_-])(ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|share|social|related|recommended|login|search)($|[\s_-])")
+_NOISE_NAME = r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|sidebar|side-bar|widget|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-list|disqus|share|social|related|recommended|login|search)"
+#: A class, id or role made of such names only: "cookie-banner", but not "no-sidebar" or "article-header".
+_NOISE = re.compile(rf"(?i)(?<!\S){_NOISE_NAME}(?:[_-]+{_NOISE_NAME})*(?!\S)")
 
 
 class _Blocks(HTMLParser):
@@ -84,7 +86,7 @@ class _Blocks(HTMLParser):
                     break
         dropped, inside = self.stack[-1][2:] if self.stack else (False, False)
         names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        main = tag in ("article", "main")
+        main = tag == "main" or (tag == "article" and not inside)
         if not dropped:
             dropped = tag in _OUTSIDE or (tag == "header" and not inside) or (bool(names) and not main and tag not in ("html", "body") and bool(_NOISE.search(names)))
         self.stack.append((tag, f"{tag}.{names}" if names else tag, dropped, inside or tag == "article"))
@@ -123,9 +125,11 @@ def _hash(x: str) -> int:
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        host, path, content = [], [], []
+        host, path, content, page = [], [], [], []
         for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            seen = {(_hash(p), _hash(t)) for p, t in blocks_of(html or "")}
+            blocks = blocks_of(html or "")
+            seen = {(_hash(p), _hash(t)) for p, t in blocks}
+            same = _hash("\0".join(x for block in blocks for x in block))
             host += [h] * len(seen)
             path += [x[0] for x in seen]
             content += [x[1] for x in seen]
@@ -133,7 +137,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host += [h] * len(once)
             path += once
             content += [None] * len(once)
-        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "path": pa.array(path, pa.int64()), "content": pa.array(content, pa.int64())})
+            page += [same] * (len(seen) + len(once))
+        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "path": pa.array(path, pa.int64()), "content": pa.array(content, pa.int64()), "page": pa.array(page, pa.int64())})
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +152,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def noise_nodes(pages: DataFrame) -> DataFrame:
     """host, path (hash): nodes of low importance."""
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, path long, content long")
+    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, path long, content long, page long").distinct()
     counts = materialize(nodes.groupBy("host", "path", "content").agg(F.count("*").alias("n")))
     pages_of = counts.where("content is null").select("host", "path", F.col("n").alias("m")).where(F.col("m") >= MIN_PAGES)
     entropy = F.log("n") / F.log("m")
