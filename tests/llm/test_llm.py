@@ -121,6 +121,15 @@ def test_shards(docs, rows, spark):
     assert len(sizes) == 40 and set(sizes) == {75}
 
 
+def test_copies_stay_together_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(shards, "BLOCK", 16)  # more rows than BLOCK for each shard
+    copies = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 40).cast("string").alias("text"))
+    out = shards.assign(copies, 4)
+    assert {r["count"] for r in out.groupBy("shard").count().collect()} == {100}
+    links, cut = shards.cut_links(out).first()
+    assert links == 400 and cut <= 100
+
+
 def _pattern():
     import regex
 

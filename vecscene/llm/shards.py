@@ -2,8 +2,8 @@
 
 Equal texts are linked (each row to its group, so a group of n copies has n links, not n squared).  Every row begins in a
 shard by hash.  In each round the rows of a group tell their shards, the largest tally is the group's wish, and rows move
-there under quotas: a shard takes no more movers than its capacity leaves, a group moves as a whole where it fits and in
-hashed fractions where it doesn't.  What remains unlinked then fills all shards to the same count, so the law `rows`
+there under quotas: a shard takes no more movers than its capacity and its own leavers leave, a group moves as a whole where it fits and in
+hashed fractions where it doesn't.  Rounds end when no link is cut or none more is mended.  What remains unlinked then fills all shards to the same count, so the law `rows`
 (counts at most one apart) holds exactly, and slots follow from distributed ranks.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import materialize
 
-ROUNDS = 4
+#: Rounds without a mended link after which the rest is left cut (a group may lose its toss in one of them).
+PATIENCE = 2
 #: Rows that one ranking group holds on average.
 BLOCK = 4096
 
@@ -40,15 +41,25 @@ def _ranked(rows: DataFrame, by: list[str], order: list[str], block: Column, nam
     return numbered.join(before, [*by, "_block"]).withColumn(name, F.col("_before") + F.col("_rank")).drop("_block", "_before", "_rank")
 
 
+def _together() -> Column:
+    """A ranking block in which a group stands side by side; a group above BLOCK rows has blocks of its own."""
+    pool = F.greatest(F.lit(1), F.floor(F.col("_total") / BLOCK)).cast("long")
+    large = F.col("group_size") > BLOCK
+    own = lambda x: F.when(large, x).otherwise(F.lit(0)).cast("long")
+    at = F.when(F.col("group_size") > 1, F.pmod("g1", pool)).otherwise(F.pmod(F.xxhash64("rid"), pool))
+    return F.struct(at.alias("at"), large.alias("large"), own(F.col("g1")).alias("g1"), own(F.col("g2")).alias("g2"), own(F.pmod(F.xxhash64("rid"), F.ceil(F.col("group_size") / BLOCK))).alias("salt"))
+
+
 def _unit(*keys) -> Column:
     """A number in [0, 1) from a hash."""
     return F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 40, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_size for every row.
 
     Null texts count as empty and are linked with empty ones.  Repeated rows are rows of their own.  An empty table gives none.
+    With rounds=None, rounds go on until no link is cut or PATIENCE of them mend none.
     """
     base = materialize(describe(docs))
     total = base.count()
@@ -59,30 +70,37 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame
 
     linked = rows.where("group_size > 1").select("rid", "g1", "g2", "group_size").withColumn("shard", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int"))
     linked = materialize(linked)
-    for step in range(rounds):
+    step = idle = 0
+    cut = None
+    while rounds is None or step < rounds:
         tally = linked.groupBy("g1", "g2", "group_size", "shard").agg(F.count("*").alias("n"))
-        wish = tally.groupBy("g1", "g2", "group_size").agg(F.max_by(F.struct("shard", "n"), F.struct("n", -F.col("shard"))).alias("w")).select("g1", "g2", F.col("w.shard").alias("wish"), (F.col("group_size") - F.col("w.n")).alias("movers"))
+        wish = materialize(tally.groupBy("g1", "g2", "group_size").agg(F.max_by(F.struct("shard", "n"), F.struct("n", -F.col("shard"))).alias("w")).select("g1", "g2", F.col("w.shard").alias("wish"), (F.col("group_size") - F.col("w.n")).alias("movers")))
+        left = wish.agg(F.sum("movers")).first()[0] or 0  # never grows, as rows only move to where most of their group is
+        idle = idle + 1 if left == cut else 0
+        if not left or idle == PATIENCE:
+            break
+        cut = left
         load = linked.groupBy("shard").agg(F.count("*").alias("load"))
         asked = wish.groupBy(F.col("wish").alias("shard")).agg(F.sum("movers").alias("asked"))
-        quota = asked.join(load, "shard", "left").select(F.col("shard").alias("wish"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (capacity - F.coalesce("load", F.lit(0))) / F.greatest("asked", F.lit(1)))).alias("share"), F.greatest(F.lit(0), capacity - F.coalesce("load", F.lit(0))).alias("room"))
+        leaving = tally.join(wish, ["g1", "g2"]).where("shard <> wish").groupBy("shard").agg(F.sum("n").alias("leaving"))
+        room = F.greatest(F.lit(0), capacity - F.coalesce("load", F.lit(0)) + F.coalesce("leaving", F.lit(0)))
+        quota = asked.join(load, "shard", "left").join(leaving, "shard", "left").select(F.col("shard").alias("wish"), F.least(F.lit(1.0), room / F.greatest("asked", F.lit(1))).alias("share"), room.alias("room"))
         wish = wish.join(F.broadcast(quota), "wish")  # a row for each shard
         # a group that fits beside the others goes whole; a larger one sends a fraction of its rows
         small = F.col("movers") <= F.greatest(F.lit(1), F.col("room") / 8)
         wish = wish.withColumn("share", F.when(small, F.when(_unit("g1", F.lit(step)) < F.col("share"), 1.0).otherwise(0.0)).otherwise(F.col("share"))).select("g1", "g2", "wish", "share")
         moved = linked.join(wish, ["g1", "g2"]).withColumn("shard", F.when(_unit("rid", F.lit(step)) < F.col("share"), F.col("wish")).otherwise(F.col("shard")))
         linked = materialize(moved.select("rid", "g1", "g2", "group_size", "shard"))
+        step += 1
 
-    blocks = max(1, total // (shards * BLOCK))
-    spread = F.when(F.col("group_size") <= BLOCK, F.pmod("g1", F.lit(blocks))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(blocks)))
-    placed = _ranked(linked, ["shard"], ["g1", "g2", "rid"], spread, "slot")
+    placed = _ranked(linked.withColumn("_total", F.lit(total // shards)), ["shard"], ["g1", "g2", "rid"], _together(), "slot")
     placed = materialize(placed.withColumn("stays", F.col("slot") < capacity))
     held = {r[0]: r[1] for r in placed.where("stays").groupBy("shard").count().collect()}  # a row for each shard
     room = [target[k] - held.get(k, 0) for k in range(shards)]
     ends = [sum(room[: k + 1]) for k in range(shards)]
 
-    loose = rows.where("group_size = 1").select("rid", "g1", "g2", F.lit(1).alias("kind")).unionByName(placed.where("not stays").select("rid", "g1", "g2", F.lit(0).alias("kind")))
-    pool = max(1, total // BLOCK)
-    loose = _ranked(loose.withColumn("one", F.lit(0)), ["one"], ["kind", "g1", "g2", "rid"], F.when(F.col("kind") == 0, F.pmod("g1", F.lit(pool))).otherwise(F.pmod(F.xxhash64("rid"), F.lit(pool))) if total < BLOCK * shards else F.pmod(F.xxhash64("rid"), F.lit(pool)), "rank")
+    loose = rows.where("group_size = 1").select("rid", "g1", "g2", "group_size", F.lit(1).alias("kind")).unionByName(placed.where("not stays").select("rid", "g1", "g2", "group_size", F.lit(0).alias("kind")))
+    loose = _ranked(loose.withColumn("one", F.lit(0)).withColumn("_total", F.lit(total)), ["one"], ["kind", "g1", "g2", "rid"], _together(), "rank")
     cuts = F.array(*map(F.lit, ends))
     shard = F.size(F.filter(cuts, lambda e: e <= F.col("rank")))
     begin = F.element_at(F.array(*[F.lit(ends[k] - room[k]) for k in range(shards)]), F.col("shard") + 1)
@@ -90,3 +108,9 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS) -> DataFrame
     loose = loose.withColumn("shard", shard.cast("int")).select("rid", "shard", (F.col("rank") - begin + had).alias("slot"))
     where = placed.where("stays").select("rid", "shard", "slot").unionByName(loose)
     return rows.join(where, "rid").select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_size")
+
+
+def cut_links(assigned: DataFrame) -> DataFrame:
+    """One row of links, cut: rows with copies, and those outside the shard that most copies of their text are in.  Texts count as equal by size and CRC-32."""
+    group = assigned.where("group_size > 1").groupBy("size", "text_crc32", "shard").agg(F.count("*").alias("n")).groupBy("size", "text_crc32").agg(F.sum("n").alias("links"), F.max("n").alias("most"))
+    return group.agg(F.coalesce(F.sum("links"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("links") - F.col("most")), F.lit(0)).alias("cut"))
