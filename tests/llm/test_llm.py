@@ -89,7 +89,7 @@ def test_all_components_of_a_bucket_meet(spark):
     similar = {(1, 2), (3, 4), (11, 12), (12, 13)} | set(random.sample(sorted(x for x in shared if x[0] >= 100), 40))
     members = spark.createDataFrame([(0, k, x) for k, bucket in enumerate(buckets) for x in bucket], "band int, key long, x long")
     truth = spark.createDataFrame([p for a, b in similar for p in ((a, b), (b, a))], "leader long, x long")
-    _, labels = near_dedup.linked(members, lambda pairs: pairs.join(truth, ["leader", "x"]).select(F.col("leader").alias("a"), F.col("x").alias("b")))
+    _, labels = near_dedup.linked(members, lambda pairs: pairs.join(truth, ["leader", "x"]).select(F.col("leader").alias("a"), F.col("x").alias("b")), lambda nodes: members.withColumns({"before": F.lit(0.0), "whole": F.lit(1.0)}))
     got = {r["node"]: r["label"] for r in labels.collect()}
     want = {x: x for bucket in buckets for x in bucket}
     for _ in want:

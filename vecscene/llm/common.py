@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,24 +21,45 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table written in the shared folder that spark.checkpoint.dir names, and read again.
+#: Spark's setting that deletes a query's shuffle files once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    A checkpoint would run the last stage twice, once to count its rows and once to write them.
-    Only when neither that setting nor a folder of the context exists (tests) is a temporary one made.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.  Only a local session without that setting (tests) gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vecscene-")
         spark.sparkContext.setCheckpointDir(base)
-    path, schema = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}", df.schema
-    df.write.parquet(path)
-    # the context cleaner removes shuffle files once the driver has collected the plans that own them
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    return base.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table written in the shared folder, and read again; the shuffle files that it took go at once.
+
+    A checkpoint would run the last stage twice, once to count its rows and once to write them.
+    """
+    spark = df.sparkSession
+    path, was = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that materialize wrote, once all that reads them has been written itself."""
+    for df in tables:
+        if path := getattr(df, "table_path", None) if df is not None else None:
+            context = df.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -6,9 +6,11 @@ table has one size at any scale.  (A shingle's own document frequency would shri
 a large group of copies shares, and so break up the groups looked for.)
 
 Each document gives K consistent samples, R to a band.  Documents that share a band key are candidates, and weighted
-Jaccard over the whole texts verifies them.  At first members of a bucket whose components differ only meet one document of
-its lowest and highest component, in rounds until one adds no link: that joins large groups by few pairs.  Then every pair
-of a bucket that lies in two components is tested: some members meet all others, retire, and more follow in the next round.
+Jaccard over the whole texts verifies them.  The shingles of all bucket members are written once; rounds join only the
+few sets that they compare.  At first members of a bucket whose components differ only meet one document of its lowest
+and highest component, in rounds until one adds no link: that joins large groups by few pairs.  Members of the buckets
+that still hold several components then meet by an exact prefix filter on their rarest shingles, so that near misses of
+one template, which share buckets but no prefix, are not paired, and no similar pair is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import PUNCT, Words, chunks, grams, materialize, mix, signed
+from .common import PUNCT, Words, chunks, discard, grams, materialize, mix, signed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
@@ -27,8 +29,10 @@ BANDS, ROWS = 16, 3
 BUCKETS = 1 << 15
 #: Candidates that share one copy of their leader's text.
 SHARE = 64
-#: Members of a bucket that meet all others in the first round of the second phase, and the growth from round to round.
-LEADERS, GROWTH = 8, 4
+#: Members of a prefix bucket that meet all others in the first of these rounds, and the growth from round to round.
+LEADERS, GROWTH = 16, 16
+#: Rounds over bands go on while at least this share of their pairs is similar.
+WORTH = 0.05
 
 _QUANTILES = 1 << 12
 
@@ -135,58 +139,95 @@ def _signatures(idf):
     return run
 
 
-def _similar(idf, least: float):
-    """Rows come sorted by leader and salt, the leader's own first."""
+def _sets(idf):
+    """The weighted shingles of each row, sorted by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = idf.value
-        who, lead = None, None
         for batch in batches:
-            left, right = [], []
             for part in chunks(batch, "text", 1 << 19):
                 w = Words(part.column("text"), PUNCT, fold=True)
                 row, h, v = weighted_shingles(w, weight)
-                edge = np.searchsorted(row, np.arange(len(w) + 1))
-                leaders, others, ids = part.column("leader").to_pylist(), part.column("other").to_pylist(), part.column("doc_id").to_pylist()
-                for i, (a, b) in enumerate(zip(edge, edge[1:])):
-                    if not others[i]:
-                        who, lead = leaders[i], (h[a:b].copy(), v[a:b].copy(), v[a:b].sum())
-                    elif who == leaders[i] and ids[i] != who:
-                        x, y, all_ = lead
-                        at = np.minimum(np.searchsorted(x, h[a:b]), max(len(x) - 1, 0))
-                        hit = x[at] == h[a:b] if len(x) else np.zeros(b - a, bool)
-                        both = np.minimum(y[at[hit]], v[a:b][hit]).sum()
-                        union = all_ + v[a:b].sum() - both
-                        if union > 0 and both >= (least - 1e-9) * union:
-                            left.append(who)
-                            right.append(ids[i])
+                edge = pa.array(np.searchsorted(row, np.arange(len(w) + 1)), pa.int32())
+                yield pa.RecordBatch.from_pydict({"node": part.column("doc_id"), "h": pa.ListArray.from_arrays(edge, pa.array(signed(h))), "v": pa.ListArray.from_arrays(edge, pa.array(v.astype(np.float32)))})
+
+    return run
+
+
+def _similar(least: float):
+    """Rows come sorted by leader and salt, the leader's own first."""
+
+    def jaccard(a, b) -> bool:
+        x, y, all_ = a
+        at = np.minimum(np.searchsorted(x, b[0]), max(len(x) - 1, 0))
+        hit = x[at] == b[0] if len(x) else np.zeros(len(b[0]), bool)
+        both = np.minimum(y[at[hit]], b[1][hit]).sum()
+        union = all_ + b[2] - both
+        return union > 0 and both >= (least - 1e-9) * union
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, lead = None, []
+        for batch in batches:
+            left, right = [], []
+            edge = batch.column("h").offsets.to_numpy()
+            edge = (edge - edge[0]).tolist() if len(edge) else []
+            h = batch.column("h").flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            leaders, others, nodes = (batch.column(c).to_pylist() for c in ("leader", "other", "node"))
+            for i, (a, b) in enumerate(zip(edge, edge[1:])):
+                own = (h[a:b], v[a:b], v[a:b].sum())
+                if not others[i]:
+                    if who != leaders[i]:
+                        who, lead = leaders[i], []
+                    lead.append((own[0].copy(), own[1].copy(), own[2]))
+                elif who == leaders[i] and nodes[i] != who and any(jaccard(x, own) for x in lead):
+                    left.append(who)
+                    right.append(nodes[i])
             yield pa.RecordBatch.from_pydict({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, idf, least: float) -> DataFrame:
-    """Pairs (leader, x) whose weighted Jaccard similarity is at least `least`."""
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (leader, x) whose weighted Jaccard similarity is at least `least`; sets has a row (node, h, v) for each text."""
     salts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).alias("salts"))
     salted = pairs.join(salts, "leader").select("leader", F.pmod(F.xxhash64("x"), "salts").alias("salt"), "x")
-    own = salted.select(F.col("leader").alias("doc_id"), "leader", "salt", F.lit(0).alias("other")).distinct()
-    rows = own.unionByName(salted.select(F.col("x").alias("doc_id"), "leader", "salt", F.lit(1).alias("other")))
-    texts = rows.join(docs, "doc_id").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "other", "doc_id")
-    return texts.mapInArrow(_similar(idf, least), "a long, b long")
+    own = salted.select(F.col("leader").alias("node"), "leader", "salt", F.lit(0).alias("other")).distinct()
+    rows = own.unionByName(salted.select(F.col("x").alias("node"), "leader", "salt", F.lit(1).alias("other")))
+    met = rows.join(sets, "node").repartition("leader", "salt").sortWithinPartitions("leader", "salt", "other", "node")
+    return met.mapInArrow(_similar(least), "a long, b long")
+
+
+def prefixes(sets: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """band, key, x, before, whole: the shingles of each node's prefix that others have too, the weight before them and of all.
+
+    Shingles are ordered by the number of nodes that hold them, rare ones first.  What comes after the prefix weighs less
+    than `least` of the whole, so two sets as similar as that have their first common shingle in both prefixes.
+    """
+    flat = sets.join(nodes, sets["node"] == nodes["x"], "left_semi").select("node", F.explode(F.arrays_zip("h", "v")).alias("s")).select("node", "s.h", "s.v")
+    held = flat.groupBy("h").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("node").orderBy("held", "h")
+    before = F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    whole = F.sum("v").over(Window.partitionBy("node"))
+    ranked = flat.join(held, "h").withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("whole", whole)
+    return ranked.where((F.col("before") <= (1 - least + 1e-6) * F.col("whole")) & (F.col("held") > 1)).groupBy(F.lit(-1).alias("band"), F.col("h").alias("key"), F.col("node").alias("x")).agg(F.min("before").alias("before"), F.max("whole").alias("whole"))
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of undirected links a, b: neighbours' minimum, then a jump to the label's label."""
     both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    at = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
     while True:
+        labels = at.select("node", "label")
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         new = materialize(step.join(jump, "to").select("node", "was", F.least("to", "far").alias("label")))
-        labels = new.select("node", "label")
+        discard(at)
+        at = new
         if new.where("was <> label").isEmpty():
-            return labels
+            discard(both)
+            return new
 
 
 def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
@@ -194,95 +235,141 @@ def merged(labels: DataFrame | None, new: DataFrame) -> DataFrame:
     if labels is None:
         return components(new)
     fresh = new.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
-    labels = materialize(labels.unionByName(fresh.withColumn("label", F.col("node"))))
+    wider = materialize(labels.select("node", "label").unionByName(fresh.withColumn("label", F.col("node"))))
     for side in ("a", "b"):
-        new = new.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"to_{side}")), side)
+        new = new.join(wider.select(F.col("node").alias(side), F.col("label").alias(f"to_{side}")), side)
     roots = components(new.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct())
-    moved = labels.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
-    return materialize(moved.select("node", F.coalesce("root", "label").alias("label")))
-
+    moved = wider.join(roots.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    out = materialize(moved.select("node", F.coalesce("root", "label").alias("label")))
+    discard(labels, wider, roots)
+    return out
+
+
+class _Links:
+    """Tested pairs, links found, and the components they make."""
+
+    def __init__(self, verify):
+        self.verify, self.tested, self.links, self.labels = verify, [], [], None
+
+    def union(self, tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for x in tables[1:]:
+            out = out.unionByName(x)
+        return out
+
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        """Pairs (leader, x) that met in neither direction so far."""
+        if not self.tested:
+            return pairs
+        known = self.union(self.tested).select(F.least("leader", "x").alias("lo"), F.greatest("leader", "x").alias("hi"))
+        return pairs.join(known, (F.least(pairs["leader"], pairs["x"]) == known["lo"]) & (F.greatest(pairs["leader"], pairs["x"]) == known["hi"]), "left_anti")
+
+    def test(self, pairs: DataFrame) -> int:
+        """How many of the pairs (a table) are similar."""
+        self.tested.append(pairs)
+        new = materialize(self.verify(pairs))
+        self.links.append(new)
+        found = new.count()
+        if found or self.labels is None:
+            self.labels = merged(self.labels, new)
+        return found
 
-def linked(members: DataFrame, verify) -> tuple[DataFrame | None, DataFrame | None]:
-    """Links a, b and labels (node, label) of the components of members (band, key, x); verify(pairs) gives the similar ones of leader, x.
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
+            return rows.withColumn("label", F.col("x"))
+        return materialize(rows.join(self.labels, rows["x"] == self.labels["node"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("label", "x").alias("label")))
 
-    Any two members of a bucket end in one component or have been tested, in this bucket or another.
-    """
-    labels = links = tested = None
-
-    def test(pairs):
-        nonlocal labels, links, tested
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = materialize(verify(pairs))
-        links = new if links is None else links.unionByName(new)
-        found = not new.isEmpty()
-        if found or labels is None:
-            labels = merged(labels, new)
-        return found
 
-    def labelled(rows):
-        return rows.withColumn("label", F.col("x")) if labels is None else materialize(rows.join(labels, rows.x == labels.node, "left").select("band", "key", "x", F.coalesce("label", "x").alias("label")))
+def linked(members: DataFrame, verify, prefix, least: float = SIMILARITY) -> tuple[DataFrame | None, DataFrame | None]:
+    """Links a, b and labels (node, label) of the components of members (band, key, x).
 
+    verify(pairs) gives the similar ones of leader, x; prefix(nodes) the buckets (band, key, x, before, whole) in which all
+    similar ones of the nodes x meet.  Any two similar members of a bucket end in one component.
+    """
+    state = _Links(verify)
     first = True
     while True:
-        known = labelled(members)
+        known = state.labelled(members)
         ends = known.groupBy("band", "key").agg(F.min_by("x", F.struct("label", "x")).alias("low"), F.min("label").alias("low_label"), F.max_by("x", F.struct("label", -F.col("x"))).alias("high"), F.max("label").alias("high_label")).where("low_label < high_label")
-        mixed = known.join(ends, ["band", "key"])
-        members = mixed.select("band", "key", "x")  # a bucket of one component has nothing left to link
-        pairs = mixed.select("x", F.when(F.col("label") == F.col("low_label"), F.col("high")).otherwise(F.col("low")).alias("leader"))
-        pairs = pairs.select(F.least("x", "leader").alias("leader"), F.greatest("x", "leader").alias("x")).where("x <> leader") if first else pairs.where("x <> leader").distinct()
+        # a bucket of one component has nothing left to link; written apart, so that the join's hot keys can be split
+        ends = materialize(ends)
+        mixed = materialize(known.join(ends, ["band", "key"]))
+        discard(known, ends)
+        pairs = mixed.select("x", F.when(F.col("label") == F.col("low_label"), F.col("high")).otherwise(F.col("low")).alias("leader")).where("x <> leader")
         if first:  # first its best leader only
-            pairs = pairs.groupBy("leader", "x").agg(F.count("*").alias("shared"))
+            pairs = pairs.select(F.least("x", "leader").alias("leader"), F.greatest("x", "leader").alias("x")).groupBy("leader", "x").agg(F.count("*").alias("shared"))
             pairs = pairs.groupBy("x").agg(F.max_by("leader", F.struct("shared", -F.col("leader"))).alias("leader"))
         else:
-            pairs = pairs.join(tested, ["leader", "x"], "left_anti")
+            pairs = state.untested(pairs.distinct())
         pairs = materialize(pairs.select("leader", "x"))
-        if pairs.isEmpty() or not (test(pairs) or first):  # the first round tests best leaders only
+        discard(members)
+        members = mixed.select("band", "key", "x")
+        members.table_path = mixed.table_path
+        n = pairs.count()
+        # the first round tests best leaders only; few new links are left to the prefixes
+        if not n or not (state.test(pairs) >= WORTH * n or first):
             break
         first = False
 
-    n = LEADERS
-    while tested is not None:
-        known = labelled(members)
-        mixed = known.join(known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key"), ["band", "key"])
-        mixed = materialize(mixed.withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("x"))))
-        if mixed.isEmpty():
-            break
-        leaders = mixed.where(F.col("rank") <= n).select("band", "key", F.col("x").alias("leader"), F.col("label").alias("own"))
-        pairs = mixed.join(leaders, ["band", "key"]).where("leader < x and own <> label").select("leader", "x").distinct()
-        before = tested.select(F.least("leader", "x").alias("leader"), F.greatest("leader", "x").alias("x"))
-        pairs = materialize(pairs.join(before, ["leader", "x"], "left_anti"))
-        if not pairs.isEmpty():
-            test(pairs)
-        members = mixed.where(F.col("rank") > n).select("band", "key", "x")
-        n *= GROWTH
-    return links, labels
+    if state.tested:
+        rest = materialize(prefix(materialize(members.select("x").distinct())))
+        discard(members)
+        n = LEADERS
+        while True:
+            known = state.labelled(rest)
+            several = materialize(known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key"))
+            mixed = materialize(known.join(several, ["band", "key"]).withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("x"))))
+            discard(known, several, rest)
+            if mixed.isEmpty():
+                break
+            leaders = mixed.where(F.col("rank") <= n).select(F.col("band").alias("their_band"), F.col("key").alias("their_key"), F.col("x").alias("leader"), F.col("label").alias("own"), F.col("before").alias("their_before"), F.col("whole").alias("their_whole"))
+            # both are at most as heavy as what they have from this shingle on, if it is their first common one
+            reach = F.least(mixed["whole"] - mixed["before"], F.col("their_whole") - F.col("their_before")) * (1 + least) >= (least - 1e-6) * (mixed["whole"] + F.col("their_whole"))
+            pairs = mixed.join(leaders, (mixed["band"] == leaders["their_band"]) & (mixed["key"] == leaders["their_key"]) & (F.col("leader") < F.col("x")) & (F.col("own") != F.col("label")) & reach).select("leader", "x").distinct()
+            pairs = materialize(state.untested(pairs))
+            if not pairs.isEmpty():
+                state.test(pairs)
+            rest = materialize(mixed.where(F.col("rank") > n).drop("rank", "label"))
+            discard(mixed)
+            n *= GROWTH
+    discard(*state.tested)
+    return (state.union(state.links) if state.links else None), state.labels
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its distinct text): a row for each input row.
 
-    Texts with equal word sequences (case and ASCII punctuation aside) share a class from the start, wordless and null
-    texts among them.  Rows with a null doc_id get a null class.  Rows of one doc_id are one document.
+    Texts with equal word sequences (case and ASCII punctuation aside) share a class from the start, wordless, empty and
+    null texts among them.  Rows with a null doc_id get a null class.  Rows of one doc_id are one document, with any of
+    whose texts others may be linked.  An empty table gives none; other columns, whatever their names, are not looked at.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(word_weights(docs))
-    signed_ = materialize(docs.mapInArrow(_signatures(idf), "doc_id long, same1 long, same2 long, filled boolean, bands array<long>"))
-    groups = signed_.where("doc_id is not null").groupBy("same1", "same2").agg(F.min("doc_id").alias("rep"))
-    placed = materialize(signed_.join(groups, ["same1", "same2"], "left"))
-    own = placed.where("filled and doc_id = rep").select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("band", "key")).distinct()
-    sizes = own.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    signs = materialize(docs.mapInArrow(_signatures(idf), "doc_id long, same1 long, same2 long, filled boolean, bands array<long>"))
+    groups = materialize(signs.where("doc_id is not null").groupBy("same1", "same2").agg(F.min("doc_id").alias("rep")))
+    placed = materialize(signs.join(groups, ["same1", "same2"], "left").select("doc_id", "rep"))
+    # one row of each group of equal texts speaks for it, so the join's rows follow the groups and not their sizes
+    own = signs.where("filled").join(groups.withColumnRenamed("rep", "doc_id"), ["doc_id", "same1", "same2"]).select(F.col("doc_id").alias("x"), F.posexplode("bands").alias("band", "key")).distinct()
+    own = materialize(own)
+    discard(signs, groups)
+    sizes = materialize(own.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     members = materialize(own.join(sizes, ["band", "key"]))
+    discard(own, sizes)
 
-    texts = docs.where("doc_id is not null")
-    links, labels = linked(members, lambda pairs: _verified(pairs, texts, idf, least))
+    # the texts are read once more here, those of bucket members only; all rounds work on their shingles
+    ids = members.select(F.col("x").alias("doc_id")).distinct()
+    sets = materialize(docs.join(ids, "doc_id").mapInArrow(_sets(idf), "node long, h array<long>, v array<float>"))
+    links, labels = linked(members, lambda pairs: _verified(pairs, sets, least), lambda nodes: prefixes(sets, nodes, least), least)
+    discard(sets)
     if links is None:
         links = spark.createDataFrame([], "a long, b long")
         labels = spark.createDataFrame([], "node long, label long")
     degree = links.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct().groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    final = labels.join(degree, "node")
-    reps = groups.select("rep").distinct().join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return placed.select("doc_id", "rep").join(reps, "rep", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("n_links")).alias("n_links"))
+    final = labels.join(degree, "node").select("node", "label", "n_links")
+    reps = placed.select("rep").distinct().join(final, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("label", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    reps = materialize(reps.where("rep is not null"))
+    return placed.join(reps, "rep", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.col("n_links")).alias("n_links"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
