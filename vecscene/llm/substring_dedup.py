@@ -1,18 +1,22 @@
 """Substring dedup by De Bruijn compaction over word windows.
 
-Edges are the k-word windows of all documents.  Edges that share their smallest m-word anchor and follow one
-another form a path piece, so a passage that many documents hold turns into few pieces, cut at the same places
-in all of them.  The pieces meet in Spark joins:
-
-1. anchors are counted over all documents; an anchor found once can hold no repeated edge;
-2. a piece whose anchor repeats is keyed by its content; where an anchor has one content only (no branch), the
-   whole piece has its first source at once;
-3. where an anchor has several contents (a branch), the first holders' pieces are opened into single edges, and
-   each edge finds its first source by itself (later holders of a piece lie inside it as a whole);
-4. the source coordinates (document, first word, number of edges) come back to the text, whose covered words go.
+Edges are the k-word windows of all documents.  They travel in pieces: edges that follow one another and share their
+smallest m-word anchor, so a passage that many documents hold is cut at the same places in all of them.
+
+1. Anchors are counted over all documents; an anchor found once can hold no repeated edge.
+2. A piece whose anchor repeats is keyed by its content.  Joins give each content its first source, and the contents that
+   stand before and after it wherever it stands: its degrees in the graph.
+3. Contents that always follow one another compact: a join marks the heads of nonbranching paths, and a path keeps the
+   coordinates (document, first word, number of edges) of its first source.  All documents of one content on a path hold
+   the path as a whole, so only heads meet the documents again.
+4. Where an anchor has several contents (a branch), the first holders' pieces are opened into single edges, and each edge
+   finds its first source by itself (later holders of a piece lie inside it as a whole).
+5. The words at a path's source coordinates are read and digested there, and a later document loses a span only if its own
+   words give the same digest.
 
 Keys join two independent hashes (48-bit anchor, 64-bit content).  Counts and minima are pre-aggregated before each
-shuffle, and the joins that a hot passage makes uneven are plain equi-joins that adaptive execution can split.
+shuffle, and both sides of the joins that a hot passage makes uneven are written first, so that adaptive execution can
+split them.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import Words, chunks, grams, materialize, mix, signed
+from .common import BLANK, Words, chunks, discard, grams, materialize, mix, signed
 
 #: Low bits of a coordinate hold the number of edges, the others the first word.
 _BITS = 16
@@ -80,47 +84,78 @@ def _places(k: int, m: int):
             for part in chunks(batch, "text"):
                 w = Words(part.column("text"))
                 row, start, size, anchor, content, _ = _pieces(w, k, m)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"anchor": signed(anchor), "content": signed(content), "doc_id": ids[row], "at": ((start - w.ptr[row]) << _BITS) | size})
+                ids, tids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tid"))
+                yield pa.RecordBatch.from_pydict({"anchor": signed(anchor), "content": signed(content), "doc_id": ids[row], "tid": tids[row], "at": ((start - w.ptr[row]) << _BITS) | size})
 
     return run
 
 
-def _edges(k: int, m: int):
-    """Single edges of the pieces listed in column `open`."""
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """For each element of a list column the row it is in, and the elements."""
+    lists = column.fill_null([])
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+
+
+def _joined(w: Words) -> tuple[bytes, np.ndarray]:
+    """The bytes of all words, a space after each, and where each word begins."""
+    size = w.end - w.start
+    out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+    body = w.data[~BLANK[w.data]]
+    out[np.arange(len(body)) + np.repeat(np.arange(len(size)), size)] = body
+    return out.tobytes(), np.append(0, np.cumsum(size + 1))
+
+
+def _digest(joined: bytes, begin: np.ndarray, first: int, n: int) -> bytes:
+    return hashlib.blake2b(joined[begin[first] : begin[first + n]], digest_size=16).digest()
+
+
+def _sources(k: int, m: int):
+    """Single edges of the pieces in column `open`, and digests of the words at the paths' coordinates in column `paths`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
                 w = Words(part.column("text"))
                 row, start, size, anchor, _, edge = _pieces(w, k, m)
-                lists = part.column("open").fill_null([])
-                wanted = lists.flatten().to_numpy(zero_copy_only=False)
-                of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-                word = w.ptr[of] + (wanted >> _BITS)
-                piece = np.searchsorted(start, word)
+                of, wanted = _lists(part.column("open"))
+                wanted = wanted.to_numpy(zero_copy_only=False)
+                piece = np.searchsorted(start, w.ptr[of] + (wanted >> _BITS))
                 begin = np.cumsum(size) - size
                 n = size[piece]
                 inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_pydict({"anchor": signed(np.repeat(anchor[piece], n)), "edge": signed(edge[np.repeat(begin[piece], n) + inner]), "doc_id": np.repeat(ids[of], n), "word": np.repeat(wanted >> _BITS, n) + inner})
+                ids, tids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "tid"))
+                none = pa.nulls(len(inner), pa.binary())
+                yield pa.RecordBatch.from_pydict({"anchor": signed(np.repeat(anchor[piece], n)), "key": signed(edge[np.repeat(begin[piece], n) + inner]), "doc_id": np.repeat(ids[of], n), "tid": np.repeat(tids[of], n), "word": np.repeat(wanted >> _BITS, n) + inner, "digest": none})
+                of, paths = _lists(part.column("paths"))
+                if len(of):
+                    joined, at = _joined(w)
+                    field = lambda name: paths.field(name).to_numpy(zero_copy_only=False)
+                    first, n = field("first") + w.ptr[of], field("n") + k - 1
+                    digests = [_digest(joined, at, f, x) for f, x in zip(first.tolist(), n.tolist())]
+                    yield pa.RecordBatch.from_pydict({"anchor": field("anchor"), "key": field("content"), "doc_id": ids[of], "tid": tids[of], "word": field("first"), "digest": pa.array(digests, pa.binary())})
 
     return run
 
 
 def _cover(part: pa.RecordBatch, k: int) -> tuple[Words, np.ndarray]:
-    """The words of a chunk and which of them go."""
+    """The words of a chunk and which of them go: those of verified spans, and of single edges."""
     w = Words(part.column("text"))
-    n = len(w.hash)
-    step = np.zeros(n + 1, np.int64)
-    for name in ("gone", "gone_edges"):
-        lists = part.column(name).fill_null([])
-        at = lists.flatten().to_numpy(zero_copy_only=False)
-        of = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        first, size = (at >> _BITS, at & _MOST) if name == "gone" else (at, np.ones(len(at), np.int64))
-        np.add.at(step, w.ptr[of] + first, 1)
-        np.add.at(step, w.ptr[of] + first + size + k - 1, -1)
-    return w, np.cumsum(step[:n]) > 0
+    step = np.zeros(len(w.hash) + 1, np.int64)
+    of, spans = _lists(part.column("gone"))
+    if len(of):
+        joined, at = _joined(w)
+        first, n = (spans.field(c).to_numpy(zero_copy_only=False) for c in ("first", "n"))
+        lo = w.ptr[of] + first
+        hi = lo + n + k - 1
+        same = [h <= end and _digest(joined, at, f, h - f) == d for f, h, end, d in zip(lo.tolist(), hi.tolist(), w.ptr[of + 1].tolist(), spans.field("digest").to_pylist())]
+        np.add.at(step, lo[same], 1)
+        np.add.at(step, hi[same], -1)
+    of, edges = _lists(part.column("gone_edges"))
+    lo = w.ptr[of] + edges.to_numpy(zero_copy_only=False)
+    lo = lo[lo + k <= w.ptr[of + 1]]
+    np.add.at(step, lo, 1)
+    np.add.at(step, lo + k, -1)
+    return w, np.cumsum(step[:-1]) > 0
 
 
 def _digests(k: int):
@@ -168,45 +203,83 @@ def _texts(k: int):
 
 
 def removals(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
-    """doc_id, gone (coordinates of whole pieces), gone_edges (first words of single edges): windows to remove.
+    """doc_id, tid (hash of the text), gone (spans: first word, number of windows, digest), gone_edges (first words of windows).
 
-    A window goes if the same k words also start in a document with a smaller doc_id.  Rows with a null doc_id
-    take no part; rows of one doc_id are one document's and never remove each other.
+    A window goes if the same k words also start in a document with a smaller doc_id.  Rows with a null doc_id take no
+    part.  Rows of one doc_id are one document's and never remove each other, whether their texts are equal or not; each
+    has coordinates of its own, by the hash of its text.
     """
-    docs = docs.select("doc_id", "text").where("doc_id is not null")
-    anchors = docs.select("text").mapInArrow(_anchors(k, m), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
-    places = materialize(docs.mapInArrow(_places(k, m), "anchor long, content long, doc_id long, at long").join(anchors, "anchor"))
-    first = places.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"))
+    docs = docs.select("doc_id", "text").where("doc_id is not null").withColumn("tid", F.xxhash64("text"))
+    anchors = materialize(docs.select("text").mapInArrow(_anchors(k, m), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"))
+    places = materialize(docs.mapInArrow(_places(k, m), "anchor long, content long, doc_id long, tid long, at long").join(anchors, "anchor"))
+    discard(anchors)
+    first = places.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
     branch = first.groupBy("anchor").agg(F.count("*").alias("contents"))
-    known = materialize(first.join(branch, "anchor"))
-    judged = places.join(known, ["anchor", "content"])
-    later, open_ = F.col("doc_id") > F.col("source"), (F.col("doc_id") == F.col("source")) & (F.col("contents") > 1)
-    marks = materialize(judged.where(later | open_).groupBy("doc_id").agg(F.collect_list(F.when(later, F.col("at"))).alias("gone"), F.collect_list(F.when(open_, F.col("at"))).alias("open")))
-    opened = docs.join(marks.where(F.size("open") > 0).select("doc_id", "open"), "doc_id")
-    edges = materialize(opened.mapInArrow(_edges(k, m), "anchor long, edge long, doc_id long, word long"))
-    sources = edges.groupBy("anchor", "edge").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last")
-    singles = edges.join(sources, ["anchor", "edge"]).where("doc_id > source").groupBy("doc_id").agg(F.collect_list("word").alias("gone_edges"))
-    return marks.select("doc_id", "gone").join(singles, "doc_id", "full")
+    known = materialize(first.join(branch, "anchor").where("source < last or contents > 1"))
+    judged = materialize(places.join(known, ["anchor", "content"]))
+    discard(places, known)
+
+    # what stands before and after each piece of a repeated content; rows that are equal count once
+    by_row = Window.partitionBy("doc_id", "tid").orderBy("at")
+    word, size = F.shiftright("at", _BITS), F.col("at").bitwiseAND(_MOST)
+    after = F.lead(F.struct(word.alias("word"), "content")).over(by_row)
+    before = F.lag(F.struct((word + size).alias("end"), "content")).over(by_row)
+    rows = judged.where("source < last").repartition("doc_id", "tid").dropDuplicates(["doc_id", "tid", "at"])
+    rows = rows.withColumn("after", after).withColumn("before", before)
+    rows = rows.withColumn("after", F.when(F.col("after.word") == word + size, F.col("after.content"))).withColumn("before", F.when(F.col("before.end") == word, F.col("before.content")))
+    only = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))  # noqa: E731  degree one, and no place without a neighbour
+    pieces = materialize(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tid", "at")).alias("s"), F.coalesce(only("before"), F.lit(False)).alias("one_in"), F.coalesce(only("after"), F.lit(False)).alias("one_out"), F.min("before").alias("before")))
+    ends = pieces.where("one_out").select(F.col("content").alias("before")).distinct().withColumn("goes_on", F.lit(True))
+    joined = pieces.join(ends, "before", "left").select("anchor", "content", "s.*", (~(F.col("one_in") & F.coalesce("goes_on", F.lit(False)))).cast("int").alias("head"))
+    path = F.sum("head").over(by_row)
+    paths = joined.withColumn("path", path).groupBy("doc_id", "tid", "path").agg(F.min_by(F.struct("anchor", "content", word.alias("first")), "at").alias("h"), F.sum(size).alias("n"))
+    paths = materialize(paths.select("h.*", F.col("doc_id").alias("source"), F.col("tid").alias("source_tid"), "n"))
+    discard(pieces)
+
+    spans = materialize(judged.where("doc_id > source").select("anchor", "content", "doc_id", "tid", word.alias("first")).join(paths.select("anchor", "content", "n"), ["anchor", "content"]))
+    wanted = paths.groupBy(F.col("source").alias("doc_id"), F.col("source_tid").alias("tid")).agg(F.collect_list(F.struct("anchor", "content", "first", "n")).alias("paths"))
+    opened = judged.where("doc_id = source and contents > 1").groupBy("doc_id", "tid").agg(F.collect_set("at").alias("open"))
+    wanted = materialize(wanted.join(opened, ["doc_id", "tid"], "full"))
+    discard(paths, judged)
+    found = materialize(docs.join(wanted, ["doc_id", "tid"]).mapInArrow(_sources(k, m), "anchor long, key long, doc_id long, tid long, word long, digest binary"))
+    discard(wanted)
+
+    edges = found.where("digest is null").drop("digest")
+    sources = materialize(edges.groupBy("anchor", "key").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
+    singles = materialize(edges.join(sources, ["anchor", "key"]).where("doc_id > source").select("doc_id", "tid", "word"))
+    digests = found.where("digest is not null").select("anchor", F.col("key").alias("content"), "digest").dropDuplicates(["anchor", "content"])
+    checked = materialize(spans.join(digests, ["anchor", "content"]).select("doc_id", "tid", "first", "n", "digest"))
+    discard(found, sources, spans)
+    gone = checked.groupBy("doc_id", "tid").agg(F.collect_set(F.struct("first", "n", "digest")).alias("gone"))
+    out = materialize(gone.join(singles.groupBy("doc_id", "tid").agg(F.collect_set("word").alias("gone_edges")), ["doc_id", "tid"], "full"))
+    discard(checked, singles)
+    return out
+
+
+def _marked(docs: DataFrame, k: int, m: int) -> DataFrame:
+    """docs with columns gone and gone_edges."""
+    marks = removals(docs, k, m).select(F.col("doc_id").alias("_doc"), F.col("tid").alias("_tid"), F.col("gone").alias("_gone"), F.col("gone_edges").alias("_edges"))
+    both = docs.join(marks, (docs["doc_id"] == marks["_doc"]) & (F.xxhash64(docs["text"]) == marks["_tid"]), "left")
+    return both.select(*[docs[c] for c in docs.columns], F.col("_gone").alias("gone"), F.col("_edges").alias("gone_edges"))
 
 
 def dedup_digest(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row; null texts have no words."""
     base = docs.select("doc_id", "text")
-    return base.join(removals(docs, k, m), "doc_id", "left").mapInArrow(_digests(k), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return _marked(base, k, m).mapInArrow(_digests(k), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def dedup_texts(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     """doc_id and text without the covered words and the blanks before them; other texts stay as they are."""
     base = docs.select("doc_id", "text")
-    return base.join(removals(docs, k, m), "doc_id", "left").mapInArrow(_texts(k), "doc_id long, text string")
+    return _marked(base, k, m).mapInArrow(_texts(k), "doc_id long, text string")
 
 
 def dedup_documents(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     """docs with column text as dedup_texts leaves it (n_chars, where present, follows); all other columns unchanged."""
     kept = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(c) for c in kept]).alias("rest"))
-    found = rows.join(removals(docs, k, m).withColumnRenamed("gone", "_gone").withColumnRenamed("gone_edges", "_gone_edges"), "doc_id", "left")
-    new = found.select("doc_id", "text", F.col("_gone").alias("gone"), F.col("_gone_edges").alias("gone_edges"), "rest").mapInArrow(_with_texts(k), _schema(rows))
+    new = _marked(rows, k, m).mapInArrow(_with_texts(k), _schema(rows))
     columns = {c: F.col("rest")[c] for c in kept}
     changed = new.select("doc_id", "text", "changed", "rest").withColumns({f"_{i}": v for i, v in enumerate(columns.values())})
     named = {c: F.col(f"_{i}") for i, c in enumerate(columns)}
