@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecscene.functions.encoding import ColorModel, EmbeddingModel
-from vecscene.operators import index, kmeans, search, tiering
+from vecscene.operators import index, kmeans, metrics, search, tiering
 from vecscene.plans import oracles, queries
 from vecscene.sources import splats
 
@@ -83,6 +83,7 @@ def test_pruned_with_all_probes_is_exact_and_ties_go_by_id(spark):
     c = np.eye(4)
     table = df.join(kmeans.assign(df, c).select("row_id", F.col("label").alias("coarse")), "row_id")
     assert {(r["qid"], r["rank"]): r["row_id"] for r in search.pruned(table, c, q, 6, 4).collect()} == truth
+    assert {(r["qid"], r["rank"]): r["row_id"] for r in search.pruned_join(table, c, q, 6, 4).collect()} == truth
     assert search.pruned(table, c, q, 6, 1).groupBy("qid").count().agg(F.max("count")).first()[0] == 5  # fewer than k
 
 
@@ -97,11 +98,70 @@ def test_index(spark, tmp_path):
     best = ix.query(v, 3).orderBy("rank").first()
     assert (best["row_id"], best["distance"]) == (3, 0.0) and ix.stats.n_splats == 200
     assert ix.query_with_details(v, 4).count() == 4
+    details = ix.query_with_details(v, 4).orderBy("rank").collect()
+    fine = {r["row_id"]: (r["coarse"], r["fine"]) for r in ix.table.collect()}
+    assert all(fine[r["row_id"]] == (r["coarse"], r["fine"]) for r in details) and ix.stats.n_fine_clusters == len(set(fine.values()))
+    assert ix.get(3).count() == 1 and ix.get(-1).count() == 0
+    near = ix.with_splats(ix.query(v, 2)).orderBy("rank").first()
+    assert near["id"] == 3 and near["distance"] == 0.0 and ix.stats.mean_query_seconds > 0
     ix.save(str(tmp_path / "ix"))
-    c = ix.centroids
-    ix.load(str(tmp_path / "ix"), c)
-    assert ix.query(v, 1).first()["row_id"] == 3
+    other = index.SplatIndex(spark)
+    other.load(str(tmp_path / "ix"))
+    assert other.query(v, 1).first()["row_id"] == 3 and other.config == ix.config
+    again = other.encode(splats.generate(spark, 200).where("id = 3")).first()["v"]
+    assert np.allclose(again, v)
     ix.clear()
+    other.clear()
+
+
+def test_fine_clusters_are_k_means(spark):
+    """Against Lloyd rounds in each coarse cluster from the same first rows."""
+    rng = np.random.default_rng(3)
+    x, coarse = rng.normal(size=(120, 3)), np.repeat([0, 1], [80, 40])
+    df = spark.createDataFrame([(i, row.tolist(), int(c)) for i, (row, c) in enumerate(zip(x, coarse))], "row_id long, v array<double>, coarse int")
+    order = [r["row_id"] for r in df.select("row_id", F.xxhash64("row_id", F.lit(42)).alias("h")).orderBy("h", "row_id").collect()]
+    got = {r["row_id"]: r["fine"] for r in index.fine_labels(df, 6, 42, 2).collect()}
+    for k in (0, 1):
+        rows = np.flatnonzero(coarse == k)
+        c = x[[i for i in order if coarse[i] == k][: index.fine_clamp(6, len(rows))]]
+        for _ in range(2):
+            label = kmeans.squared_distances(x[rows], c).argmin(1)
+            c = np.array([x[rows][label == j].mean(0) if (label == j).any() else c[j] for j in range(len(c))])
+        assert [got[i] for i in rows] == kmeans.squared_distances(x[rows], c).argmin(1).tolist()
+
+
+def test_numbers_that_are_not_finite_do_no_harm(spark):
+    x = np.concatenate([np.eye(3) * 5, np.eye(3) * 5 + 0.1])
+    x[5, 1] = np.nan
+    df = _vectors(spark, x)
+    c = kmeans.plus_plus(df, 3)
+    assert np.isfinite(c).all() and np.isfinite(kmeans.partial_sums(df, c)[0]).all()
+
+
+def test_seeds_are_drawn_by_distance(spark):
+    """Shares of second seeds over many random states against squared distances from the first."""
+    x = np.array([[0.0], [1.0], [2.0], [3.0]])
+    df = _vectors(spark, x).coalesce(1).persist()
+    hits, want = np.zeros(4), np.zeros(4)
+    for seed in range(30):
+        a, b = kmeans.plus_plus(df, 2, seed)[:, 0]
+        hits[int(b)] += 1
+        d = (x[:, 0] - a) ** 2
+        want += d / d.sum()
+    df.unpersist()
+    assert np.abs(hits - want).max() < 9  # about three deviations
+
+
+def test_generator_distribution(spark):
+    df = splats.generate(spark, 4000, 7)
+    r = df.agg(F.avg(F.col("position")[0]), F.stddev(F.col("position")[0]), F.avg("opacity"), F.min("opacity"), F.max("opacity"), F.avg(F.ln(F.col("scale")[1])), F.stddev(F.ln(F.col("scale")[1]))).first()
+    assert abs(r[0]) < 0.7 and abs(r[1] - 10) < 0.5 and abs(r[2] - 0.5) < 0.03 and 0 < r[3] < r[4] < 1 and abs(r[5]) < 0.15 and abs(r[6] - 2) < 0.1
+
+
+def test_json_sink(spark, tmp_path):
+    df = metrics.latency_summary(spark.createDataFrame([(0.5,), (1.5,)], "s double"), "s")
+    metrics.write_json(df, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first()["mean"] == 1.0
 
 
 def test_registered_recall(spark, sf):

@@ -65,10 +65,14 @@ class ColorModel:
 
     def encode(self, color: Column) -> Column:
         n = self.bins
-        cell = self.cells(color)
-        axis = lambda k: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.abs(i - cell[k]) <= RADIUS, F.exp(-((i - cell[k]) * (i - cell[k])) / F.lit(SPREAD))).otherwise(0.0))
+        weight = lambda d: math.exp(-d * d / SPREAD) if abs(d) <= RADIUS else 0.0
+        # a row of weights for each cell of an axis
+        axis = F.array(*[F.array(*[F.lit(weight(i - c)) for i in range(n)]) for c in range(n)])
+        # one-element arrays bind the cells and their rows, so that they are made once a colour
+        axes = F.transform(F.array(self.cells(color)), lambda c: F.struct(*[F.get(axis, c[k]).alias(a) for k, a in enumerate("rgb")]))
         # the weight is a product over the axes, so three short arrays give the cube
-        return F.flatten(F.transform(axis(0), lambda r: F.flatten(F.transform(axis(1), lambda g: F.transform(axis(2), lambda b: r * g * b)))))
+        cube = lambda a: F.flatten(F.transform(a["r"], lambda r: F.flatten(F.transform(a["g"], lambda g: F.transform(a["b"], lambda b: r * g * b)))))
+        return F.transform(axes, cube)[0]
 
 
 def attributes(opacity: Column, scale: Column, rotation: Column) -> Column:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import time
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.encoding import EmbeddingModel
+from ..functions.encoding import ColorModel, EmbeddingModel, PositionModel
 from . import search
-from .kmeans import KMeans, assign, squared_distances
+from .kmeans import KMeans, labelled, nearest
 
 #: Rows of a coarse cluster that one task clusters finely.
 SHARE = 4096
+#: Rounds of the K-Means inside a coarse cluster.
+FINE_ROUNDS = 3
 
 
 @dataclass
@@ -46,32 +49,80 @@ def fine_clamp(n_fine: int, size: int) -> int:
     return max(1, min(n_fine, size // 5))
 
 
-def fine_labels(index: DataFrame, n_fine: int, seed: int = 42) -> DataFrame:
-    """row_id, coarse, fine: each row's nearest seed among fine_clamp(n_fine, size) rows of its coarse cluster.
+def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """K-Means inside each coarse cluster: the rows (row_id, coarse, v and what else they have) with a label fine, and the
+    centroids (coarse, fine, c).  The rows stay persisted until the caller lets go of them.
 
-    Seeds are the rows of lowest hash.  A cluster is dealt out in groups of SHARE rows, each with its own copy of the
-    seeds, so a large cluster is never one task.
+    A cluster of n rows gets fine_clamp(n_fine, n) centroids, first the rows of lowest hash.  In each round every group of
+    rows gives sums for each centroid, which Spark adds up; a centroid without rows stays.  A cluster is dealt out in groups
+    of SHARE rows, each with its own copy of the centroids, so that a large cluster is never one task; the rows are
+    shuffled once for all rounds.
     """
     sizes = index.groupBy("coarse").agg(F.count("*").alias("size")).select("coarse", F.greatest(F.lit(1), F.least(F.lit(n_fine), F.floor(F.col("size") / 5))).alias("n_fine"), F.ceil(F.col("size") / SHARE).alias("salts"))
-    rows = index.join(sizes, "coarse").select("row_id", "coarse", "v", "n_fine", "salts", F.xxhash64("row_id", F.lit(seed)).alias("h"))
+    sizes = sizes.persist()
+    rows = index.join(F.broadcast(sizes), "coarse").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(seed)), "salts")).drop("n_fine", "salts")  # a row for each cluster
+    rows = rows.repartition("coarse", "salt").persist()
+    # ranks carry no vectors
     rank = F.row_number().over(Window.partitionBy("coarse").orderBy("h", "row_id")) - 1
-    seeds = rows.withColumn("fine", rank).where(F.col("fine") < F.col("n_fine")).select("coarse", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "fine", "v")
-    salted = rows.select("row_id", "coarse", F.pmod("h", "salts").alias("salt"), "v")
-
-    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("fine")
-        if left.empty:
-            return pd.DataFrame({"row_id": [], "coarse": [], "fine": []})
-        d = squared_distances(np.stack(left["v"]).astype(np.float64), np.stack(right["v"]).astype(np.float64))
-        return pd.DataFrame({"row_id": left["row_id"], "coarse": left["coarse"], "fine": right["fine"].to_numpy()[d.argmin(1)]})
-
-    seeds = seeds.toDF("seed_coarse", "seed_salt", "fine", "v")
-    return salted.groupBy("coarse", "salt").cogroup(seeds.groupBy("seed_coarse", "seed_salt")).applyInPandas(nearest, "row_id long, coarse int, fine int")
+    first = rows.select("row_id", "coarse", F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("fine", rank).join(F.broadcast(sizes), "coarse").where(F.col("fine") < F.col("n_fine")).select("row_id", "coarse", "fine")
+    centroids = rows.select("row_id", "v").join(first, "row_id").select("coarse", "fine", F.col("v").alias("c")).persist()
+    dim = len(centroids.first()["c"])
+
+    def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["coarse", "fine", "n", "sums"]
+        if left.empty or right.empty:
+            return pd.DataFrame({x: [] for x in names})
+        right = right.sort_values("c_fine")
+        x, c = np.nan_to_num(np.stack(left["v"])), np.stack(right["c"])
+        label = nearest(x, c)[0]
+        total = np.zeros(c.shape)
+        np.add.at(total, label, x)
+        n = np.bincount(label, minlength=len(c))
+        return pd.DataFrame({"coarse": right["c_coarse"].to_numpy(), "fine": right["c_fine"].to_numpy(), "n": n, "sums": list(total)})
+
+    for _ in range(rounds):
+        parts = rows.select("coarse", "salt", "v").groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(sums, "coarse int, fine int, n long, sums array<double>")
+        added = parts.groupBy("coarse", "fine").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums"))
+        new = centroids.join(added, ["coarse", "fine"], "left").select("coarse", "fine", F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("c")).persist()
+        new.count()
+        centroids.unpersist()
+        centroids = new
+    return rows, centroids
+
+
+def _copies(centroids: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The centroids of a cluster once for each group of its rows."""
+    return centroids.join(F.broadcast(sizes), "coarse").select("coarse", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "fine", "c").toDF("c_coarse", "c_salt", "c_fine", "c")
+
+
+def fine_labels(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> DataFrame:
+    """The columns of index and fine: the nearest fine centroid of each row's own coarse cluster."""
+    rows, centroids = fine_fit(index, n_fine, seed, rounds)
+    sizes = rows.groupBy("coarse").agg((F.max("salt") + 1).alias("salts"))
+    columns = index.columns
+    schema = rows.select(*columns).schema.add("fine", "integer")
+
+    def label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left[columns]
+        if left.empty or right.empty:
+            return left.iloc[:0].assign(fine=np.zeros(0, np.int32))
+        right = right.sort_values("c_fine")
+        return left.assign(fine=right["c_fine"].to_numpy()[nearest(np.nan_to_num(np.stack(left["v"])), np.stack(right["c"]))[0]])
+
+    return rows.groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(label, schema)
+
+
+def members(index: DataFrame) -> DataFrame:
+    """row_id, coarse, place: the place of each row among those of its cluster, in order of row_id from 0."""
+    return index.select("row_id", "coarse", (F.row_number().over(Window.partitionBy("coarse").orderBy("row_id")) - 1).alias("place"))
 
 
 @dataclass
 class SplatIndex:
-    """add_splats, build, query, batch_query, query_with_details, save and load."""
+    """add_splats, build, query, batch_query, query_with_details, get, members, save and load.
+
+    The built table has row_id, id, v, coarse and fine.
+    """
 
     spark: SparkSession
     config: IndexConfig = field(default_factory=IndexConfig)
@@ -80,6 +131,7 @@ class SplatIndex:
     model: EmbeddingModel | None = None
     centroids: np.ndarray | None = None
     table: DataFrame | None = None
+    held: list = field(default_factory=list)
 
     def add_splats(self, splats: DataFrame) -> None:
         self.splats = splats if self.splats is None else self.splats.unionByName(splats, allowMissingColumns=True)
@@ -90,13 +142,18 @@ class SplatIndex:
         began = time.time()
         if self.splats is None or self.splats.isEmpty():
             return 0.0
+        self.release()
         self.model = EmbeddingModel.fit(self.splats)
         rows = self.model.transform(self.splats.withColumn("row_id", F.col("id"))).select("row_id", "id", F.col("embedding").alias("v")).persist()
         n = rows.count()
         fit = KMeans(coarse_clamp(self.config.n_coarse, n), self.config.batch_size, self.config.max_iter, self.config.random_state).fit(rows)
         self.centroids = fit.centroids_
-        self.table = rows.join(assign(rows, self.centroids).select("row_id", F.col("label").alias("coarse")), "row_id")
-        self.stats = IndexStats(n, len(self.centroids), build_seconds=time.time() - began)
+        coarse = labelled(rows, self.centroids, "row_id", "id", "v").withColumnRenamed("label", "coarse").drop("d2")
+        self.table = fine_labels(coarse, self.config.n_fine, self.config.random_state).persist()
+        self.held = [self.table]
+        fine = self.table.groupBy("coarse").agg(F.count_distinct("fine").alias("fine")).agg(F.count("*").alias("coarse"), F.sum("fine").alias("fine")).first()
+        rows.unpersist()
+        self.stats = IndexStats(n, fine["coarse"], fine["fine"], build_seconds=time.time() - began)
         return self.stats.build_seconds
 
     def _ready(self) -> DataFrame:
@@ -104,34 +161,79 @@ class SplatIndex:
             raise RuntimeError("Index not built. Call build() first.")
         return self.table
 
+    def encode(self, splats: DataFrame) -> DataFrame:
+        """qid, v of splats under the bounds and colour range of this index."""
+        self._ready()
+        return self.model.transform(splats).select(F.col("id").alias("qid"), F.col("embedding").alias("v"))
+
+    def _one(self, vector) -> DataFrame:
+        return self.spark.createDataFrame([(0, [float(x) for x in np.ravel(vector)])], "qid long, v array<double>")
+
     def batch_query(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """queries (qid, v) to qid, rank, row_id, distance."""
+        """queries (qid, v) to qid, rank, row_id, distance; found at once, so that the mean query time is one of work done."""
         began = time.time()
         table = self._ready()
         out = search.exact(table, queries, k) if self.config.mode == "exact" else search.pruned(table, self.centroids, queries, k, self.config.n_probe)
+        out = out.persist()
+        out.count()
+        self.held.append(out)  # k rows for each query
         took = time.time() - began
         self.stats.mean_query_seconds = (self.stats.mean_query_seconds * self.stats.n_queries + took) / (self.stats.n_queries + 1)
         self.stats.n_queries += 1
         return out
 
     def query(self, vector, k: int = 10) -> DataFrame:
-        one = self.spark.createDataFrame([(0, [float(x) for x in np.ravel(vector)])], "qid long, v array<double>")
-        return self.batch_query(one, k).drop("qid")
+        return self.batch_query(self._one(vector), k).drop("qid")
 
     def query_with_details(self, vector, k: int = 10) -> DataFrame:
         """rank, row_id, distance, coarse, fine; always pruned."""
         table = self._ready()
-        one = self.spark.createDataFrame([(0, [float(x) for x in np.ravel(vector)])], "qid long, v array<double>")
-        found = search.pruned(table, self.centroids, one, k, self.config.n_probe)
-        return found.join(fine_labels(table, self.config.n_fine, self.config.random_state), "row_id").select("rank", "row_id", "distance", "coarse", "fine")
+        found = search.pruned(table, self.centroids, self._one(vector), k, self.config.n_probe)
+        return table.select("row_id", "coarse", "fine").join(F.broadcast(found), "row_id").select("rank", "row_id", "distance", "coarse", "fine")  # k rows
 
-    def save(self, path: str) -> None:
-        """Stored by coarse cluster, so that a probe list prunes partitions."""
-        self._ready().repartition("coarse", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.mode("overwrite").partitionBy("coarse").parquet(path)
+    def with_splats(self, found: DataFrame) -> DataFrame:
+        """The splats of found rows, joined after the k best are known."""
+        splats = self.splats.withColumn("row_id", F.col("id"))
+        return splats.join(found, "row_id").drop("row_id")
+
+    def get(self, splat_id: int) -> DataFrame:
+        """The splat of an id: one row, or none."""
+        return self.splats.where(F.col("id") == splat_id)
 
-    def load(self, path: str, centroids: np.ndarray) -> None:
-        self.table, self.centroids = self.spark.read.parquet(path), centroids
+    def members(self, coarse: int | None = None) -> DataFrame:
+        """row_id, coarse, place of all rows, or of one cluster's."""
+        table = self._ready()
+        return members(table if coarse is None else table.where(F.col("coarse") == coarse))
+
+    def save(self, path: str) -> None:
+        """Rows by coarse cluster, so that a probe list prunes partitions; centroids, encoding model and settings beside them."""
+        self._ready().repartition("coarse", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.mode("overwrite").partitionBy("coarse").parquet(f"{path}/rows")
+        if self.splats is not None:
+            self.splats.write.mode("overwrite").parquet(f"{path}/splats")
+        about = {"config": asdict(self.config), "stats": asdict(self.stats), "model": self.model and asdict(self.model)}
+        cells = [(k, [float(x) for x in row]) for k, row in enumerate(self.centroids)]
+        self.spark.createDataFrame(cells, "k int, c array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+        self.spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+    def load(self, path: str) -> None:
+        """What save wrote; queries and new splats can be encoded and asked at once."""
+        self.release()
+        self.table = self.spark.read.parquet(f"{path}/rows")
+        self.centroids = np.array([r["c"] for r in self.spark.read.parquet(f"{path}/centroids").orderBy("k").collect()])  # K rows
+        about = json.loads(self.spark.read.json(f"{path}/about").first()["about"])
+        self.config, self.stats = IndexConfig(**about["config"]), IndexStats(**about["stats"])
+        if m := about["model"]:
+            p = m["position"]
+            self.model = EmbeddingModel(PositionModel(tuple(p["low"]), tuple(p["high"]), p["dim"]), ColorModel(**m["color"]))
+            self.splats = self.spark.read.parquet(f"{path}/splats")
+
+    def release(self) -> None:
+        """Let go of all that is persisted."""
+        for df in self.held:
+            df.unpersist()
+        self.held = []
 
     def clear(self) -> None:
+        self.release()
         self.splats = self.table = self.centroids = self.model = None
         self.stats = IndexStats()

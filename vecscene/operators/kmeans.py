@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 #: Cells of the distance matrix computed at once in a task.
 _CELLS = 1 << 21
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of a list column; numbers that are not finite count as zero, so that they can neither win nor spread."""
     flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else pa.array([])
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, dim)
 
 
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -28,22 +29,51 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
+def product_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and for each row of x a bound of their error."""
+    a, b = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", c, c)
+    return a[:, None] + b - 2 * (x @ c.T), (a + b.max(initial=0.0)) * 1e-12 * max(1, x.shape[1])
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nearest row of c (the lowest among equals) and its squared distance in difference form."""
+    label = np.zeros(len(x), np.int64)
+    step = max(1, _CELLS // max(1, len(c)))
+    for a in range(0, len(x), step):
+        part = x[a : a + step]
+        about, error = product_distances(part, c)
+        close = about <= about.min(1)[:, None] + 2 * error[:, None]
+        best = close.argmax(1)
+        # rows with several candidates inside the error are measured exactly
+        several = np.flatnonzero(close.sum(1) > 1)
+        best[several] = squared_distances(part[several], c).argmin(1)
+        label[a : a + step] = best
+    d = x - c[label]
+    return label, np.einsum("nd,nd->n", d, d)
+
+
 def _broadcast(df: DataFrame, c: np.ndarray):
     return df.sparkSession.sparkContext.broadcast(np.asarray(c, np.float64))
 
 
-def assign(df: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """row_id, label (nearest centroid, the lowest among equals), d2."""
+def labelled(df: DataFrame, centroids: np.ndarray, *columns: str) -> DataFrame:
+    """The columns, label (nearest centroid, the lowest among equals) and d2, in one pass."""
     shared = _broadcast(df, centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         for b in batches:
-            d = squared_distances(matrix(b.column("v"), c.shape[1]), c)
-            k = d.argmin(1) if len(d) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"row_id": b.column("row_id"), "label": pa.array(k.astype(np.int32)), "d2": pa.array(d[np.arange(len(d)), k])})
+            k, d = nearest(matrix(b.column("v"), c.shape[1]), c)
+            yield pa.RecordBatch.from_arrays([*[b.column(x) for x in columns], pa.array(k.astype(np.int32)), pa.array(d)], [*columns, "label", "d2"])
 
-    return df.select("row_id", "v").mapInArrow(run, "row_id long, label int, d2 double")
+    rows = df.select(*dict.fromkeys([*columns, "v"]))
+    schema = rows.select(*columns).schema.add("label", "integer").add("d2", "double")
+    return rows.mapInArrow(run, schema)
+
+
+def assign(df: DataFrame, centroids: np.ndarray) -> DataFrame:
+    """row_id, label, d2."""
+    return labelled(df, centroids, "row_id")
 
 
 def distances(df: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -71,11 +101,10 @@ def partial_sums(df: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.n
         for b in batches:
             x = matrix(b.column("v"), dim)
             if len(x):
-                d = squared_distances(x, c)
-                label = d.argmin(1)
+                label, d = nearest(x, c)
                 np.add.at(sums, label, x)
                 counts += np.bincount(label, minlength=k)
-                inertia += np.bincount(label, d[np.arange(len(d)), label], minlength=k)
+                inertia += np.bincount(label, d, minlength=k)
         yield pa.RecordBatch.from_pydict({"k": np.arange(k, dtype=np.int32), "n": counts, "inertia": inertia, "sums": pa.array(list(sums), pa.list_(pa.float64()))})
 
     parts = df.select("v").mapInArrow(run, "k int, n long, inertia double, sums array<double>")
@@ -112,16 +141,45 @@ def _draw(seed: int, *salt: int):
 def plus_plus(df: DataFrame, k: int, seed: int = 42) -> np.ndarray:
     """K-Means++ seeds: the first by chance, each next with probability in proportion to its squared distance.
 
-    The weighted draw is an exponential race (smallest -ln(u) / d2), one pass without a global sort.  Should all
-    distances be zero, any row will do.
+    The weighted draw is an exponential race (smallest -ln(u) / d2), in one pass without a shuffle of vectors: each task
+    gives its own winner.  Should all distances be zero, any row will do.
     """
     first = df.select(F.min_by("v", _draw(seed)).alias("v")).first()["v"]
-    chosen = [np.array(first, np.float64)]
+    chosen = np.nan_to_num(np.array([first], np.float64), nan=0.0, posinf=0.0, neginf=0.0)
     for step in range(1, k):
-        near = df.select("row_id", "v").join(assign(df, np.stack(chosen)).select("row_id", "d2"), "row_id")
-        race = F.when(F.col("d2") > 0, -F.ln(_draw(seed, step)) / F.col("d2")).otherwise(F.lit(float("inf")))
-        chosen.append(np.array(near.select(F.min_by("v", F.struct(race.alias("race"), _draw(seed, step).alias("u"))).alias("v")).first()["v"], np.float64))
-    return np.stack(chosen)
+        shared = _broadcast(df, chosen)
+
+        def race(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best = None
+            for b in batches:
+                x, u = matrix(b.column("v"), shared.value.shape[1]), b.column("u").to_numpy()
+                if len(x):
+                    d = nearest(x, shared.value)[1]
+                    with np.errstate(divide="ignore"):
+                        time = np.where(d > 0, -np.log(u) / d, np.inf)
+                    i = np.lexsort((u, time))[0]
+                    best = min([(time[i], u[i], x[i])] + ([best] if best else []), key=lambda t: t[:2])
+            if best:
+                yield pa.RecordBatch.from_pydict({"race": [best[0]], "u": [best[1]], "v": [best[2].tolist()]})
+
+        won = df.select("v", _draw(seed, step).alias("u")).mapInArrow(race, "race double, u double, v array<double>")
+        chosen = np.vstack([chosen, won.select(F.min_by("v", F.struct("race", "u")).alias("v")).first()["v"]])
+    return chosen
+
+
+def weighted_pick(df: DataFrame, weight: str, r: float) -> DataFrame:
+    """The row_id at which the running sum of weights, in order of row_id, first reaches the share r of the whole (else the last).
+
+    Running sums are of ranges of ids first and then inside the one range where the share is reached, so no task sorts all rows.
+    """
+    rows = df.select("row_id", F.col(weight).cast("double").alias("w"), F.shiftright("row_id", 12).alias("range"))
+    ranges = rows.groupBy("range").agg(F.sum("w").alias("w"))
+    upto = F.sum("w").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0))
+    ranges = ranges.withColumn("upto", upto).withColumn("target", F.lit(r) * F.max("upto").over(Window.partitionBy()))
+    at = ranges.agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("target"), F.col("range"))), F.max("range")).alias("range"))
+    inside = rows.join(F.broadcast(ranges.join(at, "range").select("range", (F.col("upto") - F.col("w")).alias("before"), "target")), "range")
+    run = F.col("before") + F.sum("w").over(Window.partitionBy("range").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("run", run).agg(F.coalesce(F.min(F.when(F.col("run") >= F.col("target"), F.col("row_id"))), F.max("row_id")).alias("row_id"))
 
 
 class KMeans:
@@ -180,3 +238,7 @@ class KMeans:
 
     def transform(self, df: DataFrame) -> DataFrame:
         return distances(df, self._fitted())
+
+
+#: Another name of the same class.
+KMeansJIT = KMeans

@@ -1,4 +1,4 @@
-"""Latency figures and results of benchmark runs."""
+"""Latency figures and results of benchmark runs, and their JSON form."""
 
 from __future__ import annotations
 
@@ -21,3 +21,8 @@ def latency_summary(df: DataFrame, column: str) -> DataFrame:
 
 def cluster_sizes(labels: DataFrame, label: str = "label") -> DataFrame:
     return labels.groupBy(label).agg(F.count("*").alias("size"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """Results as JSON lines."""
+    df.write.mode("overwrite").json(path)

@@ -82,8 +82,9 @@ def replay(log: DataFrame, vram_limit: int, ram_limit: int, threshold: float = 1
 
 
 def access_counts(log: DataFrame) -> DataFrame:
-    """cache, seq, splat_id, n: the number of each access among those of its id."""
-    return log.withColumn("n", F.row_number().over(Window.partitionBy("cache", "splat_id").orderBy("seq"))).select("cache", "seq", "splat_id", "n")
+    """cache, seq, splat_id, n: the number of each access among those of its id, by ts (where the log has it) and seq."""
+    order = ["ts", "seq"] if "ts" in log.columns else ["seq"]
+    return log.withColumn("n", F.row_number().over(Window.partitionBy("cache", "splat_id").orderBy(*order))).select("cache", "seq", "splat_id", "n")
 
 
 def outcomes_without_evictions(log: DataFrame, promote_after: int = 10) -> DataFrame:

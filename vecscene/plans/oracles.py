@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.splats import FROM_EVENTS
-from .queries import K, NEIGHBOURS, PROBES
+from .queries import FINE, K, NEIGHBOURS, PROBES
 
 S = f"with s as ({FROM_EVENTS})"
 #: Splats with unit rotations.
@@ -40,18 +40,19 @@ Q = "q as (select row_id as qid, v as qv from v where row_id % 20 = 0)"
 EXACT = f"e as (select * from (select qid, row_id, list_distance(qv, v) as d, row_number() over (partition by qid order by list_distance(qv, v), row_id) as rank from q, v) where rank <= {NEIGHBOURS})"
 PROBE = f"p as (select qid, k from (select qid, k, row_number() over (partition by qid order by list_distance(qv, v), k) as o from q, c0) where o <= {PROBES})"
 IVF = f"i as (select * from (select p.qid, v.row_id, p.k as coarse, list_distance(qv, v.v) as d, row_number() over (partition by p.qid order by list_distance(qv, v.v), v.row_id) as rank from p join q on q.qid = p.qid join l0 on l0.k = p.k join v on v.row_id = l0.row_id) where rank <= {NEIGHBOURS})"
-_N = f"n as (select event_id as seq, user_id as splat_id, row_number() over (partition by user_id order by event_id) as n from events)"
+_N = f"n as (select event_id as seq, user_id as splat_id, row_number() over (partition by user_id order by ts, event_id) as n from events)"
 _BOUNDS = "b as (select " + ", ".join(f"min({p}) as lo_{a}, max({p}) as hi_{a}" for p, a in _AXES) + " from s)"
 _WAVES = [f"{f}(({p} - lo_{a}) / (hi_{a} - lo_{a} + 1e-8) * {float(2**d)}e0)" for d in range(10) for p, a in _AXES for f in ("sin", "cos")]
 _BINS = S + ", c as (select id, least(floor(r*8), 7) as br, least(floor(g*8), 7) as bg, least(floor(b*8), 7) as bb from s)"
 _ATTR = ["opacity", "opacity**2", "opacity**3", "sqrt(opacity+1e-8)", "ln(opacity+1e-8)", "1-opacity", "case when opacity>0.5 then 1e0 else 0e0 end", "case when opacity<0.5 then 1e0 else 0e0 end", "sx", "sy", "sz", "sx*sy*sz", "(sx+sy+sz)/3", "sqrt(sx*sx+sy*sy+sz*sz)", "sx/(sy+1e-8)", "sx/(sz+1e-8)", "sy/(sz+1e-8)", "sx*sx", "sy*sy", "sz*sz", "ln(sx+1e-8)", "ln(sy+1e-8)", "ln(sz+1e-8)"]
 _ATTR2 = ["qw", "qx", "qy", "qz", "qw*qw", "qx*qx", "qy*qy", "qz*qz", "qw*qx", "qw*qy", "qw*qz", "qx*qy", "qx*qz", "qy*qz"]
+_ALL_ATTR = [*_ATTR, *["0e0"] * (32 - len(_ATTR)), *_ATTR2, *["0e0"] * (32 - len(_ATTR2))]
 _EXPLODE = "select id, cast(pos as int) as pos, round(x, 6) as x from (select id, unnest(range({n})) as pos, unnest([{xs}]) as x from {t})"
 _HIST = "select c.id, i.r * 64 + i.g * 8 + i.b as pos, exp(-((i.r - br)**2 + (i.g - bg)**2 + (i.b - bb)**2) / 4e0) as x from c, (select a.r, b.g, d.b from (select unnest(range(8)) as r) a, (select unnest(range(8)) as g) b, (select unnest(range(8)) as b) d) i where abs(i.r - br) <= 2 and abs(i.g - bg) <= 2 and abs(i.b - bb) <= 2"
 
 SQL = {
     "splat_scan": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "r", "g", "b", "opacity", "sx", "sy", "sz", "qw", "qx", "qy", "qz")) + " from s",
-    "splat_json_roundtrip": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "opacity", "sx", "sy", "sz")) + " from s",
+    "splat_json_roundtrip": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "r", "g", "b", "opacity", "sx", "sy", "sz")) + ", " + ", ".join(_r(a, a) for a in ("qw", "qx", "qy", "qz")) + ", 0::bigint as n_sh from s",
     "quat_normalize": U + " select id, " + ", ".join(_r(a, b) for a, b in (("w", "qw"), ("x", "qx"), ("y", "qy"), ("z", "qz"))) + " from u",
     "rotation_matrix": U + " select id, " + ", ".join(_r(_R[i][j], f"r{i}{j}") for i in range(3) for j in range(3)) + " from u",
     "covariance_3d": U + " select id, " + ", ".join(_r(" + ".join(f"({_R[i][k]})*s{'xyz'[k]}*s{'xyz'[k]}*({_R[j][k]})" for k in range(3)), f"c{i}{j}") for i in range(3) for j in range(i, 3)) + " from u",
@@ -62,9 +63,12 @@ SQL = {
     "color_normalize": S + " select id, " + ", ".join(_r(f"least(1, greatest(0, {c}*255/255))", c) for c in "rgb") + " from s",
     "color_bins": _BINS + " select id, br::bigint as br, bg::bigint as bg, bb::bigint as bb from c",
     "color_histogram": _BINS + f" select id, cast(pos as int) as pos, round(x, 6) as x from ({_HIST})",
-    "attr_encode": S + " " + _EXPLODE.format(n=len(_ATTR), xs=", ".join(_ATTR), t="s") + " union all " + _EXPLODE.format(n=len(_ATTR2), xs=", ".join(_ATTR2), t="s").replace("cast(pos as int)", "cast(pos + 32 as int)"),
+    "attr_encode": S + " " + _EXPLODE.format(n=64, xs=", ".join(_ALL_ATTR), t="s"),
+    "full_embedding": _BINS + ", " + _BOUNDS + ", t as (select * from s, b), all_ as (" + _EXPLODE.format(n=64, xs=", ".join([*_WAVES, *["0e0"] * 4]), t="t") + f" union all select id, cast(pos + 64 as int) as pos, round(x, 6) as x from ({_HIST}) union all select id, cast(pos + 576 as int) as pos, x from (" + _EXPLODE.format(n=64, xs=", ".join(_ALL_ATTR), t="s") + ")) select id, pos, x from all_ where x <> 0",
+    "point_lookup": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "opacity")) + " from s where id in (7, 42, -1)",
     "embedding_norms": _BINS.replace("with s", "with s", 1) + ", " + _BOUNDS + f", h as (select id, sum(x*x) as h from ({_HIST}) group by id) select s.id, 640::bigint as dim, round(h.h + " + " + ".join(f"({w})**2" for w in _WAVES + _ATTR + _ATTR2) + ", 4) as norm_sq from s join h using (id), b",
     "vector_dot_norm": V + ", o as (select v as ov from v where row_id = 0) select row_id, " + ", ".join([_r("sqrt(list_dot_product(v, v))", "norm"), _r("list_dot_product(v, ov)", "dot0"), _r("list_distance(v, ov)", "distance0")]) + " from v, o",
+    "gram_vs_direct": V + ", o as (select v as ov from v where row_id = 0) select row_id, " + ", ".join([_r("list_distance(v, ov) ** 2", "direct"), _r("list_dot_product(v, v) + list_dot_product(ov, ov) - 2 * list_dot_product(v, ov)", "gram")]) + " from v, o",
     "kmeans_assign": L0 + " select row_id, k::int as label, round(d2, 6) as d2 from l0",
     "kmeans_update": M0 + " select k::int as k, pos::int as pos, round(x, 6) as x from m0",
     "kmeans_inertia": L0 + " select round(sum(d2), 6) as inertia from l0",
@@ -74,11 +78,17 @@ SQL = {
     "kmeans_batchmean_step": M0 + " select k::int as k, pos::int as pos, round(case when n > 0 then (1 - 1 / (1e0 + n)) * was + x / (1e0 + n) else was end, 6) as x from m0",
     "kmeans_transform": C0 + " select a.row_id, c.k::int as k, round(list_distance(a.v, c.v), 6) as distance from v a, c0 c",
     "kpp_min_dist": V + " select a.row_id, round(min(list_distance(a.v, c.v) ** 2), 6) as min_d2 from v a, v c where c.row_id < 3 group by 1",
+    "kpp_pick": V + ", m as (select a.row_id, min(list_distance(a.v, c.v) ** 2) as w from v a, v c where c.row_id < 3 group by 1), s as (select row_id, sum(w) over (order by row_id) as upto, sum(w) over () as whole from m), r as (select unnest([0, 1, 2, 3, 4]) as draw, unnest([0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0]) as r) select draw::int as draw, min(row_id) as row_id from s, r where upto >= r * whole group by 1",
+    "knn_exact": V + f" select row_number() over (order by list_distance(a.v, o.v), a.row_id)::int as rank, a.row_id, round(list_distance(a.v, o.v), 6) as distance from v a, v o where o.row_id = 0 order by list_distance(a.v, o.v), a.row_id limit {NEIGHBOURS}",
+    "ivf_query": L0 + f", {Q}, {PROBE}, {IVF} select rank::int as rank, row_id, round(d, 6) as distance from i where qid = 0",
+    "ivf_candidates": L0 + f", {Q}, {PROBE} select p.qid, l0.row_id, p.k::int as coarse from p join l0 on l0.k = p.k",
+    "ivf_join_query": L0 + f", {Q}, {PROBE}, {IVF} select qid, rank::int as rank, row_id, round(d, 6) as distance from i",
+    "cluster_members": L0 + " select row_id, k::int as coarse, (row_number() over (partition by k order by row_id) - 1)::int as place from l0",
     "knn_exact_batch": V + f", {Q}, {EXACT} select qid, rank::int as rank, row_id, round(d, 6) as distance from e",
     "linear_search": V + " select a.row_id, round(list_distance(a.v, o.v), 6) as distance from v a, v o where o.row_id = 0 order by list_distance(a.v, o.v), a.row_id limit 10",
     "coarse_probe": C0 + f", {Q}, {PROBE} select qid, k::int as coarse from p",
     "ivf_batch_query": L0 + f", {Q}, {PROBE}, {IVF} select qid, rank::int as rank, row_id, round(d, 6) as distance from i",
-    "ivf_query_details": L0 + f", {Q}, {PROBE}, {IVF} select qid, rank::int as rank, row_id, round(d, 6) as distance, coarse::int as coarse from i",
+    "ivf_query_details": L0 + f", {Q}, {PROBE}, {IVF}, z as (select l0.row_id, l0.k, v.v, row_number() over (partition by l0.k order by l0.row_id) - 1 as place from l0 join v using (row_id)), y as (select row_id, fine from (select a.row_id, b.place as fine, row_number() over (partition by a.row_id order by list_distance(a.v, b.v), b.place) as o from z a join z b on b.k = a.k and b.place < {FINE}) where o = 1) select qid, rank::int as rank, i.row_id, round(d, 6) as distance, coarse::int as coarse, fine::int as fine from i join y on y.row_id = i.row_id",
     "recall_at_k": L0 + f", {Q}, {PROBE}, {IVF}, {EXACT} select e.qid, round(count(i.row_id) / count(*)::double, 6) as recall from e left join i on i.qid = e.qid and i.row_id = e.row_id group by 1",
     "cluster_sizes": L0 + " select k::int as label, count(*) as size from l0 group by 1",
     "index_stats": L0 + ", z as (select k, count(*) as size from l0 group by 1) select sum(size)::bigint as n_splats, count(*) as n_coarse, sum(greatest(1, least(1000, floor(size / 5))))::bigint as n_fine from z",

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import encoding, geometry
-from ..functions.vector import dot, doubles, l2_squared, norm
+from ..functions.vector import dot, doubles, l2_squared, norm, norm_squared
 from ..operators import index, kmeans, metrics, search, tiering
 from ..sources import splats
 
-K, PROBES, NEIGHBOURS = 16, 12, 5
+K, PROBES, NEIGHBOURS, FINE = 16, 12, 5, 4
 QUERIES = {}
 
 
@@ -52,7 +53,7 @@ def splat_scan(spark, d):
 @query
 def splat_json_roundtrip(spark, d):
     df = splats.from_json(splats.to_json(splats.from_events(spark, d)))
-    return df.select("id", *_axes("position", ["px", "py", "pz"]), r6("opacity").alias("opacity"), *_axes("scale", ["sx", "sy", "sz"]))
+    return df.select("id", *_axes("position", ["px", "py", "pz"]), *_axes("color", "rgb"), r6("opacity").alias("opacity"), *_axes("scale", ["sx", "sy", "sz"]), *_axes("rotation", ["qw", "qx", "qy", "qz"]), F.size(F.coalesce("sh_coeffs", F.array().cast("array<double>"))).cast("long").alias("n_sh"))
 
 
 @query
@@ -121,14 +122,29 @@ def color_histogram(spark, d):
 
 @query
 def attr_encode(spark, d):
-    return _features(splats.from_events(spark, d), encoding.attributes(F.col("opacity"), F.col("scale"), F.col("rotation"))).where("pos < 23 or pos between 32 and 45")
+    return _features(splats.from_events(spark, d), encoding.attributes(F.col("opacity"), F.col("scale"), F.col("rotation")))
 
 
 @query
 def embedding_norms(spark, d):
     df = splats.from_events(spark, d)
     full = encoding.EmbeddingModel.fit(df).transform(df)
-    return full.select("id", F.size("embedding").cast("long").alias("dim"), F.round(dot(F.col("embedding"), F.col("embedding")), 4).alias("norm_sq"))
+    return full.select("id", F.size("embedding").cast("long").alias("dim"), F.round(norm_squared(F.col("embedding")), 4).alias("norm_sq"))
+
+
+@query
+def full_embedding(spark, d):
+    """The embedding in sparse form: what is not listed is zero."""
+    df = splats.from_events(spark, d)
+    return _features(encoding.EmbeddingModel.fit(df).transform(df), F.col("embedding")).where("x <> 0")
+
+
+@query
+def point_lookup(spark, d):
+    """Splats by id, one of them unknown."""
+    ix = index.SplatIndex(spark, splats=splats.conform(splats.from_events(spark, d)))
+    found = ix.get(7).unionByName(ix.get(42)).unionByName(ix.get(-1))
+    return found.select("id", *_axes("position", ["px", "py", "pz"]), r6("opacity").alias("opacity"))
 
 
 @query
@@ -138,6 +154,15 @@ def vector_dot_norm(spark, d):
     return df.select("row_id", r6(norm(F.col("v"))).alias("norm"), r6(dot(F.col("v"), first)).alias("dot0"), r6(F.sqrt(l2_squared(F.col("v"), first))).alias("distance0"))
 
 
+@query
+def gram_vs_direct(spark, d):
+    """Squared distances to the first vector, in difference form and from norms and a dot product."""
+    df = vectors(spark, d)
+    first = F.array(*map(F.lit, centroids(df, 1)[0].tolist()))
+    v = F.col("v")
+    return df.select("row_id", r6(l2_squared(v, first)).alias("direct"), r6(norm_squared(v) + norm_squared(first) - 2 * dot(v, first)).alias("gram"))
+
+
 @query
 def kmeans_assign(spark, d):
     df = vectors(spark, d)
@@ -207,6 +232,18 @@ def kpp_min_dist(spark, d):
     return kmeans.assign(df, centroids(df, 3)).select("row_id", r6("d2").alias("min_d2"))
 
 
+@query
+def kpp_pick(spark, d):
+    """The row drawn in proportion to its squared distance from three centroids, at five places of the cumulated weight."""
+    df = vectors(spark, d)
+    near = kmeans.assign(df, centroids(df, 3))
+    out = None
+    for k, r in enumerate((0.05, 0.25, 0.5, 0.75, 0.95)):
+        one = kmeans.weighted_pick(near, "d2", r).select(F.lit(k).alias("draw"), "row_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def kpp_init(spark, d):
     return _matrix(spark, kmeans.plus_plus(vectors(spark, d), 8))
@@ -240,35 +277,71 @@ def linear_search(spark, d):
 def _indexed(spark, d):
     df = vectors(spark, d)
     c = centroids(df)
-    return df.join(kmeans.assign(df, c).select("row_id", F.col("label").alias("coarse")), "row_id"), c
+    return kmeans.labelled(df, c, "row_id", "v").select("row_id", "v", F.col("label").alias("coarse")), c
+
+
+def _fine(df: DataFrame) -> DataFrame:
+    """Fixed fine centroids: the FINE rows of smallest row_id in each coarse cluster; fine is the nearest, the lowest among equals."""
+    seeds = index.members(df).where(F.col("place") < FINE).join(df.select("row_id", "v"), "row_id").groupBy("coarse").agg(F.sort_array(F.collect_list(F.struct(F.col("place").alias("fine"), F.col("v").alias("c")))).alias("seeds"))
+    near = F.array_min(F.transform("seeds", lambda s: F.struct(l2_squared(F.col("v"), s["c"]).alias("d2"), s["fine"].alias("fine"))))
+    return df.join(F.broadcast(seeds), "coarse").select("row_id", "v", "coarse", near["fine"].alias("fine"))  # K x FINE vectors
 
 
 @query
 def coarse_probe(spark, d):
     df = vectors(spark, d)
-    c = centroids(df)
-    rows = asked(df).collect()
-    table = search.probe_table(np.array([r["v"] for r in rows]), c, PROBES)
-    return spark.createDataFrame([(r["qid"], int(k)) for r, hit in zip(rows, table) for k in np.flatnonzero(hit)], "qid long, coarse int")
+    return search.probes_of(asked(df), centroids(df), PROBES).select("qid", "coarse")
+
+
+@query
+def knn_exact(spark, d):
+    df = vectors(spark, d)
+    return search.exact(df, df.where("row_id = 0").select(F.col("row_id").alias("qid"), "v"), NEIGHBOURS).select("rank", "row_id", r6("distance").alias("distance"))
+
+
+@query
+def ivf_query(spark, d):
+    df, c = _indexed(spark, d)
+    return search.pruned(df, c, vectors(spark, d).where("row_id = 0").select(F.col("row_id").alias("qid"), "v"), NEIGHBOURS, PROBES).select("rank", "row_id", r6("distance").alias("distance"))
+
+
+@query
+def ivf_candidates(spark, d):
+    df, c = _indexed(spark, d)
+    return search.candidates(df, c, asked(vectors(spark, d)), PROBES)
+
+
+@query
+def ivf_join_query(spark, d):
+    """As ivf_batch_query, by the join of queries and rows by cluster."""
+    df, c = _indexed(spark, d)
+    return search.pruned_join(df, c, asked(vectors(spark, d)), NEIGHBOURS, PROBES).withColumn("distance", r6("distance"))
+
+
+@query
+def cluster_members(spark, d):
+    df, _ = _indexed(spark, d)
+    return index.members(df)
 
 
 @query
 def ivf_batch_query(spark, d):
     df, c = _indexed(spark, d)
-    return search.pruned(df, c, asked(df), NEIGHBOURS, PROBES).withColumn("distance", r6("distance"))
+    return search.pruned(df, c, asked(vectors(spark, d)), NEIGHBOURS, PROBES).withColumn("distance", r6("distance"))
 
 
 @query
 def ivf_query_details(spark, d):
     df, c = _indexed(spark, d)
-    found = search.pruned(df, c, asked(df), NEIGHBOURS, PROBES)
-    return found.join(df.select("row_id", "coarse"), "row_id").select("qid", "rank", "row_id", r6("distance").alias("distance"), "coarse")
+    found = search.pruned(df, c, asked(vectors(spark, d)), NEIGHBOURS, PROBES)
+    return found.join(_fine(df).select("row_id", "coarse", "fine"), "row_id").select("qid", "rank", "row_id", r6("distance").alias("distance"), "coarse", "fine")
 
 
 @query
 def recall_at_k(spark, d):
     df, c = _indexed(spark, d)
-    return search.recall(search.pruned(df, c, asked(df), NEIGHBOURS, PROBES), search.exact(df, asked(df), NEIGHBOURS), NEIGHBOURS).select("qid", r6("recall").alias("recall"))
+    q = asked(vectors(spark, d))
+    return search.recall(search.pruned(df, c, q, NEIGHBOURS, PROBES), search.exact(df, q, NEIGHBOURS), NEIGHBOURS).select("qid", r6("recall").alias("recall"))
 
 
 @query
@@ -286,7 +359,7 @@ def index_stats(spark, d):
 @query
 def fine_build(spark, d):
     df, _ = _indexed(spark, d)
-    return index.fine_labels(df, 50)
+    return index.fine_labels(df, 50).select("row_id", "coarse", "fine")
 
 
 @query
@@ -296,9 +369,9 @@ def latency_percentiles(spark, d):
 
 
 def access_log(spark, d) -> DataFrame:
-    """One cache, ids are users, in order of time."""
+    """One cache, ids are users, in order of time, events of one moment by their ids."""
     e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.lit(0).cast("long").alias("cache"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1_000_000 + F.col("event_id") % 1_000_000).alias("order"), "event_id", F.col("user_id").alias("splat_id")).select("cache", F.col("event_id").alias("seq"), "splat_id")
+    return e.select(F.lit(0).cast("long").alias("cache"), "ts", F.col("event_id").alias("seq"), F.col("user_id").alias("splat_id"))
 
 
 @query
@@ -336,7 +409,12 @@ def tier_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d) if not d.endswith("events.parquet") else spark.readStream.schema(schema).parquet(d)
     log = log.select(F.pmod(F.xxhash64("user_id"), F.lit(16)).alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("splat_id"))
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecscene-")).rstrip("/")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="vecscene-")
+    base = base.rstrip("/")
     name = f"{base}/tier_stream_{np.random.default_rng().integers(1 << 62)}"
     run = replay_stream(log, 2, 4).writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
@@ -345,4 +423,4 @@ def tier_stream(spark, d):
 
 @query
 def generate_splats(spark, d):
-    return splats.generate(spark, 10_000).select("id", *_axes("position", ["px", "py", "pz"]), r6("opacity").alias("opacity"))
+    return splats.generate(spark, 10_000).select("id", *_axes("position", ["px", "py", "pz"]), *_axes("color", "rgb"), r6("opacity").alias("opacity"), *_axes("scale", ["sx", "sy", "sz"]), *_axes("rotation", ["qw", "qx", "qy", "qz"]))
