@@ -1,18 +1,27 @@
 """Main text of pages by a site style tree.
 
-The pages of a host are merged into one tree: a node is an element path with its class, and holds the pages that have it
-and the contents found there.  A content in p pages of a node's m has entropy log(p) / log(m): 0 if one page has it, 1 if
-all do.  Pages of equal contents count as one, so copies do not make their own text common.  A node's importance is 1 minus the mean entropy of its contents; a presentation node (empty content) shows as one
-content in all pages.  Branches below a limit are noise, and go from every page of the host, unless the node is seen in
-too few pages to tell.  What HTML itself marks as outside the article (nav, footer, aside, form, script, adverts, comments
-by class or id) goes as well, and where a page has an article element, only that is kept.
-
-Nodes are counted by Spark aggregates over (host, path, content), so no host's tree is gathered in one place.
+The pages of a host are merged into one tree.  A node is an element's path with class, id and role names (digits aside);
+it holds the pages that have it, the ways its children follow one another there (its presentation), and the contents of
+its blocks.  Pages of equal blocks count as one, so copies do not make their own text common.
+
+- A content in n of the m pages that have its node has importance 1 - log(n) / log(m): 1 if one page has it, 0 if all do.
+- A node's presentation has importance -sum of p log p to the base m over its child sequences, each in a share p of them.
+- A branch (a node and all below it) has the composite importance (1 - g^l) x presentation + g^l x contents, where l is
+  the number of child sequences, g is DAMPING, and contents is the mean importance of all contents in the branch.
+
+Branches of low importance go from every page of the host, and so do contents that nearly all its pages have, unless the
+node is seen in too few pages to tell.  What HTML itself or a whole class, id or role name marks as outside the article
+(nav, footer, aside, form, script, adverts, comments) never enters the tree.  Where article elements hold a fair share of
+what is left of a page, only they are read.
+
+Pages are parsed once.  Nodes are counted by Spark aggregates, so no host's tree is gathered in one place, and the blocks
+meet a short list of what goes from their host; no html is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -20,11 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialize
+from .common import chunks, discard, materialize
 from .url_filter import host_of
 
-#: A node is judged if at least so many distinct pages have it, and is noise below this importance.
+#: A node is judged if at least so many distinct pages have it, and what is below this importance is noise.
 MIN_PAGES, MIN_IMPORTANCE = 5, 0.2
+#: Weight of the contents against the presentation for each child sequence.
+DAMPING = 0.9
+#: Elements below this depth belong to their ancestor at it.
+DEPTH = 64
+#: Share of the text not marked as noise that articles have to hold, else the page is read without regard to them.
+ARTICLE_SHARE = 0.25
 
 #: Elements of HTML.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -37,134 +52,233 @@ _NOISE_NAME = r"(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|
 _NOISE = re.compile(rf"(?i)(?<!\S){_NOISE_NAME}(?:[_-]+{_NOISE_NAME})*(?!\S)")
 
 
+class _Element:
+    __slots__ = ("tag", "dropped", "inside", "node", "up", "style", "last")
+
+    def __init__(self, tag: str, dropped: bool, inside: bool, node: int, up: tuple[int, ...]):
+        self.tag, self.dropped, self.inside, self.node, self.up = tag, dropped, inside, node, up
+        self.style, self.last = 0, ""
+
+
 class _Blocks(HTMLParser):
-    """Blocks of text in page order as (path, text, inside an article), noise left out."""
+    """Blocks of text in page order as (node, text, inside an article), and the style of each node; noise left out."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool, bool]] = []  # tag, label, dropped, inside an article
-        self.out: list[tuple[str, str, bool]] = []
+        self.stack = [_Element("", False, False, 0, ())]
+        self.open: Counter = Counter()
+        self.out: list[tuple[int, str, bool]] = []
+        self.up: dict[int, tuple[int, ...]] = {}
+        self.styles: set[tuple[int, int]] = set()
         self.text: list[str] = []
 
-    def _flush(self):
+    def parse_html_declaration(self, i):
+        if self.rawdata.startswith("<![", i):  # any marked section counts as a comment up to the next >
+            end = self.rawdata.find(">", i)
+            return end + 1 if end >= 0 else len(self.rawdata)
+        return super().parse_html_declaration(i)
+
+    def flush(self):
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text = []
-            if text and not (self.stack and self.stack[-1][2]):
-                path = "/".join(x[1] for x in self.stack if x[0] not in _INLINE)
-                self.out.append((path, text, bool(self.stack) and self.stack[-1][3]))
+            top = self.stack[-1]
+            if text and not top.dropped:
+                self.up[top.node] = top.up
+                self.out.append((top.node, text, top.inside))
 
     def _pop(self, n: int):
-        self._flush()
+        self.flush()
+        for e in self.stack[n:]:
+            self.open[e.tag] -= 1
+            if not e.dropped and e.tag not in _INLINE:
+                self.styles.add((e.node, e.style))
         del self.stack[n:]
 
+    def _push(self, e: _Element):
+        self.stack.append(e)
+        self.open[e.tag] += 1
+
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
-            if tag in ("br", "wbr"):
-                self.text.append(" " if tag == "br" else "")
+            if tag == "br":
+                self.text.append(" ")
             elif tag == "hr":
-                self._flush()
+                self.flush()
             return
-        if tag in _INLINE and not any(k in ("class", "id") and v and _NOISE.search(v) for k, v in attrs):
-            dropped, inside = self.stack[-1][2:] if self.stack else (False, False)
-            self.stack.append((tag, tag, dropped, inside))
+        top = self.stack[-1]
+        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v) if attrs else ""
+        noise = bool(names) and bool(_NOISE.search(names))
+        if tag in _INLINE and not noise:
+            self._push(_Element(tag, top.dropped, top.inside, top.node, top.up))
             return
-        self._flush()
-        if tag in _CLOSES_P:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] == "p":
+        self.flush()
+        if tag in _CLOSES_P and self.open["p"]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag == "p":
                     self._pop(i)
                     break
-                if self.stack[i][0] not in _INLINE:
+                if self.stack[i].tag not in _INLINE:
                     break
         elif tag in _SIBLINGS:
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i][0] in _SIBLINGS[tag]:
+            for i in range(len(self.stack) - 1, 0, -1):
+                if self.stack[i].tag in _SIBLINGS[tag]:
                     self._pop(i)
                     break
-                if self.stack[i][0] in ("ul", "ol", "dl", "table", "article", "section", "div", "body"):
+                if self.stack[i].tag in _HOLDERS:
                     break
-        dropped, inside = self.stack[-1][2:] if self.stack else (False, False)
-        names = " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
-        main = tag == "main" or (tag == "article" and not inside)
+        top = self.stack[-1]
+        dropped = top.dropped
         if not dropped:
-            dropped = tag in _OUTSIDE or (tag == "header" and not inside) or (bool(names) and not main and tag not in ("html", "body") and bool(_NOISE.search(names)))
-        self.stack.append((tag, f"{tag}.{names}" if names else tag, dropped, inside or tag == "article"))
+            main = tag == "main" or (tag == "article" and not top.inside)
+            dropped = tag in _OUTSIDE or (tag == "header" and not top.inside) or (noise and not main and tag not in ("html", "body"))
+        node, up = top.node, top.up
+        if not dropped and len(up) < DEPTH:
+            label = f"{tag}.{_DIGITS.sub('0', names)}" if names else tag
+            node = xxhash.xxh3_64_intdigest(label, top.node)
+            up = (*up, node)
+            if label != top.last:  # equal neighbours count once
+                top.style, top.last = xxhash.xxh3_64_intdigest(label, top.style), label
+        self._push(_Element(tag, dropped, top.inside or tag == "article", node, up))
 
     def handle_endtag(self, tag):
-        if tag in _VOID:
+        if tag in _VOID or not self.open[tag]:
             return
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                if tag in _INLINE and not self.stack[i][2]:
+        for i in range(len(self.stack) - 1, 0, -1):
+            e = self.stack[i]
+            if e.tag == tag:
+                if tag in _INLINE and not e.dropped:
                     del self.stack[i]  # the text goes on
+                    self.open[tag] -= 1
                 else:
                     self._pop(i)
                 return
-            if tag in _INLINE and self.stack[i][0] not in _INLINE:
+            if tag in _INLINE and e.tag not in _INLINE:
                 return
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][2]):
+        if not self.stack[-1].dropped:
             self.text.append(data)
 
 
-def blocks_of(html: str) -> list[tuple[str, str]]:
-    """(path, text) of the blocks that HTML itself leaves to the article, or to the body where no article is."""
+#: Elements that a list item or a cell does not reach beyond.
+_HOLDERS = {"ul", "ol", "dl", "table", "article", "section", "div", "body"}
+_DIGITS = re.compile(r"\d+")
+
+
+def blocks_of(html: str) -> tuple[list[tuple[int, str]], dict[int, tuple[int, ...]], set[tuple[int, int]]]:
+    """Blocks (node, text) that HTML itself leaves to the article, or to the page; the nodes from the root to each; styles.
+
+    Should the parser give up on a malformed page, the blocks before that place are the result.
+    """
     p = _Blocks()
-    p.feed(html)
-    p.close()
-    p._flush()
-    inside = any(x[2] for x in p.out)
-    return [(path, text) for path, text, within in p.out if within or not inside]
+    try:
+        p.feed(html)
+        p.close()
+    except AssertionError:
+        pass
+    p.flush()
+    p._pop(1)
+    size = lambda inside: sum(len(t) for _, t, within in p.out if within or not inside)
+    inside = any(x[2] for x in p.out) and size(True) >= ARTICLE_SHARE * size(False)
+    return [(node, text) for node, text, within in p.out if within or not inside], p.up, p.styles
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _hash(x: str) -> int:
-    return xxhash.xxh3_64_intdigest(x) - (1 << 63)
+    return _signed(xxhash.xxh3_64_intdigest(x))
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        host, path, content, page = [], [], [], []
-        for h, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            blocks = blocks_of(html or "")
-            seen = {(_hash(p), _hash(t)) for p, t in blocks}
-            same = _hash("\0".join(x for block in blocks for x in block))
-            host += [h] * len(seen)
-            path += [x[0] for x in seen]
-            content += [x[1] for x in seen]
-            once = {x[0] for x in seen}  # a row without content counts the page
-            host += [h] * len(once)
-            path += once
-            content += [None] * len(once)
-            page += [same] * (len(seen) + len(once))
-        yield pa.RecordBatch.from_pydict({"host": pa.array(host, pa.string()), "path": pa.array(path, pa.int64()), "content": pa.array(content, pa.int64()), "page": pa.array(page, pa.int64())})
-
-
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_PARSED = "page_id long, url string, host string, same long, blocks array<struct<node:long,content:long,text:string>>, leaves array<struct<node:long,up:array<long>>>, styles array<struct<node:long,style:long>>"
+_TYPES = [
+    ("page_id", pa.int64()),
+    ("url", pa.string()),
+    ("host", pa.string()),
+    ("same", pa.int64()),
+    ("blocks", pa.list_(pa.struct([("node", pa.int64()), ("content", pa.int64()), ("text", pa.string())]))),
+    ("leaves", pa.list_(pa.struct([("node", pa.int64()), ("up", pa.list_(pa.int64()))]))),
+    ("styles", pa.list_(pa.struct([("node", pa.int64()), ("style", pa.int64())]))),
+]
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = []
-        for html, noise in zip(batch.column("html").to_pylist(), batch.column("noise").to_pylist()):
-            gone = set(noise or ())
-            texts.append("\n\n".join(t for p, t in blocks_of(html or "") if not gone or _hash(p) not in gone))
-        yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
+        for part in chunks(batch, "html"):
+            rows = []
+            for page_id, url, host, html in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
+                blocks, up, styles = blocks_of(html or "")
+                used = {node for node, _ in blocks}
+                seen = {n for node in used for n in up[node]}
+                rows.append(
+                    (
+                        page_id,
+                        url,
+                        host,
+                        _hash("\0".join(f"{node} {text}" for node, text in blocks)),
+                        [{"node": _signed(node), "content": _hash(text), "text": text} for node, text in blocks],
+                        [{"node": _signed(node), "up": [_signed(x) for x in up[node]]} for node in used],
+                        [{"node": _signed(node), "style": _signed(style)} for node, style in styles if node in seen],
+                    )
+                )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), _TYPES)], [n for n, _ in _TYPES])
+
+
+def parse(pages: DataFrame) -> DataFrame:
+    """A row for each page: its blocks, the nodes above their own, and the styles of those, as _PARSED says."""
+    return pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html").mapInArrow(_parse, _PARSED)
+
+
+def importances(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables of contents (host, node, content, n, m, importance) and of branches (host, node, m, importance); parsed is a table."""
+    share = lambda n, m: F.when(m > 1, F.log(n) / F.log(m)).otherwise(F.lit(0.0))
+    exploded = lambda column, *fields: parsed.select("host", "same", F.explode(column).alias("x")).select("host", "same", *[F.col(f"x.{f}") for f in fields])
+    counted = lambda rows, *keys: rows.distinct().groupBy("host", *keys).agg(F.count("*").alias("n"))
+    leaves = exploded("leaves", "node", "up")
+    above = materialize(leaves.select("host", "node", F.explode("up").alias("branch")).distinct())
+    held = materialize(counted(leaves.select("host", "same", F.explode("up").alias("node")), "node").withColumnRenamed("n", "m"))
+    contents = counted(exploded("blocks", "node", "content"), "node", "content").join(held, ["host", "node"])
+    contents = materialize(contents.withColumn("importance", F.when(F.col("m") > 1, 1 - share(F.col("n"), F.col("m"))).otherwise(1.0)))
+    # what a leaf holds counts for all branches that it is in
+    sums = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("importance")).alias("weighed"), F.sum("n").alias("weight"))
+    inner = above.join(sums, ["host", "node"]).groupBy("host", F.col("branch").alias("node")).agg((F.sum("weighed") / F.sum("weight")).alias("inner"))
+    styles = counted(exploded("styles", "node", "style"), "node", "style")
+    total = styles.groupBy("host", "node").agg(F.sum("n").alias("total"))
+    p = F.col("n") / F.col("total")
+    shown = styles.join(total, ["host", "node"]).groupBy("host", "node").agg((-F.sum(p * F.log(p))).alias("nats"), F.count("*").alias("l"))
+    both = inner.join(held, ["host", "node"]).join(shown, ["host", "node"], "left")
+    shape = F.when(F.col("m") > 1, F.coalesce("nats", F.lit(0.0)) / F.log("m")).otherwise(1.0)
+    weight = F.pow(F.lit(DAMPING), F.coalesce("l", F.lit(0)))
+    branches = materialize(both.select("host", "node", "m", ((1 - weight) * F.least(shape, F.lit(1.0)) + weight * F.col("inner")).alias("importance")))
+    discard(held)
+    return contents, branches.join(above.withColumnRenamed("node", "leaf"), (branches["host"] == above["host"]) & (branches["node"] == above["branch"])).select(branches["host"], branches["node"], "leaf", "m", "importance")
 
 
-def noise_nodes(pages: DataFrame) -> DataFrame:
-    """host, path (hash): nodes of low importance."""
-    nodes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, path long, content long, page long").distinct()
-    counts = materialize(nodes.groupBy("host", "path", "content").agg(F.count("*").alias("n")))
-    pages_of = counts.where("content is null").select("host", "path", F.col("n").alias("m")).where(F.col("m") >= MIN_PAGES)
-    entropy = F.log("n") / F.log("m")
-    return counts.where("content is not null").join(pages_of, ["host", "path"]).groupBy("host", "path").agg((1 - F.avg(entropy)).alias("importance")).where(F.col("importance") < MIN_IMPORTANCE).select("host", "path")
+def noise(parsed: DataFrame) -> DataFrame:
+    """host, nodes (leaves of branches of low importance), contents (hashes of node and content of low importance)."""
+    contents, branches = importances(parsed)
+    low = (F.col("m") >= MIN_PAGES) & (F.col("importance") < MIN_IMPORTANCE)
+    nodes = branches.where(low).groupBy("host").agg(F.collect_set("leaf").alias("nodes"))
+    common = contents.where(low).groupBy("host").agg(F.collect_set(F.xxhash64("node", "content")).alias("contents"))
+    return materialize(nodes.join(common, "host", "full"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row.
 
     Null html is empty, null urls form one host.  Blocks are joined by a blank line, white space inside a block is one
-    space.  Pages of hosts with few pages keep all that HTML leaves to the article.
+    space.  Hosts of few distinct pages keep all that HTML leaves to the article; a page of nothing but what nearly all
+    pages of its host have is empty.  Repeated rows give repeated rows, an empty table none; other columns are not looked
+    at.
     """
-    noise = noise_nodes(pages).groupBy("host").agg(F.collect_list("path").alias("noise"))
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(noise, "host", "left").select("page_id", "url", "html", "noise")
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    parsed = materialize(parse(pages))
+    # a written table: Spark sends it out if it is small, and can split a hot host if not
+    gone = noise(parsed)
+    none = F.array().cast("array<long>")
+    rows = parsed.select("page_id", "url", "host", "blocks").join(gone, "host", "left")
+    rows = rows.select("page_id", "url", "blocks", F.coalesce("nodes", none).alias("nodes"), F.coalesce("contents", none).alias("contents"))
+    kept = F.filter("blocks", lambda b: ~F.array_contains("nodes", b["node"]) & ~F.array_contains("contents", F.xxhash64(b["node"], b["content"])))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
+    return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
