@@ -2,16 +2,17 @@
 
 Where no rule speaks, a host's verdict follows from personalised PageRank: trust flows along links from hosts with allowed
 pages, distrust flows against them from hosts with blocked pages (who links to a bad host is suspect).  Edges are the
-absolute links of the pages, counted per pair of hosts, and each host's link with its parent domain both ways.  A host is
-blocked if its distrust exceeds its trust.  Page and link counts are summed before any shuffle, so a host that holds a
-third of all pages is one row of the graph.
+links of the pages that name a host, of any scheme or none, counted per pair of hosts, and each host's link both ways with
+the nearest domain above it that is a host itself.  Steps go on until the scores of all hosts together change by less than
+TOLERANCE.  A host is blocked if its distrust exceeds its trust.  Page and link counts are summed before any shuffle, so a
+host that holds a third of all pages is one row of the graph.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Fixed values: (host, path, verdict).
 RULES = [
@@ -21,7 +22,9 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-DAMPING, STEPS = 0.85, 10
+DAMPING, TOLERANCE = 0.85, 1e-6
+#: Steps between two tables of scores, of which the last is measured.
+STRIDE = 5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,21 +50,22 @@ def rule_for(host: Column, path: Column, rules) -> Column:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """source, target, n: absolute links between different hosts, and links of hosts with their parent domains."""
-    found = F.regexp_extract_all("html", F.lit(r"""(?i)\shref\s*=\s*["']?https?://([^/?#"'\s>]+)"""), F.lit(1))
+    """source, target, n: links between different hosts, and of hosts with the nearest domains above them that are hosts."""
+    found = F.regexp_extract_all("html", F.lit(r"""(?i)\shref\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""), F.lit(1))
     links = pages.where("html is not null").select(host_of(F.col("url")).alias("source"), F.explode(found).alias("target"))
     links = links.select("source", F.translate("target", _UPPER, _LOWER).alias("target")).where("source <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
     links = materialize(links)
     hosts = links.select("source").unionByName(links.select(F.col("target").alias("source"))).unionByName(pages.select(host_of(F.col("url")).alias("source"))).distinct().where("source <> ''")
+    hosts = materialize(hosts)
     parts = F.split("source", r"\.")
-    chain = hosts.select(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")).alias("chain"))
-    steps = chain.select(F.explode(F.arrays_zip(F.col("chain").alias("a"), F.slice("chain", 2, F.size("chain")).alias("b"))).alias("s")).select(F.col("s.a").alias("a"), F.col("s.b").alias("b")).where("b is not null").distinct()
-    up = steps.select(F.col("a").alias("source"), F.col("b").alias("target"), F.lit(1).cast("long").alias("n"))
-    down = steps.select(F.col("b").alias("source"), F.col("a").alias("target"), F.lit(1).cast("long").alias("n"))
+    above = hosts.select("source", F.posexplode(F.transform(F.sequence(F.lit(2), F.greatest(F.size(parts), F.lit(2))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("far", "target"))
+    steps = above.join(hosts.withColumnRenamed("source", "target"), "target").groupBy("source").agg(F.min_by("target", "far").alias("target"))
+    one = F.lit(1).cast("long").alias("n")
+    up, down = steps.select("source", "target", one), steps.select(F.col("target").alias("source"), F.col("source").alias("target"), one)
     return links.unionByName(up).unionByName(down).groupBy("source", "target").agg(F.sum("n").alias("n"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
+def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from edges (source, target, n) and seeds (host, good, bad: shares that sum to 1 each)."""
     out = edges.groupBy("source").agg(F.sum("n").alias("out"))
     into = edges.groupBy("target").agg(F.sum("n").alias("into"))
@@ -74,20 +78,29 @@ def host_scores(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping:
     zero = F.lit(0.0)
     hosts = flow.select("host").distinct().join(seeds, "host", "full").select("host", F.coalesce("good", zero).alias("good"), F.coalesce("bad", zero).alias("bad"))
     hosts = materialize(hosts)
-    score = hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for k in range(steps):
-        came = flow.join(score, "host").groupBy("to").agg(F.sum(F.col("trust") * F.col("good_share")).alias("t"), F.sum(F.col("distrust") * F.col("bad_share")).alias("d"))
-        score = hosts.join(came, hosts["host"] == came["to"], "left").select("host", ((1 - damping) * F.col("good") + damping * F.coalesce("t", zero)).alias("trust"), ((1 - damping) * F.col("bad") + damping * F.coalesce("d", zero)).alias("distrust"))
-        if k % 5 == 4:
-            score = materialize(score)
-    return score
+    table, score = None, hosts.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    while True:
+        for k in range(STRIDE):
+            came = flow.join(score.select("host", "trust", "distrust"), "host").groupBy("to").agg(F.sum(F.col("trust") * F.col("good_share")).alias("t"), F.sum(F.col("distrust") * F.col("bad_share")).alias("d"))
+            new = hosts.join(came, hosts["host"] == came["to"], "left").select("host", ((1 - damping) * F.col("good") + damping * F.coalesce("t", zero)).alias("trust"), ((1 - damping) * F.col("bad") + damping * F.coalesce("d", zero)).alias("distrust"))
+            if k == STRIDE - 1:
+                new = new.join(score.select("host", F.col("trust").alias("t0"), F.col("distrust").alias("d0")), "host").select("host", "trust", "distrust", (F.abs(F.col("trust") - F.col("t0")) + F.abs(F.col("distrust") - F.col("d0"))).alias("moved"))
+            score = new
+        score = materialize(score)
+        discard(table)
+        table = score
+        if (score.agg(F.sum("moved")).first()[0] or 0.0) < tolerance:
+            discard(flow, hosts)
+            return score.select("host", "trust", "distrust")
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row.
 
     Urls that are null or have no :// get an empty host and path, no rule, and are allowed.  Hosts out of reach of all
-    seeds have neither trust nor distrust and are allowed.
+    seeds have neither trust nor distrust and are allowed; so are hosts of equal trust and distrust.  Null html has no
+    links, of links in texts of any length all count.  Repeated rows give repeated rows and count as pages of their own,
+    an empty table gives none; other columns are not looked at.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("r", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.col("r.verdict").alias("by_rule"))
