@@ -3,8 +3,9 @@
 A block is a window of words, SPAN times as long as the template, wherever lines break.  A template is found in a text if
 one of its blocks holds at least THRESHOLD of the template's distinct tokens.  Tokens are ordered by their document frequency
 over the whole corpus, rare ones first; of a template with n tokens that needs a = ceil(THRESHOLD x n) of them, a text must
-hold one of the n - a + 1 rarest (prefix filter), hold a template tokens at all (length filter), and still be able to reach
-a after its first hit (positional filter).  In what passes, the window from each template token on is counted.
+hold one of the n - a + 1 rarest (prefix filter), hold a template tokens at all (length filter), and from that first common
+token on still have a tokens in its own order (positional filter).  In what passes, the window from each template token on
+is counted.
 
 The templates are the bounded side: a fixed list, so their tables and the frequencies of their tokens may be broadcast.
 """
@@ -47,6 +48,12 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "epl": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License"],
+    "cc0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"],
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -120,7 +127,7 @@ def contained(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thre
     rows = docs.where("text is not null").select("doc_id", "text")
     words = lambda text: F.split(F.lower(text), _SEPARATOR)
     # words of a text that some template has; the others change no count
-    held = lambda text: F.array_intersect(words(text), known)
+    held = lambda text: F.array_intersect(known, words(text))
     frequency = dict(rows.select(F.explode(held(F.col("text"))).alias("token")).groupBy("token").count().collect())  # a row for each template token
     prefixes = []
     for name, label, tokens, span in sets:
@@ -130,11 +137,12 @@ def contained(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, thre
     table = F.broadcast(spark.createDataFrame(prefixes, "token string, template string, label string, at int, need int, span int, tokens array<string>"))
     least = min(p[4] for p in prefixes)
     rare = F.array(*[F.lit(t) for t in sorted({p[0] for p in prefixes})])
+    known = F.array(*[F.lit(t) for t in sorted(vocabulary, key=lambda t: (frequency.get(t, 0), t))])  # array_intersect keeps this order
     texts = rows.select("doc_id", F.xxhash64("text").alias("same"), "text", held(F.col("text")).alias("held")).where(F.size("held") >= least)
     hits = texts.withColumn("token", F.explode(F.array_intersect("held", rare))).join(table, "token")
-    # length and position: what the text holds at all, and what the template has from this token on; by its rarest token only
-    hits = hits.where((F.size("held") >= F.col("need")) & (F.size("tokens") - F.col("at") >= F.col("need")))
-    both = F.array_intersect("tokens", "held")
+    # length and position: the tokens that the text holds at all, and from this one on
+    hits = hits.where((F.size("held") >= F.col("need")) & (F.size("held") - F.array_position("held", F.col("token")) + 1 >= F.col("need")))
+    both = F.array_intersect("tokens", "held")  # a text meets a template by its rarest common token only
     hits = hits.where((F.size(both) >= F.col("need")) & (F.get(both, F.lit(0)) == F.col("token")))
     hits = hits.withColumn("overlap", _most(words(F.col("text")), F.col("tokens"), F.col("span"))).where("overlap >= need")
     return hits.groupBy("doc_id", "same", "label").agg(F.max(F.col("overlap") / F.size("tokens")).alias("score"))
