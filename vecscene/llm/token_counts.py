@@ -4,6 +4,9 @@ A leaf is a slot that first holds one pre-token, and later all pre-tokens that a
 points and tokens, so an edit's place is found from the root, and only the slots touched and their paths change.  Around an
 edit a few pre-tokens before and after it are split and encoded anew; where the new starts meet an old one behind the edit, the
 rest stays, as the split never looks back past a start.
+
+Trees are kept as rows: the text, and the width and the tokens of each leaf, from which the sums of the inner nodes follow
+without any encoding.  build makes them once, update takes them through a batch of edits; count_edited does both in one pass.
 """
 
 from __future__ import annotations
@@ -148,45 +151,117 @@ class CountTree:
                 self._set(slot, mine)
 
 
+    def leaves(self) -> tuple[np.ndarray, np.ndarray]:
+        """Width and tokens of each pre-token, as a tree of the edited text begins with; none is encoded again."""
+        widths, tokens = [], []
+        for i in range(self.n_slots):
+            pieces = self.slot(i)
+            widths += map(len, pieces)
+            tokens += [int(self.tokens[self.n + i])] if len(pieces) == 1 else [self.count(p) for p in pieces]
+        return np.array(widths, np.int32), np.array(tokens, np.int32)
+
+
+def _in_order(edits: list[dict]) -> list[tuple]:
+    """Edits by seq; those of one seq by place, deletions and insertion."""
+    return sorted((e["seq"] or 0, e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "") for e in edits)
+
+
+def _encoded(part: pa.RecordBatch, vocab):
+    """For each row: its text, where its pre-tokens start (and its end) in code points, and their numbers of tokens."""
+    raw, cut, ptr = bpe.pretokens(part.column("text"))
+    start, end = cut[:-1], cut[1:]
+    _, first, which = np.unique(span_hash(np.frombuffer(raw, np.uint8), start, end), return_index=True, return_inverse=True)
+    sizes = np.array([len(x) for x in vocab.ids([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])], np.int64)[which]
+    lead = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
+    points = lead[cut]  # the same starts in code points
+    for a, b in zip(ptr.tolist(), ptr[1:].tolist()):
+        yield lambda a=a, b=b: raw[cut[a] : cut[b]].decode(), points[a : b + 1] - points[a], sizes[a:b]
+
+
+_FIGURES = ("n_edits", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded")
+
+
 def _counts(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = bpe._vocabulary(name)
         one = lambda piece: len(vocab.ids([piece.encode()])[0])
         for batch in batches:
             for part in chunks(batch, "text"):
-                raw, cut, ptr = bpe.pretokens(part.column("text"))
-                start, end = cut[:-1], cut[1:]
-                _, first, which = np.unique(span_hash(np.frombuffer(raw, np.uint8), start, end), return_index=True, return_inverse=True)
-                sizes = np.array([len(x) for x in vocab.ids([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())])], np.int64)[which]
-                lead = np.append(0, np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80))
-                points = lead[cut]  # the same starts in code points
-                sums = np.append(0, np.cumsum(sizes))
                 rows = []
-                for i, edits in enumerate(part.column("edits").to_pylist()):
-                    a, b = int(ptr[i]), int(ptr[i + 1])
+                for edits, (text, edges, tokens) in zip(part.column("edits").to_pylist(), _encoded(part, vocab)):
+                    before = int(tokens.sum())
                     if not edits:
-                        total = int(sums[b] - sums[a])
-                        rows.append((0, total, total, b - a, 0))
+                        rows.append((0, before, before, len(tokens), 0))
                         continue
-                    tree = CountTree(raw[cut[a] : cut[b]].decode(), points[a : b + 1] - points[a], sizes[a:b], one)
+                    tree = CountTree(text(), edges, tokens, one)
+                    for _, start, deleted, inserted in _in_order(edits):
+                        tree.edit(start, deleted, inserted)
+                    rows.append((len(edits), before, tree.total, len(tokens), tree.encoded))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in zip(_FIGURES, zip(*rows))})
+
+    return run
+
+
+def _built(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = bpe._vocabulary(name)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = [(np.diff(edges).astype(np.int32), tokens.astype(np.int32)) for _, edges, tokens in _encoded(part, vocab)]
+                widths, tokens = (pa.array(list(x), pa.list_(pa.int32())) for x in zip(*rows))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text": part.column("text"), "widths": widths, "tokens": tokens})
+
+    return run
+
+
+def _updated(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = bpe._vocabulary(name)
+        one = lambda piece: len(vocab.ids([piece.encode()])[0])
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = []
+                for text, widths, tokens, edits in zip(*(part.column(c).to_pylist() for c in ("text", "widths", "tokens", "edits"))):
+                    tree = CountTree(text, np.append(0, np.cumsum(widths)).astype(np.int64), np.array(tokens, np.int64), one)
                     before = tree.total
-                    for e in sorted(edits, key=lambda e: e["seq"]):
-                        tree.edit(e["start"] or 0, e["n_deleted"] or 0, e["inserted"] or "")
-                    rows.append((len(edits), before, tree.total, b - a, tree.encoded))
-                names = ("n_edits", "n_tokens_before", "n_tokens", "n_pretokens", "n_reencoded")
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id")} | {k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*rows))})
+                    for _, start, deleted, inserted in _in_order(edits or []):
+                        tree.edit(start, deleted, inserted)
+                    encoded = tree.encoded
+                    rows.append((tree.text(), *tree.leaves(), len(edits or []), before, tree.total, len(tokens), encoded))
+                text, widths, tokens, *figures = zip(*rows)
+                lists = [pa.array(list(x), pa.list_(pa.int32())) for x in (widths, tokens)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(text, pa.string()), *lists, *[pa.array(x, pa.int64()) for x in figures]], ["doc_id", "text", "widths", "tokens", *_FIGURES])
 
     return run
 
 
+_TREE = "doc_id long, text string, widths array<int>, tokens array<int>"
+_COUNTS = ", ".join(f"{x} long" for x in _FIGURES)
+
+
+def _with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    per = edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("seq", "start", "n_deleted", "inserted")).alias("edits"))
+    return rows.join(per, "doc_id", "left")
+
+
+def build(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text, widths, tokens: the tree of each row, to be written and kept.  A null text is empty and has no leaves."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_built(bpe.ship(docs, path)), _TREE)
+
+
+def update(trees: DataFrame, edits: DataFrame, path: str) -> DataFrame:
+    """The trees after a batch of edits, and the figures of count_edited; only what edits touch is encoded."""
+    return _with_edits(trees.select("doc_id", "text", "widths", "tokens"), edits).mapInArrow(_updated(bpe.ship(trees, path)), f"{_TREE}, {_COUNTS}")
+
+
 def count_edited(docs: DataFrame, edits: DataFrame, path: str) -> DataFrame:
     """doc_id, n_edits, n_tokens_before, n_tokens, n_pretokens, n_reencoded for every row of docs.
 
-    edits (doc_id, seq, start, n_deleted, inserted) apply in order of seq, start counting code points of the text as it then is;
-    places beyond the text are clipped, null numbers are 0 and null strings empty, edits of unknown documents do nothing.
-    Null texts are empty.
+    edits (doc_id, seq, start, n_deleted, inserted) apply in order of seq, start counting code points of the text as it then
+    is; edits of one seq by start, n_deleted and inserted, equal edits once.  Places beyond the text are clipped, null
+    numbers are 0 and null strings empty, edits of unknown documents do nothing.  Null texts are empty, texts may have any
+    length.  Each row of a repeated doc_id gets all edits of that id, a null doc_id none.  An empty table gives no rows;
+    other columns are not looked at.
     """
-    per = edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("seq", "start", "n_deleted", "inserted")).alias("edits"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(per, "doc_id", "left")
-    schema = "doc_id long, n_edits long, n_tokens_before long, n_tokens long, n_pretokens long, n_reencoded long"
-    return rows.mapInArrow(_counts(bpe.ship(docs, path)), schema)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return _with_edits(rows, edits).mapInArrow(_counts(bpe.ship(docs, path)), f"doc_id long, {_COUNTS}")
