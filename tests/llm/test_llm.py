@@ -81,6 +81,36 @@ def test_near_dedup_finds_all_pairs(docs, rows):
     assert kept == set(got.values())
 
 
+def similar_pairs(docs, least=0.8):
+    """All pairs of doc_ids of a small table whose weighted Jaccard similarity is `least` or more, over postings of every shingle."""
+    idf = near_dedup.word_weights(docs)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    row, h, v = near_dedup.weighted_shingles(Words(pa.array([r["text"] for r in rows], pa.string()), PUNCT, fold=True), idf)
+    v = v.astype(np.float64)
+    whole = np.bincount(row, v, minlength=len(rows))
+    order = np.argsort(h, kind="stable")
+    of, weight, begin = row[order], v[order], np.searchsorted(h[order], h)
+    count = np.searchsorted(h[order], h, side="right") - begin
+    edge, out = np.searchsorted(row, np.arange(len(rows) + 1)), []
+    for i in range(len(rows)):
+        a, b = edge[i], edge[i + 1]
+        n = count[a:b]
+        at = np.repeat(begin[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(of[at], np.minimum(weight[at], np.repeat(v[a:b], n)), minlength=i + 1)[:i]
+        hit = np.flatnonzero((both > 0) & (both >= least * (whole[i] + whole[:i] - both)))
+        out += [(rows[j]["doc_id"], rows[i]["doc_id"]) for j in hit]
+    return out
+
+
+def test_recall_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pairs = similar_pairs(docs)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    found = sum(got[a] == got[b] for a, b in pairs)
+    print(f"{found} of {len(pairs)} pairs in one class")
+    assert len(pairs) > 1000 and found >= 0.9 * len(pairs)
+
+
 def test_all_components_of_a_bucket_meet(spark):
     random.seed(6)
     # A, B, D, E, H in one bucket, with D ~ E; then B ~ D where A is B's component's first; then many buckets by chance

@@ -2,7 +2,8 @@
 
 Base figures come from arrays inside each row.  The cross-document rule hashes normalised lines, counts the distinct
 documents of each host that hold a line (equal texts are one document, so exact copies do not make their own lines common),
-takes out lines above the limits, and rejects documents that lose most of their text that way.
+takes out lines above a limit, and rejects documents that lose most of their text that way.  The limit is a count: a share
+of the host's documents would let a host that holds a third of all rows keep any line.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import materialize
 
-#: A line goes if more documents of its host hold it than both limits say: a count, and a share of the host's documents.
-MIN_DOCS, MAX_SHARE = 20, 0.2
+#: A line goes if more distinct documents of its host hold it.
+MAX_DOCS = 20
 #: A document is depleted if less than this share of the characters of its lines is left.
 MIN_LEFT = 0.3
 #: Words of a window, and the base limits.
@@ -56,16 +57,17 @@ def figures(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(F.aggregate(covered, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")).drop("places")
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def judge(docs: DataFrame, max_docs: int = MAX_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """A row for each input row: the figures, n_removed_chars, base_failed, kept.
 
-    Null texts have no words and fail; a null source is a host of its own; a null doc_id stays null.
+    Null and empty texts have no words and fail; a null source is the host of the empty one; a null doc_id stays null.
+    Repeated rows are judged one by one and count as one document of their host.  Texts may have any length; an empty table
+    gives no rows; other columns are not looked at.
     """
     base = materialize(figures(docs).withColumn("rid", F.monotonically_increasing_id()))
     lines = base.select("rid", "host", "same", F.explode("lines").alias("l")).select("rid", "host", "same", "l.line", "l.n")
-    hosts = base.select("host", "same").distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
-    seen = lines.select("host", "line", "same").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    common = seen.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line")
+    seen = lines.select("host", "line", "same").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
+    common = materialize(seen.where(F.col("n_docs") > max_docs).select("host", "line"))  # written, so that the join's hot lines can be split
     removed = lines.join(common, ["host", "line"]).groupBy("rid").agg(F.sum("n").alias("n_removed_chars"))
     out = base.withColumn("line_chars", F.aggregate("lines", F.lit(0).cast("long"), lambda t, x: t + x["n"])).drop("lines").join(removed, "rid", "left").withColumn("n_removed_chars", F.coalesce("n_removed_chars", F.lit(0)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
@@ -81,10 +83,7 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that judge keeps, all their columns unchanged.
-
-    Lines go by their count of documents alone: no line reaches MAX_SHARE of a large host, so that a share would keep them all.
-    """
-    good = judge(docs, max_share=0.0).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
+    """The rows that judge keeps, all their columns unchanged."""
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (key == good["_same"]), "left_semi")

@@ -83,8 +83,7 @@ with d as (select doc_id, coalesce(source, '') as host, coalesce(text, '') as t,
   rep as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 8)) as p from twice) group by 1),
   line as (select * from (select doc_id, host, t, unnest(string_split(t, chr(10))) as l from d) where regexp_matches(l, '{_WORD}')),
   dup as (select doc_id, count(*) - count(distinct l) as n, sum(length(l)) as chars from line group by 1),
-  hosts as (select host, count(distinct t) as docs from d group by 1),
-  common as (select host, h from (select host, lower(trim(l)) as h, count(distinct t) as n from line group by 1, 2) join hosts using (host) where n > {quality.MIN_DOCS} and n > {quality.MAX_SHARE}e0 * docs),
+  common as (select host, h from (select host, lower(trim(l)) as h, count(distinct t) as n from line group by 1, 2) where n > {quality.MAX_DOCS}),
   cut as (select doc_id, sum(length(l)) as n from line join common on common.host = line.host and common.h = lower(trim(l)) group by 1),
   f as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(dup.chars, 0) as chars, coalesce(cut.n, 0) as removed
     from d left join dup on dup.doc_id = d.doc_id left join rep on rep.doc_id = d.doc_id left join cut on cut.doc_id = d.doc_id),
