@@ -145,7 +145,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_edits, n_item_words, last_word: a row for each document (row) and item found in it.
 
     An item counts as found where an edit distance over words of at most budget(m) is met.  Null and empty texts hold
-    nothing, null or wordless items are found nowhere, items of fewer than ten words only unedited.
+    nothing, null or wordless items are found nowhere, items of fewer than ten words only unedited.  Texts may have any
+    length.  Repeated rows of documents give repeated rows, repeated items count once; of equally good stretches the first
+    one's end is given.  An empty table on either side gives none; other columns are not looked at.
     """
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, n_edits long, n_item_words long, last_word long"

@@ -264,7 +264,11 @@ def _marked(docs: DataFrame, k: int, m: int) -> DataFrame:
 
 
 def dedup_digest(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 for every row; null texts have no words."""
+    """doc_id, n_words, n_removed, kept_sha256 for every row, repeated ones too; null and empty texts have no words.
+
+    Of documents with the same windows the one with the smallest doc_id keeps them; an empty table gives no rows; other
+    columns are not looked at.
+    """
     base = docs.select("doc_id", "text")
     return _marked(base, k, m).mapInArrow(_digests(k), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
