@@ -213,9 +213,10 @@ def removals(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     anchors = materialize(docs.select("text").mapInArrow(_anchors(k, m), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"))
     places = materialize(docs.mapInArrow(_places(k, m), "anchor long, content long, doc_id long, tid long, at long").join(anchors, "anchor"))
     discard(anchors)
-    first = places.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last"))
-    branch = first.groupBy("anchor").agg(F.count("*").alias("contents"))
+    first = materialize(places.groupBy("anchor", "content").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")))
+    branch = materialize(first.groupBy("anchor").agg(F.count("*").alias("contents")))
     known = materialize(first.join(branch, "anchor").where("source < last or contents > 1"))
+    discard(first, branch)
     judged = materialize(places.join(known, ["anchor", "content"]))
     discard(places, known)
 
