@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.encoding import ColorModel, EmbeddingModel, PositionModel
 from . import search
-from .kmeans import KMeans, labelled, nearest
+from .kmeans import KMeans, labelled, nearest, summed
 
 #: Rows of a coarse cluster that one task clusters finely.
 SHARE = 4096
@@ -66,7 +66,6 @@ def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_R
     rank = F.row_number().over(Window.partitionBy("coarse").orderBy("h", "row_id")) - 1
     first = rows.select("row_id", "coarse", F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("fine", rank).join(F.broadcast(sizes), "coarse").where(F.col("fine") < F.col("n_fine")).select("row_id", "coarse", "fine")
     centroids = rows.select("row_id", "v").join(first, "row_id").select("coarse", "fine", F.col("v").alias("c")).persist()
-    dim = len(centroids.first()["c"])
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["coarse", "fine", "n", "sums"]
@@ -82,7 +81,7 @@ def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_R
 
     for _ in range(rounds):
         parts = rows.select("coarse", "salt", "v").groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(sums, "coarse int, fine int, n long, sums array<double>")
-        added = parts.groupBy("coarse", "fine").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dim)]).alias("sums"))
+        added = summed(parts, "coarse", "fine")
         new = centroids.join(added, ["coarse", "fine"], "left").select("coarse", "fine", F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("c")).persist()
         new.count()
         centroids.unpersist()

@@ -90,6 +90,38 @@ def distances(df: DataFrame, centroids: np.ndarray) -> DataFrame:
     return df.select("row_id", "v").mapInArrow(run, "row_id long, k int, distance double")
 
 
+def summed(parts: DataFrame, *keys: str) -> DataFrame:
+    """The keys (int), n and sums of rows added up by key: a stream of sorted rows, so a key may have any number of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, n = np.stack([b.column(k).to_numpy() for k in keys], 1), b.column("n").to_numpy()
+            x = b.column("sums").flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1)
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+            key, n, x = key[first], np.add.reduceat(n, first), np.add.reduceat(x, first, axis=0)
+            if held is not None:
+                if (key[0] == held[0][0]).all():
+                    n[0] += held[1][0]
+                    x[0] += held[2][0]
+                else:
+                    yield record(*held)
+            if len(n) > 1:
+                yield record(key[:-1], n[:-1], x[:-1])
+            held = (key[-1:].copy(), n[-1:].copy(), x[-1:].copy())
+        if held is not None:
+            yield record(*held)
+
+    def record(key: np.ndarray, n: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+        return pa.RecordBatch.from_arrays([*[pa.array(key[:, i].astype(np.int32)) for i in range(len(keys))], pa.array(n), lists], [*keys, "n", "sums"])
+
+    sorted_ = parts.select(*keys, "n", "sums").repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_.mapInArrow(run, ", ".join(f"{k} int" for k in keys) + ", n long, sums array<double>")
+
+
 def partial_sums(df: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Sums (K, D), counts (K) and inertia under the nearest centroids: a row per task and centroid is what Spark shuffles."""
     shared = _broadcast(df, centroids)
@@ -105,16 +137,14 @@ def partial_sums(df: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.n
                 np.add.at(sums, label, x)
                 counts += np.bincount(label, minlength=k)
                 inertia += np.bincount(label, d, minlength=k)
-        yield pa.RecordBatch.from_pydict({"k": np.arange(k, dtype=np.int32), "n": counts, "inertia": inertia, "sums": pa.array(list(sums), pa.list_(pa.float64()))})
+        # inertia goes as one more number behind each sum
+        yield pa.RecordBatch.from_pydict({"k": np.arange(k, dtype=np.int32), "n": counts, "sums": pa.array(list(np.column_stack([sums, inertia])), pa.list_(pa.float64()))})
 
-    parts = df.select("v").mapInArrow(run, "k int, n long, inertia double, sums array<double>")
-    add = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(dim)]
-    rows = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("inertia").alias("inertia"), *add).collect()  # K rows
-    sums, counts, inertia = np.zeros((k, dim)), np.zeros(k, np.int64), 0.0
+    rows = summed(df.select("v").mapInArrow(run, "k int, n long, sums array<double>"), "k").collect()  # K rows
+    sums, counts = np.zeros((k, dim + 1)), np.zeros(k, np.int64)
     for r in rows:
-        sums[r["k"]], counts[r["k"]] = [r[f"s{i}"] for i in range(dim)], r["n"]
-        inertia += r["inertia"]
-    return sums, counts, inertia
+        sums[r["k"]], counts[r["k"]] = r["sums"], r["n"]
+    return sums[:, :dim], counts, float(sums[:, dim].sum())
 
 
 def update(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
