@@ -230,12 +230,14 @@ def removals(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     rows = rows.withColumn("after", F.when(F.col("after.word") == word + size, F.col("after.content"))).withColumn("before", F.when(F.col("before.end") == word, F.col("before.content")))
     only = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))  # noqa: E731  degree one, and no place without a neighbour
     pieces = materialize(rows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tid", "at")).alias("s"), F.coalesce(only("before"), F.lit(False)).alias("one_in"), F.coalesce(only("after"), F.lit(False)).alias("one_out"), F.min("before").alias("before")))
-    ends = pieces.where("one_out").select(F.col("content").alias("before")).distinct().withColumn("goes_on", F.lit(True))
-    joined = pieces.join(ends, "before", "left").select("anchor", "content", "s.*", (~(F.col("one_in") & F.coalesce("goes_on", F.lit(False)))).cast("int").alias("head"))
+    ends = materialize(pieces.where("one_out").select(F.col("content").alias("before")).distinct().withColumn("goes_on", F.lit(True)))
+    # pieces with several or no neighbours before them are heads without a look, and so never meet under one key
+    linked = pieces.where("one_in").join(ends, "before", "left").select("anchor", "content", "s", F.coalesce("goes_on", F.lit(False)).alias("inner"))
+    joined = linked.unionByName(pieces.where("not one_in").select("anchor", "content", "s", F.lit(False).alias("inner"))).select("anchor", "content", "s.*", (~F.col("inner")).cast("int").alias("head"))
     path = F.sum("head").over(by_row)
     paths = joined.withColumn("path", path).groupBy("doc_id", "tid", "path").agg(F.min_by(F.struct("anchor", "content", word.alias("first")), "at").alias("h"), F.sum(size).alias("n"))
     paths = materialize(paths.select("h.*", F.col("doc_id").alias("source"), F.col("tid").alias("source_tid"), "n"))
-    discard(pieces)
+    discard(pieces, ends)
 
     spans = materialize(judged.where("doc_id > source").select("anchor", "content", "doc_id", "tid", word.alias("first")).join(paths.select("anchor", "content", "n"), ["anchor", "content"]))
     wanted = paths.groupBy(F.col("source").alias("doc_id"), F.col("source_tid").alias("tid")).agg(F.collect_list(F.struct("anchor", "content", "first", "n")).alias("paths"))
