@@ -317,19 +317,21 @@ def linked(members: DataFrame, verify, prefix, least: float = SIMILARITY) -> tup
         n = LEADERS
         while True:
             known = state.labelled(rest)
-            several = materialize(known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key"))
-            mixed = materialize(known.join(several, ["band", "key"]).withColumn("rank", F.row_number().over(Window.partitionBy("band", "key").orderBy("x"))))
+            several = materialize(known.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("held")).where("low < high").select("band", "key", "held"))
+            # about n leaders of each bucket by hash, so that no bucket has to be ranked in one task; all once n is its size
+            drawn = F.pmod(F.xxhash64("x", "key"), F.lit(1 << 30)) / F.lit(float(1 << 30)) * F.col("held") < n
+            mixed = materialize(known.join(several, ["band", "key"]).withColumn("leads", drawn).drop("held"))
             discard(known, several, rest)
             if mixed.isEmpty():
                 break
-            leaders = mixed.where(F.col("rank") <= n).select(F.col("band").alias("their_band"), F.col("key").alias("their_key"), F.col("x").alias("leader"), F.col("label").alias("own"), F.col("before").alias("their_before"), F.col("whole").alias("their_whole"))
+            leaders = mixed.where("leads").select(F.col("band").alias("their_band"), F.col("key").alias("their_key"), F.col("x").alias("leader"), F.col("label").alias("own"), F.col("before").alias("their_before"), F.col("whole").alias("their_whole"))
             # both are at most as heavy as what they have from this shingle on, if it is their first common one
             reach = F.least(mixed["whole"] - mixed["before"], F.col("their_whole") - F.col("their_before")) * (1 + least) >= (least - 1e-6) * (mixed["whole"] + F.col("their_whole"))
-            pairs = mixed.join(leaders, (mixed["band"] == leaders["their_band"]) & (mixed["key"] == leaders["their_key"]) & (F.col("leader") < F.col("x")) & (F.col("own") != F.col("label")) & reach).select("leader", "x").distinct()
+            pairs = mixed.join(leaders, (mixed["band"] == leaders["their_band"]) & (mixed["key"] == leaders["their_key"]) & ((F.col("leader") < F.col("x")) | ~mixed["leads"]) & (F.col("own") != F.col("label")) & reach).select("leader", "x").distinct()
             pairs = materialize(state.untested(pairs))
             if not pairs.isEmpty():
                 state.test(pairs)
-            rest = materialize(mixed.where(F.col("rank") > n).drop("rank", "label"))
+            rest = materialize(mixed.where("not leads").drop("leads", "label"))
             discard(mixed)
             n *= GROWTH
     discard(*state.tested)
