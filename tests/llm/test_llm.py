@@ -333,6 +333,15 @@ def test_myers_and_leaks(spark):
     assert got == want
 
 
+def test_leaks_of_repeated_rows_and_columns(spark):
+    item = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, "x " + item, 7), (1, "x " + item, 7), (1, "other", 7), (2, "long " * 50_000 + item, 7), (None, item, 7), (3, "", 7), (4, None, 7)], "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(5, item, "t"), (5, item, "t"), (6, "", "t")], "item_id long, text string, doc_id string")
+    got = sorted(((r["doc_id"] or 0, r["item_id"], r["n_edits"], r["last_word"]) for r in decontaminate.leaks(docs, items).collect()))
+    assert got == [(0, 5, 0, 19), (1, 5, 0, 20), (1, 5, 0, 20), (2, 5, 0, 50_019)]
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs, items).collect()} == {None, 3, 4}
+
+
 def test_bpe_matches_tiktoken(docs, rows):
     vocab = bpe.Vocabulary(open(PATH, "rb").read())
     enc = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=vocab.ranks, special_tokens={})
