@@ -12,7 +12,7 @@ from vecscene.sources import splats  # noqa: E402
 
 
 def main() -> None:
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ix = SplatIndex(spark, IndexConfig(n_coarse=10, n_fine=50, n_probe=5))
     ix.add_splats(splats.generate(spark, 1000))
