@@ -5,10 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html_extract, licenses, near_dedup, quality, shards, substring_dedup, token_counts, url_filter
+from . import align, bpe, decontaminate, html_extract, licenses, near_dedup, quality, shards, substring_dedup, token_counts, url_filter
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The two sides of the alignment.
+BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_byte_bpe, op8_substring_dedup, op9_html_extraction, op10_quality_rules)}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_digest(read(spark, sf_dir, "documents"), BYTES, PIECES)
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_byte_bpe, op8_substring_dedup, op9_html_extraction, op10_quality_rules, op11_tokenizer_alignment)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _OP8 = f"""
