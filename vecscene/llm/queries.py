@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import align, bpe, decontaminate, fingerprints, html_extract, licenses, near_dedup, quality, shards, substring_dedup, token_counts, url_filter
+from . import align, bpe, decontaminate, fingerprints, html_extract, licenses, near_dedup, quality, runs, shards, substring_dedup, token_counts, url_filter
 from .common import read
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -67,11 +67,15 @@ def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_digest(read(spark, sf_dir, "documents"), BYTES, PIECES)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(read(spark, sf_dir, "documents"))
+
+
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_likeness(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_byte_bpe, op8_substring_dedup, op9_html_extraction, op10_quality_rules, op11_tokenizer_alignment, op13_document_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_sharding, op3_token_counts, op4_license_scans, op5_url_filters, op6_benchmark_decontamination, op7_byte_bpe, op8_substring_dedup, op9_html_extraction, op10_quality_rules, op11_tokenizer_alignment, op12_periodic_runs, op13_document_fingerprints)}
 
 _WORD = r"[^\x20\x09-\x0D]"
 _OP8 = f"""
