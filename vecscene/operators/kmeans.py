@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .sampling import BITS, draw, sample
+
 #: Cells of the distance matrix computed at once in a task.
 _CELLS = 1 << 21
 
@@ -16,7 +18,10 @@ _CELLS = 1 << 21
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
     """Vectors of a list column; numbers that are not finite count as zero, so that they can neither win nor spread."""
     flat = column.flatten() if isinstance(column, (pa.ListArray, pa.LargeListArray)) else pa.array([])
-    return np.nan_to_num(flat.to_numpy(zero_copy_only=False).astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0).reshape(-1, dim)
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if not np.isfinite(x.sum()):  # else there is nothing to replace, and the column's own memory is read
+        x = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
+    return x.reshape(-1, dim)
 
 
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -29,10 +34,25 @@ def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def product_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances by one matrix product, and for each row of x a bound of their error."""
+def pair_distances(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and a bound of the error of each: one long vector makes no other pair vague."""
     a, b = np.einsum("nd,nd->n", x, x), np.einsum("nd,nd->n", c, c)
-    return a[:, None] + b - 2 * (x @ c.T), (a + b.max(initial=0.0)) * 1e-12 * max(1, x.shape[1])
+    whole = a[:, None] + b
+    about = x @ c.T
+    about *= -2
+    about += whole
+    whole *= 1e-15 * (x.shape[1] + 8)
+    return about, whole
+
+
+def measured(x: np.ndarray, c: np.ndarray, r: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs in difference form, in blocks of pairs."""
+    out = np.empty(len(r))
+    step = max(1, _CELLS // max(1, x.shape[1]))
+    for a in range(0, len(r), step):
+        d = x[r[a : a + step]] - c[k[a : a + step]]
+        out[a : a + step] = np.einsum("nd,nd->n", d, d)
+    return out
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,15 +61,18 @@ def nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     step = max(1, _CELLS // max(1, len(c)))
     for a in range(0, len(x), step):
         part = x[a : a + step]
-        about, error = product_distances(part, c)
-        close = about <= about.min(1)[:, None] + 2 * error[:, None]
+        about, error = pair_distances(part, c)
+        close = about - error <= (about + error).min(1)[:, None]
         best = close.argmax(1)
-        # rows with several candidates inside the error are measured exactly
+        # where several are inside the error, just those are measured
         several = np.flatnonzero(close.sum(1) > 1)
-        best[several] = squared_distances(part[several], c).argmin(1)
+        if len(several):
+            r, k = np.nonzero(close[several])
+            exact = np.full((len(several), len(c)), np.inf)
+            exact[r, k] = measured(part, c, several[r], k)
+            best[several] = exact.argmin(1)
         label[a : a + step] = best
-    d = x - c[label]
-    return label, np.einsum("nd,nd->n", d, d)
+    return label, measured(x, c, np.arange(len(x)), label)
 
 
 def _broadcast(df: DataFrame, c: np.ndarray):
@@ -165,7 +188,7 @@ def batch_mean_update(centroids: np.ndarray, counts: np.ndarray, sums: np.ndarra
 
 def _draw(seed: int, *salt: int):
     """A number in (0, 1) for each row_id, the same for any partitioning."""
-    return (F.pmod(F.xxhash64("row_id", F.lit(seed), *map(F.lit, salt)), F.lit(1 << 40)) + F.lit(0.5)) / F.lit(float(1 << 40))
+    return (draw(seed, *salt) + F.lit(0.5)) / F.lit(float(1 << BITS))
 
 
 def plus_plus(df: DataFrame, k: int, seed: int = 42) -> np.ndarray:
@@ -212,10 +235,28 @@ def weighted_pick(df: DataFrame, weight: str, r: float) -> DataFrame:
     return inside.withColumn("run", run).agg(F.coalesce(F.min(F.when(F.col("run") >= F.col("target"), F.col("row_id"))), F.max("row_id")).alias("row_id"))
 
 
+def scalars(df: DataFrame) -> DataFrame:
+    """df with v as an array: numbers become vectors of one number."""
+    kind = df.schema["v"].dataType.typeName()
+    return df if kind == "array" else df.withColumn("v", F.array(F.col("v").cast("double")))
+
+
+def _rows_of(df: DataFrame) -> np.ndarray:
+    """The vectors of few rows."""
+    return np.nan_to_num(np.array([r["v"] for r in df.select("v").collect()], np.float64), nan=0.0, posinf=0.0, neginf=0.0)
+
+
 class KMeans:
-    """fit, predict, fit_predict and transform; mini-batch (default) or full updates."""
+    """fit, predict, fit_predict and transform; mini-batch (default) or full updates.
+
+    init is "k-means||" (a few passes) or "k-means++" (a pass for each cluster).  Full rounds skip distances by bounds;
+    n_distances_ is how many they have measured.
+    """
 
-    def __init__(self, n_clusters: int = 100, batch_size: int = 1000, max_iter: int = 100, random_state: int = 42, use_mini_batch: bool = True, tol: float = 1e-4, update: str = "per_sample"):
+    def __init__(self, n_clusters: int = 100, batch_size: int = 1000, max_iter: int = 100, random_state: int = 42, use_mini_batch: bool = True, tol: float = 1e-4, update: str = "per_sample", init: str = "k-means||"):
+        if init not in ("k-means||", "k-means++"):
+            raise ValueError("init is 'k-means||' or 'k-means++'")
+        self.init, self.n_distances_ = init, 0
         self.n_clusters, self.batch_size, self.max_iter, self.random_state = n_clusters, batch_size, max_iter, random_state
         self.use_mini_batch, self.tol, self.update = use_mini_batch, tol, update
         self.centroids_: np.ndarray | None = None
@@ -223,36 +264,35 @@ class KMeans:
         self.n_iter_ = 0
 
     def fit(self, df: DataFrame) -> KMeans:
-        df = df.select("row_id", "v").persist()
+        from . import lloyd, seeding
+        from ..tables import Vectors, discard
+
+        vectors = Vectors(scalars(df).select("row_id", "v"))
+        df = vectors.rows.select("row_id", "v")
         try:
             n = df.count()
             if not n:
                 raise ValueError("no rows to fit")
             k = min(self.n_clusters, n)
-            c = plus_plus(df, k, self.random_state)
+            c = plus_plus(df, k, self.random_state) if self.init == "k-means++" else seeding.parallel(df, k, self.random_state, vectors=vectors)
+            if len(c) < k:  # fewer distinct rows than clusters
+                c = np.concatenate([c, _rows_of(sample(df, k - len(c), self.random_state, 9))])
             if self.use_mini_batch:
                 step, counts = (minibatch_update if self.update == "per_sample" else batch_mean_update), np.ones(k, np.int64)
                 for i in range(self.max_iter):
-                    batch = df if n <= self.batch_size else df.orderBy(_draw(self.random_state, 1000 + i)).limit(self.batch_size)
+                    batch = df if n <= self.batch_size else sample(df, self.batch_size, self.random_state, 1000 + i)
                     sums, m, _ = partial_sums(batch, c)
                     c, counts = step(c, counts, sums, m)
                     self.n_iter_ = i + 1
             else:
-                for i in range(self.max_iter):
-                    sums, m, _ = partial_sums(df, c)
-                    new = update(sums, m)
-                    empty = np.flatnonzero(m == 0)
-                    if len(empty):
-                        spare = df.orderBy(_draw(self.random_state, 5000 + i)).limit(len(empty)).collect()
-                        new[empty[: len(spare)]] = [r["v"] for r in spare]
-                    shift = float(((new - c) ** 2).sum())
-                    c, self.n_iter_ = new, i + 1
-                    if shift < self.tol:
-                        break
+                spare = lambda i, m: _rows_of(sample(df, m, self.random_state, 5000 + i))
+                c, state, done = lloyd.rounds(vectors, c, self.max_iter, self.tol, spare)
+                discard(state)
+                self.n_iter_, self.n_distances_ = len(done), sum(r.n_distances for r in done)
             self.centroids_ = c
             self.inertia_ = partial_sums(df, c)[2]
         finally:
-            df.unpersist()
+            vectors.release()
         return self
 
     def _fitted(self) -> np.ndarray:
@@ -261,13 +301,13 @@ class KMeans:
         return self.centroids_
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return assign(df, self._fitted()).select("row_id", "label")
+        return assign(scalars(df), self._fitted()).select("row_id", "label")
 
     def fit_predict(self, df: DataFrame) -> DataFrame:
         return self.fit(df).predict(df)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return distances(df, self._fitted())
+        return distances(scalars(df), self._fitted())
 
 
 #: Another name of the same class.
