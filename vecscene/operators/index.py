@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import json
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from ..functions.encoding import ColorModel, EmbeddingModel, PositionModel
+from ..tables import discard, written
 from . import search
 from .kmeans import KMeans, labelled, nearest, summed
+from .ranks import places
 
 #: Rows of a coarse cluster that one task clusters finely.
 SHARE = 4096
@@ -49,23 +51,24 @@ def fine_clamp(n_fine: int, size: int) -> int:
     return max(1, min(n_fine, size // 5))
 
 
-def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """K-Means inside each coarse cluster: the rows (row_id, coarse, v and what else they have) with a label fine, and the
-    centroids (coarse, fine, c).  The rows stay persisted until the caller lets go of them.
+def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """K-Means inside each coarse cluster: the rows (row_id, coarse, v and what else they have) with a salt, the centroids
+    (coarse, fine, c), and the sizes (coarse, size, n_fine, salts).  The caller unpersists the rows and discards the other two.
 
     A cluster of n rows gets fine_clamp(n_fine, n) centroids, first the rows of lowest hash.  In each round every group of
     rows gives sums for each centroid, which Spark adds up; a centroid without rows stays.  A cluster is dealt out in groups
     of SHARE rows, each with its own copy of the centroids, so that a large cluster is never one task; the rows are
-    shuffled once for all rounds.
+    shuffled once for all rounds, and the centroids of a round are written, so lineage does not grow.
     """
-    sizes = index.groupBy("coarse").agg(F.count("*").alias("size")).select("coarse", F.greatest(F.lit(1), F.least(F.lit(n_fine), F.floor(F.col("size") / 5))).alias("n_fine"), F.ceil(F.col("size") / SHARE).alias("salts"))
-    sizes = sizes.persist()
+    sizes = written(index.groupBy("coarse").agg(F.count("*").alias("size")).select("coarse", F.greatest(F.lit(1), F.least(F.lit(n_fine), F.floor(F.col("size") / 5))).alias("n_fine"), F.ceil(F.col("size") / SHARE).alias("salts")))
     rows = index.join(F.broadcast(sizes), "coarse").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(seed)), "salts")).drop("n_fine", "salts")  # a row for each cluster
     rows = rows.repartition("coarse", "salt").persist()
-    # ranks carry no vectors
-    rank = F.row_number().over(Window.partitionBy("coarse").orderBy("h", "row_id")) - 1
-    first = rows.select("row_id", "coarse", F.xxhash64("row_id", F.lit(seed)).alias("h")).withColumn("fine", rank).join(F.broadcast(sizes), "coarse").where(F.col("fine") < F.col("n_fine")).select("row_id", "coarse", "fine")
-    centroids = rows.select("row_id", "v").join(first, "row_id").select("coarse", "fine", F.col("v").alias("c")).persist()
+    # ranks carry no vectors, and no task ranks a whole cluster
+    keyed = rows.select("coarse", F.struct(F.xxhash64("row_id", F.lit(seed)).alias("h"), "row_id").alias("h"))
+    seats = places(keyed, "coarse", "h", "fine")
+    first = seats.join(F.broadcast(sizes), "coarse").where(F.col("fine") < F.col("n_fine")).select(F.col("h.row_id").alias("row_id"), "coarse", F.col("fine").cast("int").alias("fine"))
+    centroids = written(rows.select("row_id", "coarse", "v").join(first, ["row_id", "coarse"]).select("coarse", "fine", F.col("v").alias("c")))
+    discard(seats)
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["coarse", "fine", "n", "sums"]
@@ -82,11 +85,10 @@ def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_R
     for _ in range(rounds):
         parts = rows.select("coarse", "salt", "v").groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(sums, "coarse int, fine int, n long, sums array<double>")
         added = summed(parts, "coarse", "fine")
-        new = centroids.join(added, ["coarse", "fine"], "left").select("coarse", "fine", F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("c")).persist()
-        new.count()
-        centroids.unpersist()
+        new = written(centroids.join(added, ["coarse", "fine"], "left").select("coarse", "fine", F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("c")))
+        discard(centroids)
         centroids = new
-    return rows, centroids
+    return rows, centroids, sizes
 
 
 def _copies(centroids: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -95,46 +97,53 @@ def _copies(centroids: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def fine_labels(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> DataFrame:
-    """The columns of index and fine: the nearest fine centroid of each row's own coarse cluster."""
-    rows, centroids = fine_fit(index, n_fine, seed, rounds)
-    sizes = rows.groupBy("coarse").agg((F.max("salt") + 1).alias("salts"))
+    """The columns of index and fine, the nearest fine centroid of each row's own coarse cluster, with norm_sq: a table stored by
+    coarse cluster and sorted by norm_sq inside, of which nothing stays persisted."""
+    rows, centroids, sizes = fine_fit(index, n_fine, seed, rounds)
     columns = index.columns
-    schema = rows.select(*columns).schema.add("fine", "integer")
+    schema = rows.select(*columns).schema.add("norm_sq", "double").add("fine", "integer")
 
     def label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left[columns]
         if left.empty or right.empty:
-            return left.iloc[:0].assign(fine=np.zeros(0, np.int32))
+            return left.iloc[:0].assign(norm_sq=np.zeros(0), fine=np.zeros(0, np.int32))
         right = right.sort_values("c_fine")
-        return left.assign(fine=right["c_fine"].to_numpy()[nearest(np.nan_to_num(np.stack(left["v"])), np.stack(right["c"]))[0]])
+        x = np.nan_to_num(np.stack(left["v"]), nan=0.0, posinf=0.0, neginf=0.0)
+        return left.assign(norm_sq=np.einsum("nd,nd->n", x, x), fine=right["c_fine"].to_numpy()[nearest(x, np.stack(right["c"]))[0]])
 
-    return rows.groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(label, schema)
+    try:
+        labelled_ = rows.groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(label, schema)
+        return written(labelled_.sortWithinPartitions("coarse", "norm_sq"), "coarse")
+    finally:
+        rows.unpersist()
+        discard(centroids, sizes)
 
 
 def members(index: DataFrame) -> DataFrame:
     """row_id, coarse, place: the place of each row among those of its cluster, in order of row_id from 0."""
-    return index.select("row_id", "coarse", (F.row_number().over(Window.partitionBy("coarse").orderBy("row_id")) - 1).alias("place"))
+    return places(index, "coarse", "row_id").select("row_id", "coarse", F.col("place").cast("int").alias("place"))
 
 
 @dataclass
 class SplatIndex:
     """add_splats, build, query, batch_query, query_with_details, get, members, save and load.
 
-    The built table has row_id, id, v, coarse and fine.
+    The built table has row_id, id, v, norm_sq, fine and coarse; it is written by coarse cluster in the shared folder and
+    deleted by clear or the next build.  Queries are not run before their results are used: stats are of what has been run.
     """
 
     spark: SparkSession
     config: IndexConfig = field(default_factory=IndexConfig)
-    stats: IndexStats = field(default_factory=IndexStats)
+    built: IndexStats = field(default_factory=IndexStats)
     splats: DataFrame | None = None
     model: EmbeddingModel | None = None
     centroids: np.ndarray | None = None
     table: DataFrame | None = None
-    held: list = field(default_factory=list)
+    asked: list = field(default_factory=list)
 
     def add_splats(self, splats: DataFrame) -> None:
         self.splats = splats if self.splats is None else self.splats.unionByName(splats, allowMissingColumns=True)
-        self.table = None
+        self.release()
 
     def build(self) -> float:
         """Seconds; 0.0 and no index where there are no splats."""
@@ -143,17 +152,24 @@ class SplatIndex:
             return 0.0
         self.release()
         self.model = EmbeddingModel.fit(self.splats)
-        rows = self.model.transform(self.splats.withColumn("row_id", F.col("id"))).select("row_id", "id", F.col("embedding").alias("v")).persist()
+        rows = written(self.model.transform(self.splats.withColumn("row_id", F.col("id"))).select("row_id", "id", F.col("embedding").alias("v")))
         n = rows.count()
         fit = KMeans(coarse_clamp(self.config.n_coarse, n), self.config.batch_size, self.config.max_iter, self.config.random_state).fit(rows)
         self.centroids = fit.centroids_
         coarse = labelled(rows, self.centroids, "row_id", "id", "v").withColumnRenamed("label", "coarse").drop("d2")
-        self.table = fine_labels(coarse, self.config.n_fine, self.config.random_state).persist()
-        self.held = [self.table]
+        self.table = fine_labels(coarse, self.config.n_fine, self.config.random_state)
+        discard(rows)
         fine = self.table.groupBy("coarse").agg(F.count_distinct("fine").alias("fine")).agg(F.count("*").alias("coarse"), F.sum("fine").alias("fine")).first()
-        rows.unpersist()
-        self.stats = IndexStats(n, fine["coarse"], fine["fine"], build_seconds=time.time() - began)
-        return self.stats.build_seconds
+        self.built = IndexStats(n, fine["coarse"], fine["fine"], build_seconds=time.time() - began)
+        return self.built.build_seconds
+
+    @property
+    def stats(self) -> IndexStats:
+        """Figures of the build, and of the batches of queries whose results have been made: a batch counts once, by its
+        first run; its time is that of the call and from its first search task to its last."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)  # what has been run is told by events
+        took = [call + (told["seconds"] or 0.0) for call, told in ((call, _told(watch)) for call, watch in self.asked) if told is not None]
+        return replace(self.built, n_queries=len(took), mean_query_seconds=sum(took) / len(took) if took else 0.0)
 
     def _ready(self) -> DataFrame:
         if self.table is None:
@@ -165,30 +181,35 @@ class SplatIndex:
         self._ready()
         return self.model.transform(splats).select(F.col("id").alias("qid"), F.col("embedding").alias("v"))
 
-    def _one(self, vector) -> DataFrame:
-        return self.spark.createDataFrame([(0, [float(x) for x in np.ravel(vector)])], "qid long, v array<double>")
+    def _asked(self, queries) -> DataFrame:
+        """queries (qid, v) as they are; one vector has qid 0."""
+        if isinstance(queries, DataFrame):
+            return queries
+        return self.spark.createDataFrame([(0, [float(x) for x in np.ravel(queries)])], "qid long, v array<double>")
 
     def batch_query(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """queries (qid, v) to qid, rank, row_id, distance; found at once, so that the mean query time is one of work done."""
-        began = time.time()
-        table = self._ready()
-        out = search.exact(table, queries, k) if self.config.mode == "exact" else search.pruned(table, self.centroids, queries, k, self.config.n_probe)
-        out = out.persist()
-        out.count()
-        self.held.append(out)  # k rows for each query
-        took = time.time() - began
-        self.stats.mean_query_seconds = (self.stats.mean_query_seconds * self.stats.n_queries + took) / (self.stats.n_queries + 1)
-        self.stats.n_queries += 1
+        """queries (qid, v) to qid, rank, row_id, distance, by the mode of the settings: "exact", "ivf" (the n_probe nearest
+        clusters), or "bounded" (exact, reading only rows whose norms can matter, which a pruned search finds at once)."""
+        began, watch = time.time(), Observation()
+        table, mode = self._ready(), self.config.mode
+        if mode == "exact":
+            out = search.exact(table, queries, k, watch)
+        elif mode == "bounded":
+            first = search.pruned(table, self.centroids, queries, k, self.config.n_probe)
+            out, _ = search.norm_bounded(table, queries, k, first, watch=watch)
+        else:
+            out = search.pruned(table, self.centroids, queries, k, self.config.n_probe, watch)
+        self.asked.append((time.time() - began, watch))
         return out
 
     def query(self, vector, k: int = 10) -> DataFrame:
-        return self.batch_query(self._one(vector), k).drop("qid")
+        return self.batch_query(self._asked(vector), k).drop("qid")
 
-    def query_with_details(self, vector, k: int = 10) -> DataFrame:
-        """rank, row_id, distance, coarse, fine; always pruned."""
+    def query_with_details(self, queries, k: int = 10) -> DataFrame:
+        """qid (0 for one vector), rank, row_id, distance, coarse, fine; always pruned, and counted by no figure."""
         table = self._ready()
-        found = search.pruned(table, self.centroids, self._one(vector), k, self.config.n_probe)
-        return table.select("row_id", "coarse", "fine").join(F.broadcast(found), "row_id").select("rank", "row_id", "distance", "coarse", "fine")  # k rows
+        found = search.pruned(table, self.centroids, self._asked(queries), k, self.config.n_probe)
+        return table.select("row_id", "coarse", "fine").join(found, "row_id").select("qid", "rank", "row_id", "distance", "coarse", "fine")
 
     def with_splats(self, found: DataFrame) -> DataFrame:
         """The splats of found rows, joined after the k best are known."""
@@ -206,10 +227,11 @@ class SplatIndex:
 
     def save(self, path: str) -> None:
         """Rows by coarse cluster, so that a probe list prunes partitions; centroids, encoding model and settings beside them."""
-        self._ready().repartition("coarse", F.pmod(F.xxhash64("row_id"), F.lit(8))).write.mode("overwrite").partitionBy("coarse").parquet(f"{path}/rows")
+        rows = self._ready().repartition("coarse", F.pmod(F.xxhash64("row_id"), F.lit(8))).sortWithinPartitions("coarse", "norm_sq")
+        rows.write.mode("overwrite").partitionBy("coarse").parquet(f"{path}/rows")
         if self.splats is not None:
             self.splats.write.mode("overwrite").parquet(f"{path}/splats")
-        about = {"config": asdict(self.config), "stats": asdict(self.stats), "model": self.model and asdict(self.model)}
+        about = {"config": asdict(self.config), "stats": asdict(self.built), "model": self.model and asdict(self.model)}
         cells = [(k, [float(x) for x in row]) for k, row in enumerate(self.centroids)]
         self.spark.createDataFrame(cells, "k int, c array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
         self.spark.createDataFrame([(json.dumps(about),)], "about string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
@@ -220,19 +242,23 @@ class SplatIndex:
         self.table = self.spark.read.parquet(f"{path}/rows")
         self.centroids = np.array([r["c"] for r in self.spark.read.parquet(f"{path}/centroids").orderBy("k").collect()])  # K rows
         about = json.loads(self.spark.read.json(f"{path}/about").first()["about"])
-        self.config, self.stats = IndexConfig(**about["config"]), IndexStats(**about["stats"])
+        self.config, self.built = IndexConfig(**about["config"]), IndexStats(**about["stats"])
         if m := about["model"]:
             p = m["position"]
             self.model = EmbeddingModel(PositionModel(tuple(p["low"]), tuple(p["high"]), p["dim"]), ColorModel(**m["color"]))
             self.splats = self.spark.read.parquet(f"{path}/splats")
 
     def release(self) -> None:
-        """Let go of all that is persisted."""
-        for df in self.held:
-            df.unpersist()
-        self.held = []
+        """Let go of the built table and of the figures of queries."""
+        discard(self.table)
+        self.table, self.asked = None, []
 
     def clear(self) -> None:
         self.release()
-        self.splats = self.table = self.centroids = self.model = None
-        self.stats = IndexStats()
+        self.splats = self.centroids = self.model = None
+        self.built = IndexStats()
+
+
+def _told(watch: Observation) -> dict | None:
+    """What a query has told, or None if nothing has run it yet."""
+    return watch.get if watch._jo is not None and watch._jo.future().isCompleted() else None

@@ -50,7 +50,21 @@ _ALL_ATTR = [*_ATTR, *["0e0"] * (32 - len(_ATTR)), *_ATTR2, *["0e0"] * (32 - len
 _EXPLODE = "select id, cast(pos as int) as pos, round(x, 6) as x from (select id, unnest(range({n})) as pos, unnest([{xs}]) as x from {t})"
 _HIST = "select c.id, i.r * 64 + i.g * 8 + i.b as pos, exp(-((i.r - br)**2 + (i.g - bg)**2 + (i.b - bb)**2) / 4e0) as x from c, (select a.r, b.g, d.b from (select unnest(range(8)) as r) a, (select unnest(range(8)) as g) b, (select unnest(range(8)) as b) d) i where abs(i.r - br) <= 2 and abs(i.g - bg) <= 2 and abs(i.b - bb) <= 2"
 
+_NUM = "((row_id * 7919 + 17) % 10007)"
+_W0 = "w0 as (select a.row_id, a.v, min(list_distance(a.v, c.v) ** 2) as d2 from v a, v c where c.row_id < 3 group by 1, 2)"
+_DRAWN = _W0 + f", drawn as (select row_id, v from w0 where d2 > 0 and ({_NUM} + 0.5e0) / 10007e0 * (select sum(d2) from w0) < d2 * {2 * K}e0)"
+_CAND = _DRAWN + ", cand as (select row_id as id, v as c, row_number() over (order by k, row_id) as o from (select row_id, v, 0 as k from v where row_id < 3 union all select row_id, v, 1 as k from drawn))"
+
 SQL = {
+    "kpar_oversample": V + f", {_DRAWN} select row_id from drawn",
+    "kpar_weights": V + f", {_CAND} select id as row_id, count(*) as weight from (select id, row_number() over (partition by v.row_id order by list_distance(v.v, c), o) as r from v, cand) where r = 1 group by 1",
+    "sample_rows": V + f" select row_id from v order by {_NUM}, row_id limit 100",
+    "kmeans_bounded_lloyd": LLOYD + " select row_id, k::int as label from l2",
+    "knn_join_all": V + f", q as (select row_id as qid, v as qv from v), {EXACT} select qid, rank::int as rank, row_id, round(d, 6) as distance from e",
+    "knn_norm_bounded": "with u as (select vec_id as row_id, embedding::double[] as v from embeddings), v as (select row_id, list_transform(v, lambda x: x * (1 + row_id % 17)) as v from u)" + f", {Q}, {EXACT} select qid, rank::int as rank, row_id, round(d, 6) as distance from e",
+    "ivf_stored_join": L0 + f", {Q}, {PROBE}, {IVF} select qid, rank::int as rank, row_id, round(d, 6) as distance from i",
+    "coarse_probe_join": C0 + f", {Q}, {PROBE} select qid, k::int as coarse from p",
+    "event_places": "with e as (select case when user_id % 10 > 0 then 0 else user_id end as part, event_id from events) select part, event_id, row_number() over (partition by part order by event_id) - 1 as place from e",
     "splat_scan": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "r", "g", "b", "opacity", "sx", "sy", "sz", "qw", "qx", "qy", "qz")) + " from s",
     "splat_json_roundtrip": S + " select id, " + ", ".join(_r(c, c) for c in ("px", "py", "pz", "r", "g", "b", "opacity", "sx", "sy", "sz")) + ", " + ", ".join(_r(a, a) for a in ("qw", "qx", "qy", "qz")) + ", 0::bigint as n_sh from s",
     "quat_normalize": U + " select id, " + ", ".join(_r(a, b) for a, b in (("w", "qw"), ("x", "qx"), ("y", "qy"), ("z", "qz"))) + " from u",

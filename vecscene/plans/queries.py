@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import encoding, geometry
 from ..functions.vector import dot, doubles, l2_squared, norm, norm_squared
-from ..operators import index, kmeans, metrics, search, tiering
+from ..operators import index, kmeans, lloyd, metrics, ranks, sampling, search, seeding, tiering
 from ..sources import splats
+from ..tables import Vectors, discard, shared_folder, written
 
 K, PROBES, NEIGHBOURS, FINE = 16, 12, 5, 4
 QUERIES = {}
@@ -333,8 +331,8 @@ def ivf_batch_query(spark, d):
 @query
 def ivf_query_details(spark, d):
     df, c = _indexed(spark, d)
-    found = search.pruned(df, c, asked(vectors(spark, d)), NEIGHBOURS, PROBES)
-    return found.join(_fine(df).select("row_id", "coarse", "fine"), "row_id").select("qid", "rank", "row_id", r6("distance").alias("distance"), "coarse", "fine")
+    ix = index.SplatIndex(spark, index.IndexConfig(n_probe=PROBES), table=_fine(df), centroids=c)
+    return ix.query_with_details(asked(vectors(spark, d)), NEIGHBOURS).withColumn("distance", r6("distance"))
 
 
 @query
@@ -409,13 +407,7 @@ def tier_stream(spark, d):
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     log = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(d) if not d.endswith("events.parquet") else spark.readStream.schema(schema).parquet(d)
     log = log.select(F.pmod(F.xxhash64("user_id"), F.lit(16)).alias("cache"), F.col("event_id").alias("seq"), F.col("user_id").alias("splat_id"))
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="vecscene-")
-    base = base.rstrip("/")
-    name = f"{base}/tier_stream_{np.random.default_rng().integers(1 << 62)}"
+    name = f"{shared_folder(spark)}/tier_stream_{np.random.default_rng().integers(1 << 62)}"
     run = replay_stream(log, 2, 4).writeStream.format("parquet").option("path", f"{name}/out").option("checkpointLocation", f"{name}/state").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(tiering.OUTCOME).parquet(f"{name}/out").drop("cache")
@@ -423,4 +415,103 @@ def tier_stream(spark, d):
 
 @query
 def generate_splats(spark, d):
-    return splats.generate(spark, 10_000).select("id", *_axes("position", ["px", "py", "pz"]), *_axes("color", "rgb"), r6("opacity").alias("opacity"), *_axes("scale", ["sx", "sy", "sz"]), *_axes("rotation", ["qw", "qx", "qy", "qz"]))
+    """A generated splat for each event."""
+    ids = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    return splats.generate_for(ids).select("id", *_axes("position", ["px", "py", "pz"]), *_axes("color", "rgb"), r6("opacity").alias("opacity"), *_axes("scale", ["sx", "sy", "sz"]), *_axes("rotation", ["qw", "qx", "qy", "qz"]))
+
+
+def _number(row_id: str = "row_id"):
+    """A draw that SQL can make too: a whole number below 10007."""
+    return (F.col(row_id) * 7919 + 17) % 10007
+
+
+def _oversampled(spark, d):
+    """Vectors, the state under the first three rows as candidates, and the rows drawn in one pass."""
+    df = vectors(spark, d)
+    kept = Vectors(df)
+    state = written(seeding.nearer(kept, seeding.start(kept), centroids(df, 3)))
+    return kept, state, seeding.oversampled(kept, state, 2.0 * K, (_number() + 0.5) / F.lit(10007.0))
+
+
+@query
+def kpar_oversample(spark, d):
+    """One pass of k-means||: rows drawn in proportion to their squared distance from the candidates so far."""
+    kept, state, drawn = _oversampled(spark, d)
+    out = written(drawn.select("row_id"))
+    kept.release()
+    discard(state)
+    return out
+
+
+@query
+def kpar_weights(spark, d):
+    """The candidates after that pass, and how many rows are nearest to each: the running minimum has met only the new ones."""
+    df = vectors(spark, d)
+    kept, state, drawn = _oversampled(spark, d)
+    new = sorted(drawn.collect(), key=lambda r: r["row_id"])  # about 2 K rows
+    moved = seeding.nearer(kept, state, np.array([r["v"] for r in new]), 3) if new else state
+    ids = spark.createDataFrame(list(enumerate([0, 1, 2, *[r["row_id"] for r in new]])), "label int, row_id long")
+    out = written(ids.join(moved.groupBy("label").agg(F.count("*").alias("weight")), "label").select("row_id", "weight"))
+    kept.release()
+    discard(state)
+    return out
+
+
+@query
+def kpar_init(spark, d):
+    return _matrix(spark, seeding.parallel(vectors(spark, d), 8))
+
+
+@query
+def sample_rows(spark, d):
+    """100 rows without replacement, by a threshold found from counts."""
+    return sampling.sample(vectors(spark, d), 100, number=_number()).select("row_id")
+
+
+@query
+def kmeans_bounded_lloyd(spark, d):
+    """Labels of three full rounds that skip distances by bounds."""
+    df = vectors(spark, d)
+    kept = Vectors(df)
+    _, state, _ = lloyd.rounds(kept, centroids(df), 3, 0.0)
+    out = written(lloyd.labels(kept, state))
+    kept.release()
+    discard(state)
+    return out
+
+
+@query
+def knn_join_all(spark, d):
+    """All vectors as queries against all vectors, by the tiled join."""
+    df = vectors(spark, d)
+    return search.exact_join(df, df.select(F.col("row_id").alias("qid"), "v"), NEIGHBOURS).withColumn("distance", r6("distance"))
+
+
+@query
+def knn_norm_bounded(spark, d):
+    """Exact neighbours of vectors of many lengths (scaled by 1 to 17), reading only norms that can matter."""
+    df = vectors(spark, d).withColumn("v", F.transform("v", lambda x: x * (1 + F.col("row_id") % 17)))
+    found, _ = search.norm_bounded(search.by_norm(df), asked(df), NEIGHBOURS)
+    return found.withColumn("distance", r6("distance"))
+
+
+@query
+def ivf_stored_join(spark, d):
+    """As ivf_join_query, over an index stored by cluster, of which only the probed clusters are read."""
+    df, c = _indexed(spark, d)
+    return search.pruned_join(written(df, "coarse"), c, asked(vectors(spark, d)), NEIGHBOURS, PROBES).withColumn("distance", r6("distance"))
+
+
+@query
+def coarse_probe_join(spark, d):
+    """As coarse_probe, with the centroids as a table that meets the queries in tiles."""
+    df = vectors(spark, d)
+    cells = df.where(F.col("row_id") < K).select(F.col("row_id").alias("coarse"), F.col("v").alias("c"))
+    return search.probes_by_join(asked(df), cells, PROBES)
+
+
+@query
+def event_places(spark, d):
+    """The place of each event in its group by id, where one group holds nine tenths of all."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return ranks.places(e.select(F.when(F.col("user_id") % 10 > 0, 0).otherwise(F.col("user_id")).alias("part"), "event_id"), "part", "event_id")

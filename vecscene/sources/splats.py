@@ -52,10 +52,10 @@ def _normal(k: int, seed: int) -> Column:
     return F.sqrt(-2 * F.ln(_uniform(2 * k, seed))) * F.cos(2 * math.pi * _uniform(2 * k + 1, seed))
 
 
-def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """n splats: normal rotations and positions (x 10), uniform colours and opacity, scales exp(-2 N(0, 1))."""
+def generate_for(ids: DataFrame, seed: int = 42) -> DataFrame:
+    """A splat for each id: normal rotations and positions (x 10), uniform colours and opacity, scales exp(-2 N(0, 1))."""
     normals = lambda first, size: F.array(*[_normal(first + i, seed) for i in range(size)])
-    df = spark.range(n).select(
+    df = ids.select(
         "id",
         F.transform(normals(0, 3), lambda x: x * 10).alias("position"),
         F.array(*[_uniform(100 + i, seed) for i in range(3)]).alias("color"),
@@ -66,6 +66,11 @@ def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     return conform(df)
 
 
+def generate(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
+    """n splats as generate_for makes them."""
+    return generate_for(spark.range(n), seed)
+
+
 #: Portable SQL: one splat for each event.
 FROM_EVENTS = """
 select event_id as id, user_id,
