@@ -144,7 +144,9 @@ def test_vectors_of_one_number(spark):
 # ---- samples ----
 
 
-def test_sample_is_exact_and_the_same_for_any_partitioning(spark):
+@pytest.mark.parametrize("few", [4096, 0])
+def test_sample_is_exact_and_the_same_for_any_partitioning(spark, monkeypatch, few):
+    monkeypatch.setattr(sampling, "FEW", few)
     df = spark.range(3000).select(F.col("id").alias("row_id"))
     for n in (0, 1, 17, 1500, 2999, 3000, 4000):
         want = [r[0] for r in df.orderBy(sampling.draw(3, 8), "row_id").limit(n).collect()]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Bits of a draw, and bits that one pass looks at.
-BITS, STEP = 40, 10
+#: Bits of a draw, bits that one pass looks at, and numbers that are ordered on the driver.
+BITS, STEP, FEW = 40, 10, 4096
 
 
 def draw(seed: int, *salt: int, key: str = "row_id") -> Column:
@@ -17,7 +17,7 @@ def threshold(df: DataFrame, n: int, number: Column) -> tuple[int, int]:
     """(t, rest): the rows with number < t are fewer than n or n, and with `rest` rows of number t they are n.
 
     number is whole, from 0 to 2^BITS - 1.  Each pass counts the rows in the 2^STEP equal parts of the range that holds the
-    n-th smallest, so what comes to the driver is 2^STEP counts, in BITS / STEP passes at most.
+    n-th smallest, so what comes to the driver is 2^STEP counts, or FEW numbers, in BITS / STEP passes at most.
     """
     numbers = df.select(number.alias("h"))
     low, rest = 0, n
@@ -34,6 +34,9 @@ def threshold(df: DataFrame, n: int, number: Column) -> tuple[int, int]:
             return 1 << BITS, 0  # there are fewer than n rows
         if here == rest:  # the whole part belongs to the sample
             return low + (1 << bits), 0
+        if here <= FEW and bits:
+            left = sorted(r["h"] for r in numbers.where(F.col("h").between(low, low + (1 << bits) - 1)).collect())
+            return left[rest - 1], rest - left.index(left[rest - 1])
     return low, rest
 
 

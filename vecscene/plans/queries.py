@@ -90,8 +90,10 @@ def position_bounds(spark, d):
     return b.select(*[r6(c).alias(c) for c in b.columns])
 
 
-def _features(df: DataFrame, column) -> DataFrame:
-    return df.select("id", F.posexplode(column).alias("pos", "x")).select("id", "pos", r6("x").alias("x"))
+def _features(df: DataFrame, column, sparse: bool = False) -> DataFrame:
+    """Features as rows; in sparse form those that are not zero, which are left out before they are rounded."""
+    rows = df.select("id", F.posexplode(column).alias("pos", "x"))
+    return (rows.where("x <> 0") if sparse else rows).select("id", "pos", r6("x").alias("x"))
 
 
 @query
@@ -115,7 +117,7 @@ def color_bins(spark, d):
 @query
 def color_histogram(spark, d):
     df = splats.from_events(spark, d)
-    return _features(df, encoding.ColorModel.fit(df).encode(F.col("color"))).where("x > 0")
+    return _features(df, encoding.ColorModel.fit(df).encode(F.col("color")), sparse=True)
 
 
 @query
@@ -134,7 +136,7 @@ def embedding_norms(spark, d):
 def full_embedding(spark, d):
     """The embedding in sparse form: what is not listed is zero."""
     df = splats.from_events(spark, d)
-    return _features(encoding.EmbeddingModel.fit(df).transform(df), F.col("embedding")).where("x <> 0")
+    return _features(encoding.EmbeddingModel.fit(df).transform(df), F.col("embedding"), sparse=True).where("x <> 0")
 
 
 @query

@@ -86,6 +86,13 @@ def flat_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FROM_EVENTS.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least: narrow rows go round before they are made wide.  A table of many
+    files or row groups stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splats with raw (not normalised) rotations."""
-    return flat_from_events(spark, sf_dir).select("id", "user_id", F.array("px", "py", "pz").alias("position"), F.array("r", "g", "b").alias("color"), "opacity", F.array("sx", "sy", "sz").alias("scale"), F.array("qw", "qx", "qy", "qz").alias("rotation"))
+    return spread(flat_from_events(spark, sf_dir)).select("id", "user_id", F.array("px", "py", "pz").alias("position"), F.array("r", "g", "b").alias("color"), "opacity", F.array("sx", "sy", "sz").alias("scale"), F.array("qw", "qx", "qy", "qz").alias("rotation"))
