@@ -83,7 +83,7 @@ def quality_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that judge keeps, all their columns unchanged."""
-    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same")).distinct()
-    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (key == good["_same"]), "left_semi")
+    """The rows that judge keeps, all their columns unchanged.  Rows of one doc_id, text and source have one verdict."""
+    good = judge(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("same").alias("_same"), F.col("host").alias("_host")).distinct()
+    same, host = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), F.coalesce(docs["source"], F.lit(""))
+    return docs.join(good, docs["doc_id"].eqNullSafe(good["_id"]) & (same == good["_same"]) & (host == good["_host"]), "left_semi")
