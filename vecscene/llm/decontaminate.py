@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import PUNCT, Words, chunks, grams
 
-#: Edited words allowed per word of an item, and words of a piece that are looked up.
+#: Edited words allowed per word of an item, and words of a piece that are looked up (fewer where pieces are shorter).
 RATE, PIECE = 0.15, 5
 #: Bytes of item text in one broadcast block.
 BLOCK_BYTES = 8 << 20
@@ -28,7 +28,7 @@ _TABLE = 20
 
 def budget(m: int) -> int:
     """Words of an item of m words that may be edited."""
-    return max(0, min(int(RATE * m), m // PIECE - 1))
+    return int(RATE * m)
 
 
 def myers(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -67,7 +67,7 @@ class Items:
             m = len(words)
             if m:
                 e = budget(m)
-                n = min(PIECE, m)
+                n = min(PIECE, m // (e + 1))
                 for at in sorted({j * m // (e + 1) for j in range(e + 1)}):
                     h = int(grams(np.array(words[at : at + n], np.uint64), n)[0])
                     found[n].append((h, item, at))
@@ -145,7 +145,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_edits, n_item_words, last_word: a row for each document (row) and item found in it.
 
     An item counts as found where an edit distance over words of at most budget(m) is met.  Null and empty texts hold
-    nothing, null or wordless items are found nowhere, items of fewer than ten words only unedited.  Texts may have any
+    nothing, null or wordless items are found nowhere, items of fewer than seven words only unedited.  Texts may have any
     length.  Repeated rows of documents give repeated rows, repeated items count once; of equally good stretches the first
     one's end is given.  An empty table on either side gives none; other columns are not looked at.
     """
