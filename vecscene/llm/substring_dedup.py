@@ -225,7 +225,7 @@ def removals(docs: DataFrame, k: int = 13, m: int = 5) -> DataFrame:
     word, size = F.shiftright("at", _BITS), F.col("at").bitwiseAND(_MOST)
     after = F.lead(F.struct(word.alias("word"), "content")).over(by_row)
     before = F.lag(F.struct((word + size).alias("end"), "content")).over(by_row)
-    rows = judged.where("source < last").repartition("doc_id", "tid").dropDuplicates(["doc_id", "tid", "at"])
+    rows = judged.where("source < last").dropDuplicates(["doc_id", "tid", "at"]).repartition("doc_id", "tid")
     rows = rows.withColumn("after", after).withColumn("before", before)
     rows = rows.withColumn("after", F.when(F.col("after.word") == word + size, F.col("after.content"))).withColumn("before", F.when(F.col("before.end") == word, F.col("before.content")))
     only = lambda c: (F.count(c) == F.count("*")) & (F.min(c) == F.max(c))  # noqa: E731  degree one, and no place without a neighbour
