@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -531,6 +532,43 @@ def test_against_sql(name, same_as_sql):
     same_as_sql(queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_rejected_rows_of_a_kept_text_go(spark):
+    """One doc_id and text under two sources: common lines of one source reject there, and there only."""
+    line = "the same long line of boilerplate stands here on every page of this source again and again"
+    texts = [f"{line} \n{i} " + " ".join(f"w{i}x{j}" for j in range(3)) for i in range(quality.MAX_DOCS + 2)]
+    docs = spark.createDataFrame([(i, t, "A") for i, t in enumerate(texts)] + [(5, texts[5], "B"), (5, texts[5], None), (5, texts[5], "B")], "doc_id long, text string, source string")
+    assert sorted((r["doc_id"], r["source"] or "") for r in quality.keep_good(docs).collect()) == [(5, ""), (5, "B"), (5, "B")]
+
+
+@pytest.mark.parametrize("m", [3, 6, 7, 8, 9, 13, 14, 19, 20, 40])
+def test_every_item_has_its_budget(spark, m):
+    """Each length: found with as many edits as the rate allows wherever they fall, not with one more."""
+    random.seed(m)
+    item = [f"item{m}word{i}" for i in range(m)]
+    e = int(decontaminate.RATE * m)
+    texts = []
+    for n in (e, e + 1):
+        for _ in range(4):
+            x = list(item)
+            for i in random.sample(range(m), n):
+                x[i] = "changed"
+            texts.append((n, "some words before " + " ".join(x) + " and some after"))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.leaks(docs, bench).collect()} == {i for i, (n, _) in enumerate(texts) if n <= e}
+
+
+def test_owned_tables_go(spark):
+    from vecscene.llm import common
+
+    with common.owned() as keep:
+        a, b = (common.materialize(spark.range(n)) for n in (3, 4))
+        keep.append(b)
+    assert b.count() == 4
+    with pytest.raises(Exception):
+        a.count()
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Every stage on planted cases: what it takes out, and what it leaves."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -555,7 +593,10 @@ def test_pipeline_against_brute_force(spark, tmp_path):
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, sf)
+    assert len([x for x in set(os.listdir(folder)) - before if x.startswith("table-")]) == 1  # what the result reads
     step = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -50,9 +51,29 @@ def materialize(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
+    if _OWNERS:
+        _OWNERS[-1].append(out)
     return out
 
 
+#: Lists of the tables made inside each `owned` that is open, innermost last.
+_OWNERS: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def owned(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Tables that materialize writes inside are deleted at the end, but for those in the list that is given, which the caller
+    may add to."""
+    keep, made = list(kept), []
+    _OWNERS.append(made)
+    try:
+        yield keep
+    finally:
+        _OWNERS.remove(made)
+        staying = {getattr(df, "table_path", None) for df in keep}
+        discard(*(df for df in made if df.table_path not in staying))
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that materialize wrote, once all that reads them has been written itself."""
     for df in tables:
