@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecscene.llm import bpe, decontaminate, near_dedup, quality, substring_dedup
-from vecscene.llm.common import materialize, read
+from vecscene.llm.common import discard, materialize, owned, read
 from vecscene.llm.queries import VOCABULARY
 
 
@@ -49,5 +49,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir).select(*docs.columns))
+        with owned() as kept:  # what a stage has written for itself goes with it
+            new = materialize(stage(spark, docs, sf_dir).select(*docs.columns))
+            kept.append(new)
+        discard(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)
