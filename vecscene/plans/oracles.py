@@ -55,7 +55,11 @@ _W0 = "w0 as (select a.row_id, a.v, min(list_distance(a.v, c.v) ** 2) as d2 from
 _DRAWN = _W0 + f", drawn as (select row_id, v from w0 where d2 > 0 and ({_NUM} + 0.5e0) / 10007e0 * (select sum(d2) from w0) < d2 * {2 * K}e0)"
 _CAND = _DRAWN + ", cand as (select row_id as id, v as c, row_number() over (order by k, row_id) as o from (select row_id, v, 0 as k from v where row_id < 3 union all select row_id, v, 1 as k from drawn))"
 
+_CUBE = "list_transform(range(512), lambda i: case when abs(i // 64 - least(floor(r*8), 7)) <= 2 and abs(i // 8 % 8 - least(floor(g*8), 7)) <= 2 and abs(i % 8 - least(floor(b*8), 7)) <= 2 then exp(-((i // 64 - least(floor(r*8), 7))**2 + (i // 8 % 8 - least(floor(g*8), 7))**2 + (i % 8 - least(floor(b*8), 7))**2) / 4e0) else 0e0 end)"
+EMBEDDED = S + f", {_BOUNDS}, v as (select id as row_id, list_concat([{', '.join([*_WAVES, *['0e0'] * 4])}], {_CUBE}, [{', '.join(_ALL_ATTR)}]) as v from s, b)"
+
 SQL = {
+    "index_query": EMBEDDED + f", q as (select row_id as qid, v as qv from v where row_id % 500 = 0), {EXACT} select qid, rank::int as rank, row_id, round(d, 6) as distance from e",
     "kpar_oversample": V + f", {_DRAWN} select row_id from drawn",
     "kpar_weights": V + f", {_CAND} select id as row_id, count(*) as weight from (select id, row_number() over (partition by v.row_id order by list_distance(v.v, c), o) as r from v, cand) where r = 1 group by 1",
     "sample_rows": V + f" select row_id from v order by {_NUM}, row_id limit 100",

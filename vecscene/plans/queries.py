@@ -517,3 +517,13 @@ def event_places(spark, d):
     """The place of each event in its group by id, where one group holds nine tenths of all."""
     e = spark.read.parquet(f"{d}/events.parquet")
     return ranks.places(e.select(F.when(F.col("user_id") % 10 > 0, 0).otherwise(F.col("user_id")).alias("part"), "event_id"), "part", "event_id")
+
+
+@query
+def index_query(spark, d):
+    """An index built over the splats of all events and asked for every 500th of them, exactly: reading what norms leave open."""
+    ix = index.SplatIndex(spark, index.IndexConfig(n_coarse=20, n_fine=50, n_probe=3, max_iter=3, mode="bounded"))
+    ix.add_splats(splats.from_events(spark, d))
+    ix.build()
+    queries = ix.encode(ix.splats.where(F.col("id") % 500 == 0))
+    return ix.batch_query(queries, NEIGHBOURS).withColumn("distance", r6("distance"))
