@@ -464,38 +464,82 @@ def test_malformed_and_deep_pages(spark):
     assert took[1] < 12 * took[0]
 
 
-def test_style_tree_importances(spark):
-    """Composite importances against their definition, page by page."""
+def _tree(pages, prior):
+    """The kept text of each page by the definition of the tree, in plain loops; pages are (host, html)."""
     import math
 
-    page = "<div class=top><p>Same</p></div><div class=main><h2>T%d</h2><p>Own %d</p><p>Half %d</p>%s</div>"
-    pages = [(i, f"http://s.t/{i}", page % (i, i, i % 2, "<ul><li>x</ul>" if i % 3 else ""), 0) for i in range(8)] + [(100, "http://s.t/0", page % (0, 0, 0, ""), 0)]
-    df = spark.createDataFrame(pages, "page_id long, url string, html string, node int")
-    parsed = html_extract.materialize(html_extract.parse(df))
-    contents, branches = html_extract.importances(parsed)
-    trees = {tuple(b): (b, up, styles) for b, up, styles in (html_extract.blocks_of(h) for _, _, h, _ in pages)}.values()
-    assert len(trees) == 8
-    m, n, shown, under = (collections.Counter() for _ in range(4))
-    for blocks, up, styles in trees:
-        m.update({x for node, _ in blocks for x in up[node]})
-        n.update(set(blocks))
-        shown.update({s for s in styles if s[0] in {x for node, _ in blocks for x in up[node]}})
-        under.update({(x, node) for node, _ in blocks for x in up[node]})
-    content = {c: 1 - math.log(k) / math.log(m[c[0]]) if m[c[0]] > 1 else 1.0 for c, k in n.items()}
-    assert sorted(round(r["importance"], 9) for r in contents.collect()) == sorted(round(x, 9) for x in content.values())
-    want = {}
-    for branch in m:
-        below = {leaf for x, leaf in under if x == branch}
-        inner = sum(k * content[c] for c, k in n.items() if c[0] in below) / sum(k for c, k in n.items() if c[0] in below)
-        ways = [k for (x, _), k in shown.items() if x == branch]
-        shape = min(1.0, -sum(k / sum(ways) * math.log(k / sum(ways)) for k in ways) / math.log(m[branch])) if m[branch] > 1 else 1.0
-        g = html_extract.DAMPING ** len(ways)
-        want[html_extract._signed(branch)] = (1 - g) * shape + g * inner
-    got = {r["node"]: r["importance"] for r in branches.collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - x) < 1e-9 for k, x in want.items())
-    texts = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
-    # "x" is all that its node ever holds
-    assert texts[1] == "T1\n\nOwn 1\n\nHalf 1" and texts[3] == "T3\n\nOwn 3\n\nHalf 1" and texts[100] == texts[0]
+    parsed = [(host, html_extract._row(h, prior)) for host, h in pages]
+    distinct = {(host, same): (blocks, leaves, styles) for host, (same, blocks, leaves, styles) in parsed}
+    everyone = {host for host, _ in distinct} | {html_extract.ALL}
+
+    def importances(host):
+        own = [x for (h, _), x in distinct.items() if host in (h, html_extract.ALL)]
+        m, n, ways, under = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
+        for blocks, leaves, styles in own:
+            m.update({x for e in leaves for x in e["up"]})
+            n.update({(b["node"], b["content"]) for b in blocks})
+            ways.update({(x["node"], x["style"]) for x in styles})
+            for e in leaves:
+                for x in e["up"]:
+                    under[x].add(e["node"])
+        size, linked = collections.Counter(), collections.Counter()
+        for h, (_, blocks, _, _) in parsed:
+            for b in blocks if host in (h, html_extract.ALL) else ():
+                size[b["node"]] += b["size"]
+                linked[b["node"]] += b["linked"]
+        content = {c: 1 - math.log(k) / math.log(m[c[0]]) if m[c[0]] > 1 else 1.0 for c, k in n.items()}
+        branch = {}
+        for x in m:
+            inner = sum(k * content[c] for c, k in n.items() if c[0] in under[x]) / sum(k for c, k in n.items() if c[0] in under[x])
+            shown = [k for (node, _), k in ways.items() if node == x]
+            shape = min(1.0, -sum(k / sum(shown) * math.log(k / sum(shown)) for k in shown) / math.log(m[x])) if m[x] > 1 else 1.0
+            g = html_extract.DAMPING ** len(shown)
+            branch[x] = ((1 - g) * shape + g * inner) * (1 - sum(linked[y] for y in under[x]) / sum(size[y] for y in under[x]))
+        return m, content, branch
+
+    known = {host: importances(host) for host in everyone}
+    _, all_contents, all_branches = known[html_extract.ALL]
+    out = []
+    for host, (_, blocks, leaves, _) in parsed:
+        m, content, branch = known[host]
+        mean = lambda k, own, all_: ((k - 1) * own + html_extract.SHARED * all_) / (k - 1 + html_extract.SHARED)
+        gone = {e["node"] for e in leaves if min(mean(m[x], branch[x], all_branches[x]) for x in e["up"]) * (prior if e["noise"] else 1) < html_extract.MIN_IMPORTANCE}
+        kept = [b["text"] for b in blocks if b["node"] not in gone and mean(m[b["node"]], content[b["node"], b["content"]], all_contents[b["node"], b["content"]]) >= html_extract.MIN_IMPORTANCE]
+        out.append("\n\n".join(t for t in kept if t is not None))
+    return out
+
+
+def test_texts_are_those_of_the_tree(spark):
+    """Against plain loops over pages of large and small hosts, with the names and without them."""
+    random.seed(21)
+    say = lambda n: " ".join(random.choice("abcdefghijkl") * random.randint(1, 4) for _ in range(n))
+    pages = []
+    for host, size in (("big.a", 30), ("mid.b", 9), ("two.c", 2), ("one.d", 1)):
+        top, side = say(3), say(8)
+        for i in range(size):
+            menu = "".join(f"<li><a href='/{w}'>{w}</a></li>" for w in say(5).split())
+            body = "".join(f"<p>{say(random.randint(4, 20))}</p>" for _ in range(random.randint(1, 6)))
+            comments = "".join(f"<div class=comment><p>{say(4)}</p></div>" for _ in range(i % 3))
+            pages.append((host, f"<div class=brand>{top}</div><div class=links><ul>{menu}</ul></div><div class=ad>{say(5)}</div><main><h1>{say(4)}</h1>{body}<p>See <a href=x>{say(1)}</a></p><p>Share this</p></main><div class=box><p>{side}</p></div>{comments}<footer>{host} {say(2)}</footer>"))
+    pages.append(pages[3])
+    df = spark.createDataFrame([(i, f"http://{host}/{i}", h, "n") for i, (host, h) in enumerate(pages)], "page_id long, url string, html string, node string").repartition(3)
+    for prior in (html_extract.PRIOR, 1.0):
+        got = [r["text"] for r in html_extract.extract(df, prior).orderBy("page_id").collect()]
+        assert got == _tree(pages, prior)
+        for (host, h), text in zip(pages[:39], got):
+            assert re.search(r"<h1>(.*?)</h1>", h)[1] in text and "Share this" not in text  # said on every page
+            assert re.search(r"class=brand>(.*?)<", h)[1] not in text.split("\n\n")
+            first = re.search(r"class=links><ul><li><a href='/(.*?)'", h)[1]
+            assert text.split("\n\n")[0] != first  # a menu of links, named as one or not
+            assert (re.search(r"class=ad>(.*?)<", h)[1] in text) == (prior == 1.0)
+
+
+def test_styles_that_hosts_share_judge_small_ones(spark):
+    """A line that all hosts have in one place goes from hosts of one page too; a line of two pages of one host stays."""
+    page = "<div class=post><p>%s</p></div><div class=made><span>Made with Something</span></div>"
+    pages = [(i, f"http://h{i}.x/", page % f"Own text {i}") for i in range(40)] + [(100 + i, "http://pair.y/", page % "Both say this") for i in range(2)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own text {i}" for i in range(40)) and got[100] == got[101] == "Both say this"
 
 
 def test_quality(docs, rows):
