@@ -429,6 +429,29 @@ def test_paths_are_compacted_and_verified(spark):
     assert not substring_dedup._cover(part, 13)[1].any()
 
 
+def test_containment_against_every_window(spark):
+    """Random texts of template tokens and others, long ones too: each window of each template counted by itself."""
+    import math
+
+    random.seed(31)
+    templates = {"a": ["one two three four five six", "seven eight nine"], "b": ["one three five seven nine eleven one three"]}
+    vocab = "one two three four five six seven eight nine eleven".split() + ["x", "y", "z", "é"]
+    texts = [None, "", "...", *[random.choice(["", "- "]) + " ".join(random.choice(vocab) for _ in range(random.randint(1, 30))) + random.choice(["", "."]) for _ in range(200)]]
+    texts += [" ".join(random.choice(vocab[8:]) for _ in range(20_000)) + " One, TWO\nthree four five", " ".join(["one two three"] * 3000)]
+    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)] + [(7, texts[7], "k")], "doc_id long, text string, label string")
+    want = {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
+        for label, all_ in templates.items():
+            for x in all_:
+                tokens, span = set(x.split()), math.ceil(licenses.SPAN * len(x.split()))
+                most = max((len(tokens & set(w[k : k + span])) for k in range(len(w))), default=0)
+                if most >= math.ceil(0.8 * len(tokens) - 1e-9):
+                    want[i, label] = max(want.get((i, label), 0), most / len(tokens))
+    got = {(r["doc_id"], r["label"]): r["score"] for r in licenses.contained(docs, templates).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><nav><ul><li>Menu</ul></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p><b>One<br>two\n three<p>Four &lt;5<div class='comments'>me too</div><ul><li>x<li>y</ul></article><aside>s</aside><footer>&copy; f</footer>"
     plain = "<body><div id=main><p>Own %d</p><div>Same on all</div></div></body>"

@@ -73,6 +73,11 @@ def _tokens(sentence: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"[0-9a-z]+", sentence.lower())))
 
 
+def span_of(sentence: str) -> int:
+    """Words of a block for a template."""
+    return math.ceil(SPAN * len(re.findall(r"[0-9a-z]+", sentence.lower())))
+
+
 def _most(words: Column, tokens: Column, span: Column) -> Column:
     """The most distinct tokens in a window of `span` words; null where there is none."""
     at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(tokens, x["w"]))
@@ -121,7 +126,7 @@ def base_figures(docs: DataFrame) -> DataFrame:
 def contained(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, same, label, score: the best containment of a label's templates in a block of the text, where it meets the threshold."""
     spark = docs.sparkSession
-    sets = [(f"{label}/{k}", label, _tokens(s), math.ceil(SPAN * len(re.findall(r"[0-9a-z]+", s.lower())))) for label, all_ in templates.items() for k, s in enumerate(all_)]
+    sets = [(f"{label}/{k}", label, _tokens(s), span_of(s)) for label, all_ in templates.items() for k, s in enumerate(all_)]
     vocabulary = sorted({t for *_, tokens, _ in sets for t in tokens})
     known = F.array(*map(F.lit, vocabulary))
     rows = docs.where("text is not null").select("doc_id", "text")

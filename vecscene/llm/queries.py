@@ -108,7 +108,8 @@ _SPLIT = r"[^0-9a-z\x{80}-\x{10FFFF}]+"
 
 
 def _op4() -> str:
-    values = ", ".join(f"('{label}', {tokens!r})" for label, all_ in licenses.TEMPLATES.items() for tokens in map(licenses._tokens, all_))
+    sets = [(f"{label}/{k}", label, tokens, licenses.span_of(x)) for label, all_ in licenses.TEMPLATES.items() for k, x in enumerate(all_) for tokens in [licenses._tokens(x)]]
+    values = ", ".join(f"('{name}', '{label}', {tokens!r}, {span})" for name, label, tokens, span in sets)
     places = " union all ".join(
         f"select doc_id, '{label}' as label, i - 1 as pos from n where " + " and ".join(f"w[i + {k}] = '{p}'" for k, p in enumerate(phrase.split())) for label, phrase in licenses.PHRASES.items()
     )
@@ -118,9 +119,13 @@ with d as (select doc_id, list_filter(string_split_regex({lower}, '{_SPLIT}'), l
   n as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d where list_contains(w, 'license')),
   p as ({places}),
   b as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, list_distinct(list(label)) as labels from p group by 1),
-  block as (select doc_id, list_distinct(string_split_regex(lower(l), '{_SPLIT}')) as held from (select doc_id, unnest(string_split(text, chr(10))) as l from documents)),
-  t as (select * from (values {values}) as v(label, tokens)),
-  hit as (select doc_id, label, len(list_intersect(held, tokens)) / len(tokens)::double as score from block, t where len(list_intersect(held, tokens)) >= ceil({licenses.THRESHOLD}e0 * len(tokens) - 1e-9)),
+  t as (select *, ceil({licenses.THRESHOLD}e0 * len(tokens) - 1e-9) as need from (values {values}) as v(name, label, tokens, span)),
+  said as (select doc_id, i, ws[i] as w from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from (select doc_id, string_split_regex(lower(text), '{_SPLIT}') as ws from documents))),
+  o as (select doc_id, name, i, w from said join (select name, unnest(tokens) as w from t) using (w)),
+  maybe as (select doc_id, name from o join t using (name) group by 1, 2, need having count(distinct w) >= need),
+  near as (select o.* from o join maybe using (doc_id, name)),
+  win as (select a.doc_id, a.name, a.i, count(distinct b.w) as c from near a join t on t.name = a.name join near b on b.doc_id = a.doc_id and b.name = a.name and b.i >= a.i and b.i < a.i + t.span group by 1, 2, 3),
+  hit as (select doc_id, label, c / len(tokens)::double as score from win join t using (name) where c >= need),
   m as (select doc_id, max(score) as score, list_distinct(list(label)) as labels from hit group by 1)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
