@@ -362,3 +362,22 @@ def test_tables_of_a_build_are_deleted(spark, tmp_path):
     assert len(left) == 1
     ix.clear()
     assert not [f for f in set(os.listdir(folder)) - before if f.startswith("table-")]
+
+
+def test_registered_fits_lower_the_inertia(spark, sf):
+    """Queries whose draws SQL cannot make: seeds are rows, fits are better than their seeds, all of the asked number."""
+    from vecscene.plans import queries
+
+    df = queries.vectors(spark, sf).persist()
+    rows = np.array([r["v"] for r in df.collect()])
+
+    def matrix(name):
+        found = queries.QUERIES[name](spark, sf).toPandas().sort_values(["k", "pos"])
+        return found["x"].to_numpy().reshape(found["k"].nunique(), -1)
+
+    inertia = lambda c: kmeans.partial_sums(df, c)[2]
+    plus, full, batch, par = map(matrix, ("kpp_init", "kmeans_fit_full", "kmeans_fit_minibatch", "kpar_init"))
+    assert plus.shape == full.shape == batch.shape == par.shape == (8, 64)
+    assert all(np.abs(rows - c).max(1).min() < 1e-6 for c in plus) and len({tuple(c) for c in plus}) == 8
+    assert inertia(full) < inertia(plus) and inertia(par) < inertia(plus) and inertia(batch) < inertia(plus)
+    df.unpersist()
