@@ -30,7 +30,7 @@ from html.parser import HTMLParser
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import chunks, discard, materialize
 from .url_filter import host_of
@@ -232,7 +232,7 @@ def parse(pages: DataFrame, prior: float = PRIOR) -> DataFrame:
 
 
 def importances(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of contents (host, node, content, n, m, importance) and of branches (host, node, m, importance), for each host and
+    """Tables of contents that several pages have (host, node, content, n, m, importance) and of branches (host, node, m, importance), for each host and
     for ALL of them, and of what lies where (host, leaf, noise, node); parsed is a table."""
     share = lambda n, m: F.when(m > 1, F.log(n) / F.log(m)).otherwise(F.lit(0.0))
     exploded = lambda column, *fields: parsed.select("host", "same", F.explode(column).alias("x")).select("host", "same", *[F.col(f"x.{f}") for f in fields])
@@ -243,10 +243,17 @@ def importances(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = leaves.select("host", "node", "noise", F.explode("up").alias("branch")).distinct()
     above = materialize(own.unionByName(own.withColumn("host", F.lit(ALL)).distinct()))
     held = materialize(counted(leaves.select("host", "same", F.explode("up").alias("node")), "node").withColumnRenamed("n", "m"))
-    contents = counted(exploded("blocks", "node", "content"), "node", "content").join(held, ["host", "node"])
+    # a content that one page of all has is of importance 1 wherever it is counted; only the others are kept, with both counts
+    found = exploded("blocks", "node", "content").distinct().groupBy("host", "node", "content").agg(F.count("*").alias("n"))
+    many = materialize(found.withColumn("all", F.sum("n").over(Window.partitionBy("node", "content"))).where(F.col("all") > 1))
+    both = many.drop("all").unionByName(many.select(F.lit(ALL).alias("host"), "node", "content", F.col("all").alias("n")).distinct())
+    contents = both.join(held, ["host", "node"])
     contents = materialize(contents.withColumn("importance", F.when(F.col("m") > 1, 1 - share(F.col("n"), F.col("m"))).otherwise(1.0)))
+    discard(many)
     # what a leaf holds counts for all branches that it is in
-    sums = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("importance")).alias("weighed"), F.sum("n").alias("weight"))
+    weights = everywhere(found.groupBy("host", "node").agg(F.sum("n").alias("n")), "node").withColumnRenamed("n", "weight")
+    less = contents.groupBy("host", "node").agg(F.sum(F.col("n") * (1 - F.col("importance"))).alias("less"))
+    sums = weights.join(less, ["host", "node"], "left").withColumn("weighed", F.col("weight") - F.coalesce("less", F.lit(0.0)))
     sizes = exploded("blocks", "node", "size", "linked").groupBy("host", "node").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"))
     sizes = sizes.unionByName(sizes.groupBy("node").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked")).withColumn("host", F.lit(ALL)))
     inner = above.join(sums, ["host", "node"]).join(sizes, ["host", "node"]).groupBy("host", F.col("branch").alias("node")).agg((F.sum("weighed") / F.sum("weight")).alias("inner"), (1 - F.sum("linked") / F.sum("size")).alias("plain"))
