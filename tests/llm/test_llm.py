@@ -500,19 +500,19 @@ def _tree(pages, prior):
         m, n, ways, under = collections.Counter(), collections.Counter(), collections.Counter(), collections.defaultdict(set)
         for blocks, leaves, styles in own:
             m.update({x for e in leaves for x in e["up"]})
-            n.update({(b["node"], b["content"]) for b in blocks})
+            n.update({(b["node"], b["content"]) for b in blocks if b["text"] is not None})
             ways.update({(x["node"], x["style"]) for x in styles})
             for e in leaves:
                 for x in e["up"]:
                     under[x].add(e["node"])
         size, linked = collections.Counter(), collections.Counter()
         for h, (_, blocks, _, _) in parsed:
-            for b in blocks if host in (h, html_extract.ALL) else ():
+            for b in (b for b in blocks if b["text"] is not None) if host in (h, html_extract.ALL) else ():
                 size[b["node"]] += b["size"]
                 linked[b["node"]] += b["linked"]
         content = {c: 1 - math.log(k) / math.log(m[c[0]]) if m[c[0]] > 1 else 1.0 for c, k in n.items()}
         branch = {}
-        for x in m:
+        for x in (x for x in m if any(c[0] in under[x] for c in n)):
             inner = sum(k * content[c] for c, k in n.items() if c[0] in under[x]) / sum(k for c, k in n.items() if c[0] in under[x])
             shown = [k for (node, _), k in ways.items() if node == x]
             shape = min(1.0, -sum(k / sum(shown) * math.log(k / sum(shown)) for k in shown) / math.log(m[x])) if m[x] > 1 else 1.0
@@ -526,8 +526,8 @@ def _tree(pages, prior):
     for host, (_, blocks, leaves, _) in parsed:
         m, content, branch = known[host]
         mean = lambda k, own, all_: ((k - 1) * own + html_extract.SHARED * all_) / (k - 1 + html_extract.SHARED)
-        gone = {e["node"] for e in leaves if min(mean(m[x], branch[x], all_branches[x]) for x in e["up"]) * (prior if e["noise"] else 1) < html_extract.MIN_IMPORTANCE}
-        kept = [b["text"] for b in blocks if b["node"] not in gone and mean(m[b["node"]], content[b["node"], b["content"]], all_contents[b["node"], b["content"]]) >= html_extract.MIN_IMPORTANCE]
+        gone = {e["node"] for e in leaves if min((mean(m[x], branch[x], all_branches[x]) for x in e["up"] if x in branch), default=1) * (prior if e["noise"] else 1) < html_extract.MIN_IMPORTANCE}
+        kept = [b["text"] for b in blocks if b["text"] is not None and b["node"] not in gone and mean(m[b["node"]], content[b["node"], b["content"]], all_contents[b["node"], b["content"]]) >= html_extract.MIN_IMPORTANCE]
         out.append("\n\n".join(t for t in kept if t is not None))
     return out
 
