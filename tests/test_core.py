@@ -31,6 +31,17 @@ def test_color_rule_is_for_the_whole_frame(spark):
     assert np.allclose(a, b) and a.max() == 1.0
 
 
+@pytest.mark.parametrize("bins", [3, 8, 16])
+def test_color_kernel_is_the_product_of_its_axes(spark, bins):
+    colors = np.random.default_rng(bins).random((20, 3)).tolist() + [[0.0, 1.0, 0.5]]
+    df = spark.createDataFrame([*enumerate(colors), (len(colors), None)], "id long, color array<double>")
+    found = {r["id"]: r["e"] for r in df.select("id", ColorModel(False, bins).encode(F.col("color")).alias("e")).collect()}
+    assert found.pop(len(colors)) is None
+    for k, color in enumerate(colors):
+        axes = [[np.exp(-((i - min(bins - 1, int(c * bins))) ** 2) / 4) * (abs(i - min(bins - 1, int(c * bins))) <= 2) for i in range(bins)] for c in color]
+        assert np.allclose(np.einsum("i,j,k->ijk", *axes).ravel(), found[k], rtol=1e-12, atol=0)
+
+
 def test_single_splat_and_defaults(spark):
     df = splats.conform(spark.createDataFrame([(7,)], "id long"))
     row = EmbeddingModel.fit(df).transform(df).first()

@@ -63,16 +63,25 @@ class ColorModel:
     def cells(self, color: Column) -> Column:
         return F.transform(self.normalize(color), lambda c: F.least(F.floor(c * self.bins), F.lit(self.bins - 1)).cast("int"))
 
+    def rows(self, color: Column) -> Column:
+        """The bins ** 2 rows of the histogram along blue, in order; null where all of a row is zero.
+
+        Weights are exp(-(dr2 + dg2 + db2) / 4), so a row depends on dr2 + dg2 and the blue cell alone and is looked up.
+        """
+        n, reach = self.bins, RADIUS * RADIUS
+        weight = lambda d, e: math.exp(-(d * d + e) / SPREAD) if abs(d) <= RADIUS else 0.0
+        table = F.array(*[F.array(*[F.lit(weight(i - c, e)) for i in range(n)]) for e in range(2 * reach + 1) for c in range(n)])
+        # squared distances of an axis's cells from each cell; beyond the radius so far that no row is left
+        far = 2 * reach + 1
+        squares = F.array(*[F.array(*[F.lit((i - c) ** 2 if abs(i - c) <= RADIUS else far) for i in range(n)]) for c in range(n)])
+        # a one-element array binds the cells, so that they are made once a colour
+        axes = F.transform(F.array(self.cells(color)), lambda c: F.struct(F.get(squares, c[0]).alias("r"), F.get(squares, c[1]).alias("g"), c[2].alias("b")))
+        plane = lambda a: F.flatten(F.transform(a["r"], lambda r: F.transform(a["g"], lambda g: F.get(table, (r + g) * n + a["b"]))))
+        return F.transform(axes, plane)[0]
+
     def encode(self, color: Column) -> Column:
-        n = self.bins
-        weight = lambda d: math.exp(-d * d / SPREAD) if abs(d) <= RADIUS else 0.0
-        # a row of weights for each cell of an axis
-        axis = F.array(*[F.array(*[F.lit(weight(i - c)) for i in range(n)]) for c in range(n)])
-        # one-element arrays bind the cells and their rows, so that they are made once a colour
-        axes = F.transform(F.array(self.cells(color)), lambda c: F.struct(*[F.get(axis, c[k]).alias(a) for k, a in enumerate("rgb")]))
-        # the weight is a product over the axes, so three short arrays give the cube
-        cube = lambda a: F.flatten(F.transform(a["r"], lambda r: F.flatten(F.transform(a["g"], lambda g: F.transform(a["b"], lambda b: r * g * b)))))
-        return F.transform(axes, cube)[0]
+        zeros = F.array(*[F.lit(0.0)] * self.bins)
+        return F.flatten(F.transform(self.rows(color), lambda row: F.coalesce(row, zeros)))
 
 
 def attributes(opacity: Column, scale: Column, rotation: Column) -> Column:

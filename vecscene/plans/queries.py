@@ -117,7 +117,10 @@ def color_bins(spark, d):
 @query
 def color_histogram(spark, d):
     df = splats.from_events(spark, d)
-    return _features(df, encoding.ColorModel.fit(df).encode(F.col("color")), sparse=True)
+    model = encoding.ColorModel.fit(df)
+    rows = df.select("id", F.posexplode(model.rows(F.col("color"))).alias("at", "row")).where("row is not null")
+    cells = rows.select("id", "at", F.posexplode("row").alias("cell", "x")).where("x <> 0")
+    return cells.select("id", (F.col("at") * model.bins + F.col("cell")).alias("pos"), r6("x").alias("x"))
 
 
 @query
