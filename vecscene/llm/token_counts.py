@@ -240,8 +240,10 @@ _COUNTS = ", ".join(f"{x} long" for x in _FIGURES)
 
 
 def _with_edits(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """rows and the edits of each; rows without doc_id, which have none, are dealt by their text, not all into one task."""
     per = edits.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.struct("seq", "start", "n_deleted", "inserted")).alias("edits"))
-    return rows.join(per, "doc_id", "left")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0))
+    return rows.withColumn("_at", spread).join(per.withColumn("_at", F.lit(0).cast("long")), ["doc_id", "_at"], "left").drop("_at")
 
 
 def build(docs: DataFrame, path: str) -> DataFrame:
