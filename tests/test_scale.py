@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from vecscene.functions import encoding
 from vecscene.operators import index, kmeans, lloyd, ranks, sampling, search, seeding
+from vecscene.plans import queries
 from vecscene.sources import splats
 from vecscene.tables import Vectors, discard, written
 
@@ -357,6 +359,44 @@ def test_row_groups_are_skipped(spark):
     assert _scanned(one) < 4000
 
 
+# ---- splats and their features ----
+
+
+def test_splats_are_dealt_out_whatever_the_row_groups(spark, tmp_path, monkeypatch):
+    """One file of one row group, whose splits but one are empty."""
+    monkeypatch.setattr(splats, "SPREAD", 500, raising=False)
+    rows = spark.range(6000).select(F.col("id").alias("event_id"), (F.col("id") % 7).alias("user_id"), (F.col("id") / 3).alias("value"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        parts = splats.from_events(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert len(parts) == 12 and sum(r["count"] for r in parts) == 6000 and max(r["count"] for r in parts) < 800
+
+
+def test_quick_rounding_is_spark_s(spark):
+    rng = np.random.default_rng(14)
+    ties = (np.arange(-3000, 3000) + 0.5) / 1e6
+    x = np.concatenate([rng.normal(size=20000), ties, np.nextafter(ties, 9), np.nextafter(ties, -9), rng.normal(size=2000) * 10.0 ** rng.integers(-12, 20, 2000), [0.0, -0.0, -1e-9, np.nan, np.inf, -np.inf, 1e4, 123.4567895]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    assert df.where(~queries._rounded("x").eqNullSafe(queries.r6("x"))).count() == 0
+    assert spark.createDataFrame([(None,)], "x double").select(queries._rounded("x")).first()[0] is None
+
+
+@pytest.mark.parametrize("top", [1.0, 255.0])
+def test_cells_have_the_histograms_of_their_colors(spark, top):
+    rng = np.random.default_rng(15)
+    colors = [*(rng.random((40, 3)) * top).tolist(), [top, 0.0, top / 8], [-1.0, 2.0 * top, 0.4 * top], None]
+    df = spark.createDataFrame([*enumerate(colors)], "id long, color array<double>")
+    model = encoding.ColorModel.fit(df)
+    assert model.bytes_range == (top > 1 or 2 * top > encoding.RANGE_LIMIT)
+    sparse = queries._histogram(df, model).collect()
+    full = df.select("id", F.posexplode(model.encode(F.col("color"))).alias("pos", "x")).where("x <> 0").select("id", "pos", queries.r6("x").alias("x")).collect()
+    assert sorted(map(tuple, sparse)) == sorted(map(tuple, full)) and len(full) > 1000
+
+
 # ---- the index ----
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .vector import norm
 
@@ -37,9 +37,11 @@ class PositionModel:
         axes = lambda name: tuple(float(r[f"{name}_{a}"] or 0.0) for a in "xyz")
         return PositionModel(axes("min"), axes("max"), dim)
 
+    def _unit(self, position: Column) -> list[Column]:
+        return [(position[k] - self.low[k]) / (self.high[k] - self.low[k] + TINY) for k in range(3)]
+
     def encode(self, position: Column) -> Column:
-        n = max(1, self.dim // 6)
-        unit = [(position[k] - self.low[k]) / (self.high[k] - self.low[k] + TINY) for k in range(3)]
+        n, unit = max(1, self.dim // 6), self._unit(position)
         waves = [f(u * float(2**d)) for d in range(n) for u in unit for f in (F.sin, F.cos)]
         return F.array(*waves, *[F.lit(0.0)] * max(0, self.dim - 6 * n))
 
@@ -79,6 +81,17 @@ class ColorModel:
         plane = lambda a: F.flatten(F.transform(a["r"], lambda r: F.transform(a["g"], lambda g: F.get(table, (r + g) * n + a["b"]))))
         return F.transform(axes, plane)[0]
 
+    def cell(self, color: Column) -> Column:
+        """The colour's own cell as one number."""
+        return F.transform(F.array(self.cells(color)), lambda c: (c[0] * self.bins + c[1]) * self.bins + c[2])[0]
+
+    def histograms(self, spark: SparkSession) -> DataFrame:
+        """cell, pos, x: what the histogram of a colour in each cell holds, bins ** 3 of them, without zeros."""
+        n, top = self.bins, 255.0 if self.bytes_range else 1.0
+        axes = [F.floor(F.col("id") / n**k) % n for k in (2, 1, 0)]
+        middles = spark.range(n**3).select(F.col("id").cast("int").alias("cell"), F.array(*[(a + 0.5) / float(n) * top for a in axes]).alias("color"))
+        return middles.select("cell", F.posexplode(self.encode(F.col("color"))).alias("pos", "x")).where("x <> 0")
+
     def encode(self, color: Column) -> Column:
         zeros = F.array(*[F.lit(0.0)] * self.bins)
         return F.flatten(F.transform(self.rows(color), lambda row: F.coalesce(row, zeros)))

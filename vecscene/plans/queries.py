@@ -90,10 +90,24 @@ def position_bounds(spark, d):
     return b.select(*[r6(c).alias(c) for c in b.columns])
 
 
+def _rounded(name: str):
+    """As r6 of a column of doubles, without decimals where the seventh place leaves no doubt."""
+    x = F.col(name)
+    whole = F.floor(x * 1e6)
+    plain = (F.abs(x) < 1e4) & (F.abs(x * 1e6 - whole - 0.5) > 1e-3)
+    return F.when(plain, F.floor(x * 1e6 + 0.5) / F.lit(1e6)).otherwise(r6(x))
+
+
 def _features(df: DataFrame, column, sparse: bool = False) -> DataFrame:
     """Features as rows; in sparse form those that are not zero, which are left out before they are rounded."""
     rows = df.select("id", F.posexplode(column).alias("pos", "x"))
-    return (rows.where("x <> 0") if sparse else rows).select("id", "pos", r6("x").alias("x"))
+    return (rows.where("x <> 0") if sparse else rows).select("id", "pos", _rounded("x").alias("x"))
+
+
+def _histogram(df: DataFrame, model: encoding.ColorModel) -> DataFrame:
+    """The colour histograms in sparse form: splats of one cell have the same, so they meet the cells' own, a table of bounded size."""
+    cells = model.histograms(df.sparkSession).select("cell", "pos", r6("x").alias("x"))
+    return df.select("id", model.cell(F.col("color")).alias("cell")).join(F.broadcast(cells), "cell").select("id", "pos", "x")
 
 
 @query
@@ -117,10 +131,7 @@ def color_bins(spark, d):
 @query
 def color_histogram(spark, d):
     df = splats.from_events(spark, d)
-    model = encoding.ColorModel.fit(df)
-    rows = df.select("id", F.posexplode(model.rows(F.col("color"))).alias("at", "row")).where("row is not null")
-    cells = rows.select("id", "at", F.posexplode("row").alias("cell", "x")).where("x <> 0")
-    return cells.select("id", (F.col("at") * model.bins + F.col("cell")).alias("pos"), r6("x").alias("x"))
+    return _histogram(df, encoding.ColorModel.fit(df))
 
 
 @query
@@ -139,7 +150,13 @@ def embedding_norms(spark, d):
 def full_embedding(spark, d):
     """The embedding in sparse form: what is not listed is zero."""
     df = splats.from_events(spark, d)
-    return _features(encoding.EmbeddingModel.fit(df).transform(df), F.col("embedding"), sparse=True).where("x <> 0")
+    model = encoding.EmbeddingModel.fit(df)
+    first, cells = model.position.dim, model.color.bins**3
+    attributes = encoding.attributes(F.col("opacity"), F.col("scale"), F.col("rotation"))
+    ends = _features(df, F.concat(model.position.encode(F.col("position")), attributes), sparse=True)
+    ends = ends.withColumn("pos", F.when(F.col("pos") < first, F.col("pos")).otherwise(F.col("pos") + cells))
+    histogram = _histogram(df, model.color).withColumn("pos", F.col("pos") + first)
+    return ends.unionByName(histogram).where("x <> 0")
 
 
 @query

@@ -83,16 +83,21 @@ from events"""
 
 
 def flat_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FROM_EVENTS.replace("from events", "from {events}"), events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    events = spread(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value"), "event_id")
+    return spark.sql(FROM_EVENTS.replace("from events", "from {events}"), events=events)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at least: narrow rows go round before they are made wide.  A table of many
-    files or row groups stays as it is."""
+#: Rows that one task makes wide.
+SPREAD = 1 << 16
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by hash of key before it is made wide: as many partitions as there are cores at least, and more as rows grow.
+    A scan's own splits may leave all rows of a large row group to one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, -(-df.count() // SPREAD)), key)
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splats with raw (not normalised) rotations."""
-    return spread(flat_from_events(spark, sf_dir)).select("id", "user_id", F.array("px", "py", "pz").alias("position"), F.array("r", "g", "b").alias("color"), "opacity", F.array("sx", "sy", "sz").alias("scale"), F.array("qw", "qx", "qy", "qz").alias("rotation"))
+    return flat_from_events(spark, sf_dir).select("id", "user_id", F.array("px", "py", "pz").alias("position"), F.array("r", "g", "b").alias("color"), "opacity", F.array("sx", "sy", "sz").alias("scale"), F.array("qw", "qx", "qy", "qz").alias("rotation"))
