@@ -385,6 +385,15 @@ def test_quick_rounding_is_spark_s(spark):
     assert spark.createDataFrame([(None,)], "x double").select(queries._rounded("x")).first()[0] is None
 
 
+@pytest.mark.parametrize("dim", [64, 6, 13])
+def test_position_features_are_the_encoding(spark, dim):
+    rows = [(i, x.tolist()) for i, x in enumerate(np.random.default_rng(16).normal(size=(30, 3)) * 40)] + [(30, None)]
+    df = spark.createDataFrame(rows, "id long, position array<double>")
+    model = encoding.PositionModel.fit(df, dim)
+    want = df.select("id", F.posexplode(model.encode(F.col("position"))).alias("pos", "x"))
+    assert sorted(map(tuple, model.features(df).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 @pytest.mark.parametrize("top", [1.0, 255.0])
 def test_cells_have_the_histograms_of_their_colors(spark, top):
     rng = np.random.default_rng(15)

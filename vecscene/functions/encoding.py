@@ -40,6 +40,16 @@ class PositionModel:
     def _unit(self, position: Column) -> list[Column]:
         return [(position[k] - self.low[k]) / (self.high[k] - self.low[k] + TINY) for k in range(3)]
 
+    def features(self, df: DataFrame, position: str = "position") -> DataFrame:
+        """id, pos, x: the encoding as rows.  The waves are a list that is exploded, so the code made for a row is one short loop;
+        with an expression for each number it is too long to be compiled."""
+        n = max(1, self.dim // 6)
+        waves = [(float(2**d), k, cos) for d in range(n) for k in range(3) for cos in (False, True)] + [(0.0, 0, None)] * max(0, self.dim - 6 * n)
+        listed = F.array(*[F.struct(F.lit(a).alias("factor"), F.lit(k).alias("axis"), F.lit(cos).cast("boolean").alias("cos")) for a, k, cos in waves])
+        rows = df.select("id", F.array(*self._unit(F.col(position))).alias("unit"), F.posexplode(listed).alias("pos", "wave"))
+        phase = F.get("unit", F.col("wave.axis")) * F.col("wave.factor")
+        return rows.select("id", "pos", F.when(F.col("wave.cos").isNull(), 0.0).when(F.col("wave.cos"), F.cos(phase)).otherwise(F.sin(phase)).alias("x"))
+
     def encode(self, position: Column) -> Column:
         n, unit = max(1, self.dim // 6), self._unit(position)
         waves = [f(u * float(2**d)) for d in range(n) for u in unit for f in (F.sin, F.cos)]

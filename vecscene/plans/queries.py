@@ -113,7 +113,7 @@ def _histogram(df: DataFrame, model: encoding.ColorModel) -> DataFrame:
 @query
 def position_encode(spark, d):
     df = splats.from_events(spark, d)
-    return _features(df, encoding.PositionModel.fit(df).encode(F.col("position")))
+    return encoding.PositionModel.fit(df).features(df).select("id", "pos", _rounded("x").alias("x"))
 
 
 @query
