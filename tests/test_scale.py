@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecscene.functions import encoding
-from vecscene.operators import index, kmeans, lloyd, ranks, sampling, search, seeding
+from vecscene.operators import index, kmeans, lloyd, ranks, sampling, search, seeding, tiering
 from vecscene.plans import queries
 from vecscene.sources import splats
+from vecscene.streaming.tier_stream import replay_stream
 from vecscene.tables import Vectors, discard, written
 
 
@@ -359,6 +360,31 @@ def test_row_groups_are_skipped(spark):
     assert _scanned(one) < 4000
 
 
+# ---- the tier replay ----
+
+
+def test_replays_hold_few_rows(spark, monkeypatch, tmp_path):
+    """Accesses are made into rows in chunks, with the outcomes of one pass over all, as a table and as a stream."""
+    monkeypatch.setattr(tiering, "CHUNK", 7, raising=False)
+    rng = np.random.default_rng(17)
+    rows = [(int(c), int(s), int(k)) for c, s, k in zip(rng.integers(0, 3, 400), rng.permutation(400), rng.integers(0, 9, 400))]
+    want = []
+    for cache in range(3):
+        state = tiering.TierState(2, 4)
+        for key in range(9):
+            state.add(key)
+        want += [(c, s, k, *state.access(k)) for c, s, k in sorted(rows, key=lambda r: r[1]) if c == cache]
+    log = spark.createDataFrame(rows, "cache long, seq long, splat_id long")
+    assert sorted(map(tuple, tiering.replay(log, 2, 4).collect()), key=repr) == sorted(want, key=repr)
+    sizes = [len(x) for x in tiering.outcomes(tiering.TierState(2, 4), 0, np.arange(20), np.arange(20) % 5)]
+    assert sizes == [7, 7, 6]
+    log.write.parquet(str(tmp_path / "in"))
+    stream = replay_stream(spark.readStream.schema(log.schema).parquet(str(tmp_path / "in")), 2, 4)
+    run = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted(map(tuple, spark.read.schema(tiering.OUTCOME).parquet(str(tmp_path / "out")).collect()), key=repr) == sorted(want, key=repr)
+
+
 # ---- splats and their features ----
 
 

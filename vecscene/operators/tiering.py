@@ -8,7 +8,9 @@ among the accesses of its id, which the window form uses.
 from __future__ import annotations
 
 from collections import OrderedDict
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -63,22 +65,39 @@ class TierState:
 
 
 OUTCOME = "cache long, seq long, splat_id long, outcome string, promoted boolean, evicted_id long"
+#: Accesses that a task turns into rows at once.
+CHUNK = 1 << 14
+
+
+def outcomes(state: TierState, cache: int, seq: np.ndarray, splat: np.ndarray) -> Iterator[pd.DataFrame]:
+    """OUTCOME rows of accesses in order, CHUNK of them at a time; an id is added cold when first seen."""
+    for a in range(0, len(seq), CHUNK):
+        ids, told = splat[a : a + CHUNK].tolist(), []
+        for key in ids:
+            if key not in state.count:
+                state.add(key)
+            told.append(state.access(key))
+        where, moved, gone = zip(*told)
+        yield pd.DataFrame({"cache": cache, "seq": seq[a : a + CHUNK], "splat_id": ids, "outcome": where, "promoted": moved, "evicted_id": pd.array(gone, "Int64")})
 
 
 def replay(log: DataFrame, vram_limit: int, ram_limit: int, threshold: float = 1.0, promote_after: int = 10) -> DataFrame:
-    """OUTCOME rows of an access log (cache, seq, splat_id) in order of seq; all its ids were added cold before."""
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        state = TierState(vram_limit, ram_limit, threshold, promote_after)
-        for key in pdf["splat_id"].unique():
-            state.add(int(key))
-        rows = [(int(c), int(s), int(k), *state.access(int(k))) for c, s, k in zip(pdf["cache"], pdf["seq"], pdf["splat_id"])]
-        out = pd.DataFrame(rows, columns=["cache", "seq", "splat_id", "outcome", "promoted", "evicted_id"])
-        out["evicted_id"] = out["evicted_id"].astype("Int64")
-        return out
-
-    return log.select("cache", "seq", "splat_id").groupBy("cache").applyInPandas(whole, OUTCOME)
+    """OUTCOME rows of an access log (cache, seq, splat_id) in order of seq; all its ids were added cold before.
+
+    Spark deals out and sorts the accesses; a task reads them as a stream and holds the state of one cache."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, held = None, None
+        for pdf in frames:
+            caches = pdf["cache"].to_numpy()
+            cut = np.flatnonzero(np.append(True, caches[1:] != caches[:-1])) if len(caches) else []
+            for a, z in zip(cut, [*cut[1:], len(caches)]):
+                if state is None or caches[a] != held:
+                    state, held = TierState(vram_limit, ram_limit, threshold, promote_after), caches[a]
+                yield from outcomes(state, int(held), pdf["seq"].to_numpy()[a:z], pdf["splat_id"].to_numpy()[a:z])
+
+    rows = log.select("cache", "seq", "splat_id").repartition("cache").sortWithinPartitions("cache", "seq")
+    return rows.mapInPandas(run, OUTCOME)
 
 
 def access_counts(log: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.tiering import OUTCOME, TierState
+from ..operators.tiering import OUTCOME, TierState, outcomes
 
 
 def _dump(s: TierState) -> str:
@@ -30,15 +31,12 @@ def replay_stream(log: DataFrame, vram_limit: int, ram_limit: int, threshold: fl
         tiers = TierState(vram_limit, ram_limit, threshold, promote_after)
         if state.exists:
             _load(tiers, state.get[0])
-        pdf = pd.concat(list(frames)).sort_values("seq", kind="stable")
-        rows = []
-        for seq, splat in zip(pdf["seq"], pdf["splat_id"]):
-            if int(splat) not in tiers.count:
-                tiers.add(int(splat))
-            rows.append((int(key[0]), int(seq), int(splat), *tiers.access(int(splat))))
+        # of a micro-batch only two numbers an access are held; rows are made and passed on in chunks
+        parts = [pdf[["seq", "splat_id"]].to_numpy(np.int64) for pdf in frames]
+        held = np.concatenate(parts)
+        parts.clear()
+        held = held[np.argsort(held[:, 0], kind="stable")]
+        yield from outcomes(tiers, int(key[0]), held[:, 0], held[:, 1])
         state.update((_dump(tiers),))
-        out = pd.DataFrame(rows, columns=["cache", "seq", "splat_id", "outcome", "promoted", "evicted_id"])
-        out["evicted_id"] = out["evicted_id"].astype("Int64")
-        yield out
 
     return log.select("cache", "seq", "splat_id").groupBy("cache").applyInPandasWithState(step, OUTCOME, "tiers string", "append", GroupStateTimeout.NoTimeout)
