@@ -459,6 +459,25 @@ def test_queries_run_once_and_leave_nothing(spark):
     assert _held(spark) == 0 and ix.table is None and ix.stats == index.IndexStats()
 
 
+def test_index_holds_no_more_rows_as_tables_grow(spark, monkeypatch):
+    """Fitted on samples, all rows stored, and asked exactly by more queries than one block holds; the index keeps no vectors."""
+    monkeypatch.setattr(index, "FIT_ROWS", 100, raising=False)
+    monkeypatch.setattr(index, "FIT_FINE", 2, raising=False)
+    fits = []
+    monkeypatch.setattr(index.KMeans, "fit", lambda self, df, fit=kmeans.KMeans.fit: fits.append(df.count()) or fit(self, df))
+    ix = index.SplatIndex(spark, index.IndexConfig(n_coarse=4, n_fine=5, n_probe=1, max_iter=1, mode="bounded"))
+    ix.add_splats(splats.generate(spark, 400))
+    ix.build()
+    assert fits == [100] and ix.table.count() == 400 and ix.table.select("row_id").distinct().count() == 400
+    monkeypatch.setattr(search, "BLOCK", 30)
+    q = ix.encode(ix.splats.where("id % 5 = 0"))
+    want = _ids(search.exact(ix.table, q, 4))
+    assert len(want) == 320 and _ids(ix.batch_query(q, 4)) == want
+    monkeypatch.setattr(search, "SHARE_BYTES", 640 * 8 * 20)
+    assert _ids(search.pruned_join(ix.table, ix.centroids, q, 4, 4)) == want  # all clusters are probed, in groups of 20 vectors
+    ix.clear()
+
+
 def test_tables_of_a_build_are_deleted(spark, tmp_path):
     import os
 

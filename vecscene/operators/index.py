@@ -15,11 +15,15 @@ from ..tables import discard, written
 from . import search
 from .kmeans import KMeans, labelled, nearest, summed
 from .ranks import places
+from .sampling import sample
 
 #: Rows of a coarse cluster that one task clusters finely.
 SHARE = 4096
 #: Rounds of the K-Means inside a coarse cluster.
 FINE_ROUNDS = 3
+#: Rows that the coarse K-Means is fitted on, and rows for each fine centroid that a fine one is: samples by hash, of a size that
+#: does not grow with the rows.  All rows are labelled and stored.
+FIT_ROWS, FIT_FINE = 1 << 16, 64
 
 
 @dataclass
@@ -51,24 +55,27 @@ def fine_clamp(n_fine: int, size: int) -> int:
     return max(1, min(n_fine, size // 5))
 
 
-def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """K-Means inside each coarse cluster: the rows (row_id, coarse, v and what else they have) with a salt, the centroids
-    (coarse, fine, c), and the sizes (coarse, size, n_fine, salts).  The caller unpersists the rows and discards the other two.
+def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """K-Means inside each coarse cluster of rows (row_id, coarse, v): the centroids (coarse, fine, c), and the sizes (coarse,
+    size, n_fine, salts).  The caller discards both.
 
-    A cluster of n rows gets fine_clamp(n_fine, n) centroids, first the rows of lowest hash.  In each round every group of
-    rows gives sums for each centroid, which Spark adds up; a centroid without rows stays.  A cluster is dealt out in groups
-    of SHARE rows, each with its own copy of the centroids, so that a large cluster is never one task; the rows are
-    shuffled once for all rounds, and the centroids of a round are written, so lineage does not grow.
+    A cluster of n rows gets fine_clamp(n_fine, n) centroids, first the rows of lowest hash, and is fitted on FIT_FINE times as many
+    rows of lowest hash, or all.  In each round every group of rows gives sums for each centroid, which Spark adds up; a
+    centroid without rows stays.  A cluster is dealt out in groups of SHARE rows, each with its own copy of the
+    centroids, so that a large cluster is never one task; the rows are shuffled once for all rounds, and the centroids of a
+    round are written, so lineage does not grow.
     """
-    sizes = written(index.groupBy("coarse").agg(F.count("*").alias("size")).select("coarse", F.greatest(F.lit(1), F.least(F.lit(n_fine), F.floor(F.col("size") / 5))).alias("n_fine"), F.ceil(F.col("size") / SHARE).alias("salts")))
-    rows = index.join(F.broadcast(sizes), "coarse").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(seed)), "salts")).drop("n_fine", "salts")  # a row for each cluster
-    rows = rows.repartition("coarse", "salt").persist()
+    sizes = written(index.groupBy("coarse").agg(F.count("*").alias("size")).select("coarse", "size", F.greatest(F.lit(1), F.least(F.lit(n_fine), F.floor(F.col("size") / 5))).alias("n_fine"), F.ceil(F.col("size") / SHARE).alias("salts")))
     # ranks carry no vectors, and no task ranks a whole cluster
-    keyed = rows.select("coarse", F.struct(F.xxhash64("row_id", F.lit(seed)).alias("h"), "row_id").alias("h"))
+    keyed = index.select("coarse", F.struct(F.xxhash64("row_id", F.lit(seed)).alias("h"), "row_id").alias("h"))
     seats = places(keyed, "coarse", "h", "fine")
-    first = seats.join(F.broadcast(sizes), "coarse").where(F.col("fine") < F.col("n_fine")).select(F.col("h.row_id").alias("row_id"), "coarse", F.col("fine").cast("int").alias("fine"))
-    centroids = written(rows.select("row_id", "coarse", "v").join(first, ["row_id", "coarse"]).select("coarse", "fine", F.col("v").alias("c")))
+    drawn = seats.join(F.broadcast(sizes), "coarse").where(F.col("fine") < FIT_FINE * F.col("n_fine"))  # a row for each cluster
+    drawn = written(drawn.select(F.col("h.row_id").alias("row_id"), "coarse", F.col("fine").cast("int").alias("fine"), (F.col("fine") < F.col("n_fine")).alias("first")))
     discard(seats)
+    fitted = drawn.groupBy("coarse").agg(F.ceil(F.count("*") / SHARE).alias("salts"))
+    rows = index.select("row_id", "coarse", "v").join(drawn, ["row_id", "coarse"]).join(F.broadcast(fitted), "coarse")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(seed)), "salts")).drop("salts").repartition("coarse", "salt").persist()
+    centroids = written(rows.where("first").select("coarse", "fine", F.col("v").alias("c")))
 
     def sums(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["coarse", "fine", "n", "sums"]
@@ -83,12 +90,14 @@ def fine_fit(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_R
         return pd.DataFrame({"coarse": right["c_coarse"].to_numpy(), "fine": right["c_fine"].to_numpy(), "n": n, "sums": list(total)})
 
     for _ in range(rounds):
-        parts = rows.select("coarse", "salt", "v").groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(sums, "coarse int, fine int, n long, sums array<double>")
+        parts = rows.select("coarse", "salt", "v").groupBy("coarse", "salt").cogroup(_copies(centroids, fitted).groupBy("c_coarse", "c_salt")).applyInPandas(sums, "coarse int, fine int, n long, sums array<double>")
         added = summed(parts, "coarse", "fine")
         new = written(centroids.join(added, ["coarse", "fine"], "left").select("coarse", "fine", F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("c")).alias("c")))
         discard(centroids)
         centroids = new
-    return rows, centroids, sizes
+    rows.unpersist()
+    discard(drawn)
+    return centroids, sizes
 
 
 def _copies(centroids: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -99,8 +108,9 @@ def _copies(centroids: DataFrame, sizes: DataFrame) -> DataFrame:
 def fine_labels(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FINE_ROUNDS) -> DataFrame:
     """The columns of index and fine, the nearest fine centroid of each row's own coarse cluster, with norm_sq: a table stored by
     coarse cluster and sorted by norm_sq inside, of which nothing stays persisted."""
-    rows, centroids, sizes = fine_fit(index, n_fine, seed, rounds)
+    centroids, sizes = fine_fit(index, n_fine, seed, rounds)
     columns = index.columns
+    rows = index.join(F.broadcast(sizes.select("coarse", "salts")), "coarse").withColumn("salt", F.pmod(F.xxhash64("row_id", F.lit(seed)), "salts"))  # a row for each cluster
     schema = rows.select(*columns).schema.add("norm_sq", "double").add("fine", "integer")
 
     def label(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +125,6 @@ def fine_labels(index: DataFrame, n_fine: int, seed: int = 42, rounds: int = FIN
         labelled_ = rows.groupBy("coarse", "salt").cogroup(_copies(centroids, sizes).groupBy("c_coarse", "c_salt")).applyInPandas(label, schema)
         return written(labelled_.sortWithinPartitions("coarse", "norm_sq"), "coarse")
     finally:
-        rows.unpersist()
         discard(centroids, sizes)
 
 
@@ -152,13 +161,14 @@ class SplatIndex:
             return 0.0
         self.release()
         self.model = EmbeddingModel.fit(self.splats)
-        rows = written(self.model.transform(self.splats.withColumn("row_id", F.col("id"))).select("row_id", "id", F.col("embedding").alias("v")))
-        n = rows.count()
-        fit = KMeans(coarse_clamp(self.config.n_coarse, n), self.config.batch_size, self.config.max_iter, self.config.random_state).fit(rows)
+        n, splats = self.splats.count(), self.splats.withColumn("row_id", F.col("id"))
+        embedded = lambda of: self.model.transform(of).select("row_id", "id", F.col("embedding").alias("v"))
+        drawn = written(embedded(sample(splats, FIT_ROWS, self.config.random_state)))  # drawn before they are made wide
+        fit = KMeans(coarse_clamp(self.config.n_coarse, n), self.config.batch_size, self.config.max_iter, self.config.random_state).fit(drawn)
         self.centroids = fit.centroids_
-        coarse = labelled(rows, self.centroids, "row_id", "id", "v").withColumnRenamed("label", "coarse").drop("d2")
-        self.table = fine_labels(coarse, self.config.n_fine, self.config.random_state)
-        discard(rows)
+        rows = written(labelled(embedded(splats), self.centroids, "row_id", "id", "v").withColumnRenamed("label", "coarse").drop("d2"))
+        self.table = fine_labels(rows, self.config.n_fine, self.config.random_state)
+        discard(drawn, rows)
         fine = self.table.groupBy("coarse").agg(F.count_distinct("fine").alias("fine")).agg(F.count("*").alias("coarse"), F.sum("fine").alias("fine")).first()
         self.built = IndexStats(n, fine["coarse"], fine["fine"], build_seconds=time.time() - began)
         return self.built.build_seconds
@@ -195,7 +205,7 @@ class SplatIndex:
         if mode == "exact":
             out = search.exact(table, queries, k, watch)
         elif mode == "bounded":
-            first = search.pruned(table, self.centroids, queries, k, self.config.n_probe)
+            first = search.pruned_blocks(table, self.centroids, queries, k, self.config.n_probe)
             out, _ = search.norm_bounded(table, queries, k, first, watch=watch)
         else:
             out = search.pruned(table, self.centroids, queries, k, self.config.n_probe, watch)
