@@ -669,3 +669,11 @@ def test_pipeline(spark, sf):
         step = stage(spark, step, sf)
         assert step.columns == docs.columns
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in step.collect()} and out.count() < docs.count()
+
+
+def test_blocks_that_the_prior_settles_are_not_kept(spark):
+    """They go from every page, so the parsed table holds nothing of them; with a prior of 1 all are kept."""
+    html = "<body><nav><p>Home</p><p>About</p></nav><article><p>One two.</p></article><footer>End</footer></body>"
+    pages = spark.createDataFrame([(1, "http://a.com/", html)], "page_id long, url string, html string")
+    texts = lambda *prior: [b["text"] for b in html_extract.parse(pages, *prior).first()["blocks"]]
+    assert texts() == ["One two."] and texts(1.0) == ["Home", "About", "One two.", "End"]

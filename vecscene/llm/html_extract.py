@@ -207,14 +207,14 @@ _TYPES = [
 
 
 def _row(html: str, prior: float) -> tuple:
-    """same, blocks, leaves, styles of a page.  What the prior alone brings below MIN_IMPORTANCE has no text, and
-    counts for no branch."""
+    """same, blocks, leaves, styles of a page.  Blocks that the prior alone brings below MIN_IMPORTANCE count for no branch and go
+    from every page, so they are left out."""
     p = blocks_of(html)
     seen = {n for e in p.leaves.values() for n in e.up}
-    text = lambda node, t: None if prior < MIN_IMPORTANCE and p.leaves[node].noise else t
+    gone = {node for node, e in p.leaves.items() if prior < MIN_IMPORTANCE and e.noise}
     return (
         _hash("\0".join(f"{node} {t}" for node, t, _, _ in p.out)),
-        [{"node": _signed(node), "content": _hash(t), "size": size, "linked": linked, "text": text(node, t)} for node, t, size, linked in p.out],
+        [{"node": _signed(node), "content": _hash(t), "size": size, "linked": linked, "text": t} for node, t, size, linked in p.out if node not in gone],
         [{"node": _signed(node), "noise": e.noise, "up": [_signed(x) for x in e.up]} for node, e in p.leaves.items()],
         [{"node": _signed(node), "style": _signed(style)} for node, style in p.styles if node in seen],
     )
@@ -235,9 +235,8 @@ def parse(pages: DataFrame, prior: float = PRIOR) -> DataFrame:
 def importances(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tables of contents (host, node, content, n, m, importance) and of branches (host, node, m, importance), for each host and
     for ALL of them, and of what lies where (host, leaf, noise, node); parsed is a table."""
-    told = parsed.withColumn("blocks", F.filter("blocks", lambda b: b["text"].isNotNull()))  # what the prior has not settled by itself
     share = lambda n, m: F.when(m > 1, F.log(n) / F.log(m)).otherwise(F.lit(0.0))
-    exploded = lambda column, *fields, of=parsed: of.select("host", "same", F.explode(column).alias("x")).select("host", "same", *[F.col(f"x.{f}") for f in fields])
+    exploded = lambda column, *fields: parsed.select("host", "same", F.explode(column).alias("x")).select("host", "same", *[F.col(f"x.{f}") for f in fields])
     # pages of each host, and the sums of all hosts
     everywhere = lambda rows, *keys: rows.unionByName(rows.groupBy(*keys).agg(F.sum("n").alias("n")).withColumn("host", F.lit(ALL)))
     counted = lambda rows, *keys: everywhere(rows.distinct().groupBy("host", *keys).agg(F.count("*").alias("n")), *keys)
@@ -245,11 +244,11 @@ def importances(parsed: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     own = leaves.select("host", "node", "noise", F.explode("up").alias("branch")).distinct()
     above = materialize(own.unionByName(own.withColumn("host", F.lit(ALL)).distinct()))
     held = materialize(counted(leaves.select("host", "same", F.explode("up").alias("node")), "node").withColumnRenamed("n", "m"))
-    contents = counted(exploded("blocks", "node", "content", of=told), "node", "content").join(held, ["host", "node"])
+    contents = counted(exploded("blocks", "node", "content"), "node", "content").join(held, ["host", "node"])
     contents = materialize(contents.withColumn("importance", F.when(F.col("m") > 1, 1 - share(F.col("n"), F.col("m"))).otherwise(1.0)))
     # what a leaf holds counts for all branches that it is in
     sums = contents.groupBy("host", "node").agg(F.sum(F.col("n") * F.col("importance")).alias("weighed"), F.sum("n").alias("weight"))
-    sizes = exploded("blocks", "node", "size", "linked", of=told).groupBy("host", "node").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"))
+    sizes = exploded("blocks", "node", "size", "linked").groupBy("host", "node").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked"))
     sizes = sizes.unionByName(sizes.groupBy("node").agg(F.sum("size").alias("size"), F.sum("linked").alias("linked")).withColumn("host", F.lit(ALL)))
     inner = above.join(sums, ["host", "node"]).join(sizes, ["host", "node"]).groupBy("host", F.col("branch").alias("node")).agg((F.sum("weighed") / F.sum("weight")).alias("inner"), (1 - F.sum("linked") / F.sum("size")).alias("plain"))
     styles = counted(exploded("styles", "node", "style"), "node", "style")
@@ -297,6 +296,6 @@ def extract(pages: DataFrame, prior: float = PRIOR) -> DataFrame:
     none = F.array().cast("array<long>")
     rows = parsed.select("page_id", "url", "host", "blocks").join(gone, "host", "left")
     rows = rows.select("page_id", "url", "blocks", F.coalesce("nodes", none).alias("nodes"), F.coalesce("contents", none).alias("contents"))
-    kept = F.filter("blocks", lambda b: b["text"].isNotNull() & ~F.array_contains("nodes", b["node"]) & ~F.array_contains("contents", F.xxhash64(b["node"], b["content"])))
+    kept = F.filter("blocks", lambda b: ~F.array_contains("nodes", b["node"]) & ~F.array_contains("contents", F.xxhash64(b["node"], b["content"])))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
