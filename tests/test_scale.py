@@ -351,6 +351,52 @@ def test_norm_bounds_for_any_number_of_queries(spark, monkeypatch):
     assert far <= search.norm_bounded(stored, q, 4)[1].count() <= 300
 
 
+class _Sent:
+    """What a task sees of a broadcast."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e25])
+@pytest.mark.parametrize("known", [True, False])
+def test_short_vectors_leave_few_pairs(monkeypatch, scale, known):
+    """Neighbours are those of brute force, ties and repeated rows included, and few pairs are measured; numbers whose squares single
+    precision cannot hold are compared all the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(16)
+    x = _blobs(rng, 40, 50, dim=96, apart=4.0) + np.linspace(0, 9, 96)
+    x[100:108], x[7, 3] = x[5], 0.0
+    x *= scale
+    ids, q = rng.permutation(len(x)), x[::10]
+    d = ((q[:, None] - x) ** 2).sum(2)
+    order = np.array([np.lexsort((ids, row))[:4] for row in d])
+    want = {(i, int(ids[j])) for i, row in enumerate(order) for j in row}
+    bound = np.sqrt(np.take_along_axis(d, order[:, 3:], 1)[:, 0])
+    length = np.sqrt((q * q).sum(1))
+    bound = search._loose(bound, length) if known else np.full(len(q), np.inf)
+    counted = []
+    monkeypatch.setattr(search, "measured", lambda a, b, r, k, run=search.measured: counted.append(len(r)) or run(a, b, r, k))
+    block = _Sent((np.arange(len(q)), q, length, bound, search.Basis.fit(x[::3])))
+    batches = [pa.RecordBatch.from_pydict({"row_id": ids[a : a + 500], "v": pa.array(list(x[a : a + 500])), "norm_sq": (x[a : a + 500] ** 2).sum(1)}) for a in range(0, len(x), 500)]
+    found = pa.Table.from_batches(search._bounded(block, 4)([batches[0].slice(0, 0), *batches])).to_pandas().sort_values(["qid", "d2", "row_id"])
+    got = found.groupby("qid").head(4)
+    assert set(zip(got["qid"], got["row_id"])) == want
+    assert sum(counted) < len(q) * len(x) / (50 if known else 10)
+    assert list(search._bounded(block, 4)(iter([batches[0].slice(0, 0)]))) == []
+
+
+def test_thousands_of_queries_read_the_rows_once(spark):
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(5000, 3))
+    df = spark.createDataFrame([(i, row) for i, row in enumerate(x.tolist())], "row_id long, v array<double>").repartition(3)
+    found, _ = search.norm_bounded(search.by_norm(df), df.select(F.col("row_id").alias("qid"), "v"), 1)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert found.where("qid = row_id and distance = 0").count() == 5000
+
+
 def test_row_groups_are_skipped(spark):
     """Rows of distant norms are not even decoded."""
     x = np.repeat(np.arange(1.0, 41.0), 100)[:, None] * np.ones((1, 4))
@@ -478,6 +524,31 @@ def test_index_holds_no_more_rows_as_tables_grow(spark, monkeypatch):
     ix.clear()
 
 
+def test_index_stores_what_vectors_are_made_of(spark, monkeypatch):
+    """The stored rows are narrow, one for each splat, and the vectors read from them are the embeddings; fine labels are those of the
+    nearest centroids in any number of blocks; a bounded search is exact, also where a sample bounds it."""
+    monkeypatch.setattr(index, "FINE_BYTES", 1, raising=False)
+    monkeypatch.setattr(index, "FIRST_ROWS", 50, raising=False)
+    ix = index.SplatIndex(spark, index.IndexConfig(n_coarse=3, n_fine=4, n_probe=2, max_iter=1, mode="bounded"))
+    made = splats.generate(spark, 150)
+    ix.add_splats(made.unionByName(made.where("id < 2").withColumn("id", F.col("id") + 1000)))
+    ix.build()
+    stored = spark.read.parquet(ix.table.table_path)
+    assert "v" not in stored.columns and stored.count() == 152 and stored.select("coarse", "fine").distinct().count() > 3
+    rows = {r["row_id"]: r for r in ix.table.collect()}
+    color = ix.model.color.encode(F.col("color"))
+    plain = F.concat(ix.model.position.encode(F.col("position")), color, encoding.attributes(F.col("opacity"), F.col("scale"), F.col("rotation")))
+    want = {r["id"]: r["v"] for r in ix.splats.select("id", plain.alias("v")).collect()}
+    assert {k: r["v"] for k, r in rows.items()} == want
+    assert all(abs(r["norm_sq"] - np.dot(r["v"], r["v"])) < 1e-9 * r["norm_sq"] for r in rows.values())
+    q = ix.encode(ix.splats.where("id % 3 = 0"))
+    assert _ids(ix.batch_query(q, 4)) == _ids(search.exact(ix.table, q, 4))
+    empty = index.SplatIndex(spark)
+    empty.add_splats(splats.generate(spark, 0))
+    assert empty.build() == 0.0 and empty.table is None
+    ix.clear()
+
+
 def test_tables_of_a_build_are_deleted(spark, tmp_path):
     import os
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .vector import norm
@@ -95,12 +97,20 @@ class ColorModel:
         """The colour's own cell as one number."""
         return F.transform(F.array(self.cells(color)), lambda c: (c[0] * self.bins + c[1]) * self.bins + c[2])[0]
 
+    def whole(self, spark: SparkSession) -> DataFrame:
+        """_cell, _histogram: the histogram of a colour in each cell, bins ** 3 of them."""
+        n = self.bins
+        squares = np.subtract.outer(np.arange(n), np.arange(n)) ** 2
+        squares[squares > RADIUS * RADIUS] = 4 * RADIUS * RADIUS  # so far that the weight is zero
+        weights = np.array([math.exp(-e / SPREAD) if e <= 3 * RADIUS * RADIUS else 0.0 for e in range(12 * RADIUS * RADIUS + 1)])
+        r, g, b = squares[:, None, None, :, None, None], squares[None, :, None, None, :, None], squares[None, None, :, None, None, :]
+        cells = weights[r + g + b].ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n**3 + 1) * n**3, pa.int32()), pa.array(cells))
+        return spark.createDataFrame(pa.table({"_cell": pa.array(np.arange(n**3), pa.int32()), "_histogram": lists}))
+
     def histograms(self, spark: SparkSession) -> DataFrame:
-        """cell, pos, x: what the histogram of a colour in each cell holds, bins ** 3 of them, without zeros."""
-        n, top = self.bins, 255.0 if self.bytes_range else 1.0
-        axes = [F.floor(F.col("id") / n**k) % n for k in (2, 1, 0)]
-        middles = spark.range(n**3).select(F.col("id").cast("int").alias("cell"), F.array(*[(a + 0.5) / float(n) * top for a in axes]).alias("color"))
-        return middles.select("cell", F.posexplode(self.encode(F.col("color"))).alias("pos", "x")).where("x <> 0")
+        """cell, pos, x: what the histogram of a colour in each cell holds, without zeros."""
+        return self.whole(spark).select(F.col("_cell").alias("cell"), F.posexplode("_histogram").alias("pos", "x")).where("x <> 0")
 
     def encode(self, color: Column) -> Column:
         zeros = F.array(*[F.lit(0.0)] * self.bins)
@@ -133,5 +143,8 @@ class EmbeddingModel:
         return self.position.dim + self.color.bins**3 + ATTRIBUTE_DIM
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """df with a column embedding."""
-        return df.withColumn("embedding", F.concat(self.position.encode(F.col("position")), self.color.encode(F.col("color")), attributes(F.col("opacity"), F.col("scale"), F.col("rotation"))))
+        """df with a column embedding.  Histograms are met by cell: the cells' own, a table of bounded size, go out to the rows of df,
+        which stay where they are."""
+        rows = df.withColumn("_cell", self.color.cell(F.col("color"))).join(F.broadcast(self.color.whole(df.sparkSession)), "_cell", "left")
+        embedding = F.concat(self.position.encode(F.col("position")), F.col("_histogram"), attributes(F.col("opacity"), F.col("scale"), F.col("rotation")))
+        return rows.withColumn("embedding", embedding).drop("_cell", "_histogram")

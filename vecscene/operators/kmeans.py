@@ -13,6 +13,8 @@ from .sampling import BITS, draw, sample
 
 #: Cells of the distance matrix computed at once in a task.
 _CELLS = 1 << 21
+#: Rows of a partition that a fit keeps.
+PART = 8192
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -267,12 +269,13 @@ class KMeans:
         from . import lloyd, seeding
         from ..tables import Vectors, discard
 
-        vectors = Vectors(scalars(df).select("row_id", "v"))
+        n = df.count()
+        if not n:
+            raise ValueError("no rows to fit")
+        # by its rows, as each round passes over every partition several times
+        vectors = Vectors(scalars(df).select("row_id", "v"), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // PART)))
         df = vectors.rows.select("row_id", "v")
         try:
-            n = df.count()
-            if not n:
-                raise ValueError("no rows to fit")
             k = min(self.n_clusters, n)
             c = plus_plus(df, k, self.random_state) if self.init == "k-means++" else seeding.parallel(df, k, self.random_state, vectors=vectors)
             if len(c) < k:  # fewer distinct rows than clusters

@@ -42,10 +42,10 @@ def discard(*tables: DataFrame | None) -> None:
 
 class Vectors:
     """Rows (key, row_id, v) dealt out and sorted by key, and kept: a table of narrow state by key meets them by a merge join
-    that shuffles the state only.  key tells rows apart, also those of one row_id."""
+    that shuffles the state only.  key tells rows apart, also those of one row_id.  parts, if given, is the number of partitions."""
 
-    def __init__(self, df: DataFrame):
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, df: DataFrame, parts: int | None = None):
+        parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         keyed = df.select(F.monotonically_increasing_id().alias("key"), "row_id", "v")
         self.rows = keyed.repartition(parts, "key").sortWithinPartitions("key").persist()
         self.parts = parts
